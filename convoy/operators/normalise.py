@@ -14,6 +14,7 @@ from convoy.functions.fields import (
     truthy,
     unit_factor,
 )
+from convoy.functions.plan import settle
 from convoy.functions.vin import is_valid_vin, vin_problem
 from convoy.operators.mapping import by_vendor, mapping_dict
 from convoy.schemas import CANONICAL_COLUMNS, DTC_PATTERN, REQUIRED_FIELDS
@@ -184,7 +185,7 @@ def normalise(raw: DataFrame, mappings) -> DataFrame:
         (F.when(usable, F.col("seq").cast("bigint")) if c == "seq" else F.col(c)).alias(c)
         for c in CANONICAL_COLUMNS
     ]
-    return judged.select(*carried, "payload", *shown, "reason")
+    return settle(judged.select(*carried, "payload", *shown, "reason"))
 
 
 def first_failure(canonical: DataFrame) -> DataFrame:

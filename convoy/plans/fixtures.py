@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from convoy.schemas import VIN_LETTER_DIGITS, VIN_LETTERS, VIN_WEIGHTS
-from convoy.session import configure
+from convoy.session import configure, shared_dir
 
 BASE_MS = 1704067200000  # 2024-01-01T00:00:00Z, the start of the events table
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -271,7 +271,7 @@ def _audit_log(d: Dialect) -> str:
 def _mapping_docs(d: Dialect) -> str:
     """One mapping document per part: the brand is the vendor, the part key the version."""
     return """SELECT upper(replace(p_brand, '#', CASE WHEN p_size = 50 THEN '#' ELSE '-' END)) AS oem,
-           CAST(p_partkey + 1 AS INT) AS version, p_retailprice >= 1500 AS active, p_partkey AS arrival,
+           CAST(p_partkey + 1 AS INT) AS version, p_size > 25 AS active, p_partkey AS arrival,
            p_size, p_retailprice / 1000 AS price FROM part"""
 
 
@@ -328,12 +328,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], Callable[[Dialect], str]]] = {
 }
 
 
-def _closure(names: tuple[str, ...]) -> list[str]:
+def _closure(names: tuple[str, ...], stop: tuple[str, ...] = ()) -> list[str]:
+    """The views that ``names`` build on, in order; those in ``stop`` are not looked into."""
     out: list[str] = []
+
+    def visit(name: str, top: bool) -> None:
+        if top or name not in stop:
+            for dep in VIEWS[name][0]:
+                visit(dep, False)
+        if name not in out:
+            out.append(name)
+
     for name in names:
-        for dep in (*_closure(VIEWS[name][0]), name):
-            if dep not in out:
-                out.append(dep)
+        visit(name, True)
     return out
 
 
@@ -348,13 +355,37 @@ def duck(*names: str, then: str) -> str:
     return f"WITH RECURSIVE {ctes}{joint}\n{then.lstrip().lstrip('+')}"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, events: str | None = None) -> DataFrame:
-    """A view as a DataFrame. ``events`` may name a temporary view to stand for the events table."""
+# Views kept as tables, as a landing zone keeps them: the vendor text and the decoded events.
+LANDED = ("telemetry", "arrivals", "wire_defects", "vehicle")
+_landed: dict[tuple[str, str, str], str] = {}
+
+
+def _landing(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a landed view, written on first use in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        path = shared_dir(spark, name)
+        _inline(spark, sf_dir, name).write.parquet(path)
+        _landed[key] = path
+    return _landed[key]
+
+
+def _inline(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    configure(spark)
+    names, kept = [], []
+    for n in _closure((name,), stop=LANDED):
+        if n in LANDED and n != name:
+            kept.append(f"{n} AS (SELECT * FROM parquet.`{_landing(spark, sf_dir, n)}`)")
+        else:
+            names.append(f"{n} AS ({VIEWS[n][1](SPARK)})")
+    text = ",\n".join(names)
+    sources = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in TABLES if f" {t}" in text]
+    return spark.sql("WITH " + ",\n".join(sources + kept + names) + f"\nSELECT * FROM {name}")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view as a DataFrame; landed views are scanned from their table."""
     configure(spark)
-    text = ",\n".join(chain(SPARK, name))
-    sources = [
-        f"{t} AS (SELECT * FROM {events if t == 'events' and events else f'parquet.`{sf_dir}/{t}.parquet`'})"
-        for t in TABLES
-        if f" {t}" in text
-    ]
-    return spark.sql("WITH " + ",\n".join(sources) + ",\n" + text + f"\nSELECT * FROM {name}")
+    if name in LANDED:
+        return spark.read.parquet(_landing(spark, sf_dir, name))
+    return _inline(spark, sf_dir, name)

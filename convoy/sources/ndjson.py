@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from convoy.functions.fields import extract_path, kind_of
+from convoy.functions.plan import settle
 from convoy.operators.mapping import by_vendor, mapping_dict
 from convoy.schemas import FALLBACK_VIN_KEYS
 
@@ -47,7 +48,7 @@ def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300)
         ~F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False)),
         F.lit("not_object"),
     )
-    return (
+    out = (
         df.withColumn("_doc", wrapped)
         .withColumn("reason", reason)
         .withColumn("payload", F.when(F.col("reason").isNull(), item))
@@ -57,8 +58,8 @@ def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300)
                 F.left(F.col(line_col), F.lit(max_chars))
             ),
         )
-        .drop("_doc")
     )
+    return settle(out.drop("_doc"))
 
 
 def decode_envelope(df: DataFrame, value_col: str = "value") -> DataFrame:
@@ -68,14 +69,14 @@ def decode_envelope(df: DataFrame, value_col: str = "value") -> DataFrame:
     item = F.try_variant_get(F.col("_doc"), "$[0]", "variant")
     usable = F.coalesce(one, F.lit(False)) & (F.schema_of_variant(item) != "VOID")
     millis = F.try_variant_get(F.col("_doc"), "$[0].r", "double")
-    return (
+    out = (
         df.withColumn("_doc", wrapped)
         .withColumn("reason", F.when(~F.coalesce(usable, F.lit(False)), F.lit("bad_envelope")))
         .withColumn("oem", F.try_variant_get(F.col("_doc"), "$[0].oem", "string"))
         .withColumn("received_at", F.timestamp_millis(millis.try_cast("bigint")))
         .withColumn("payload", F.try_variant_get(F.col("_doc"), "$[0].p", "variant"))
-        .drop("_doc")
     )
+    return settle(out.drop("_doc"))
 
 
 def with_partition_key(
