@@ -1,6 +1,6 @@
 """Registered queries: fixture views, Spark plans and their SQL twins."""
 
-from convoy.plans import fleet, ingest, mappings  # noqa: F401
+from convoy.plans import fleet, ingest, mappings, rule_checks  # noqa: F401
 from convoy.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
