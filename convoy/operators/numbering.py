@@ -50,7 +50,10 @@ def running_by_value(
     wherever these lie; any cut points give the same totals.
     """
     edges = _value_edges(values, column, slices)
-    rows = values.withColumn("_slice", F.size(F.filter(edges, lambda e: e <= F.col(column))))
+    rows = values.withColumn("_edges", edges)
+    rows = rows.withColumn(
+        "_slice", F.size(F.filter("_edges", lambda e: e <= F.col(column)))
+    ).drop("_edges")
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )

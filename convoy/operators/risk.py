@@ -197,7 +197,10 @@ def rule_baseline(
     axes = {"dtc": "dtc_ratio", "harsh": "harsh_ratio"}
     rows = df
     for name, column in axes.items():
-        rows = rows.withColumn(f"_{name}_cuts", F.transform(cuts(column), lambda c: c["value"]))
+        rows = rows.withColumn(f"_{name}_table", cuts(column))
+        rows = rows.withColumn(
+            f"_{name}_cuts", F.transform(f"_{name}_table", lambda c: c["value"])
+        )
         rows = rows.withColumn(
             f"_{name}_over", F.size(F.filter(f"_{name}_cuts", lambda c: c < F.col(column)))
         )
