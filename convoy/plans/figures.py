@@ -255,7 +255,13 @@ def _split(spark, sf):
     return risk.stratified_split(labelled(spark, sf))
 
 
-@query("train_test_split")
+@query(
+    "train_test_split",
+    duck_risk(
+        """, per AS (SELECT label, count(*) AS n, CAST(ceil(0.25e0 * (count(*) - 1)) AS BIGINT) AS k FROM labelled GROUP BY label)
+        SELECT label, true AS is_test, k AS n FROM per WHERE k > 0 UNION ALL SELECT label, false, n - k FROM per"""
+    ),
+)
 def train_test_split(spark, sf):
     return _split(spark, sf).groupBy("label", "is_test").agg(F.count("*").alias("n"))
 
