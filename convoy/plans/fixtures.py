@@ -365,7 +365,11 @@ def _landing(spark: SparkSession, sf_dir: str, name: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _landed:
         path = shared_dir(spark, name)
-        _inline(spark, sf_dir, name).write.parquet(path)
+        rows = _inline(spark, sf_dir, name)
+        tasks = spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < tasks:  # a small input file is one split; spread it once
+            rows = rows.repartition(tasks)
+        rows.write.parquet(path)
         _landed[key] = path
     return _landed[key]
 

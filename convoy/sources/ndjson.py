@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from convoy.functions.fields import extract_path, kind_of
 from convoy.functions.plan import settle
@@ -35,6 +35,16 @@ def parse_ndjson(
     )
 
 
+def _one_value() -> Column:
+    """Whether the bracketed text in ``_doc`` parsed as exactly one value."""
+    doc = F.col("_doc")
+    return (
+        doc.isNotNull()
+        & F.try_variant_get(doc, "$[0]", "variant").isNotNull()
+        & F.try_variant_get(doc, "$[1]", "variant").isNull()
+    )
+
+
 def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300) -> DataFrame:
     """Add ``payload`` (VARIANT object) or ``reason`` (``bad_json`` / ``not_object``).
 
@@ -42,11 +52,9 @@ def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300)
     as ``bad_json``. Rejected lines are cut for the dead-letter record, accepted ones stay whole.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(line_col), F.lit("]")))
-    one = F.size(F.try_variant_get(F.col("_doc"), "$", "array<variant>")) == 1
     item = F.try_variant_get(F.col("_doc"), "$[0]", "variant")
-    reason = F.when(~F.coalesce(one, F.lit(False)), F.lit("bad_json")).when(
-        ~F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False)),
-        F.lit("not_object"),
+    reason = F.when(~_one_value(), F.lit("bad_json")).when(
+        ~F.col(line_col).rlike(r"^\s*\{"), F.lit("not_object")
     )
     out = (
         df.withColumn("_doc", wrapped)
@@ -65,13 +73,11 @@ def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300)
 def decode_envelope(df: DataFrame, value_col: str = "value") -> DataFrame:
     """``{oem, r, p}`` text to ``oem, received_at, payload``; unreadable text is ``bad_envelope``."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(value_col), F.lit("]")))
-    one = F.size(F.try_variant_get(F.col("_doc"), "$", "array<variant>")) == 1
-    item = F.try_variant_get(F.col("_doc"), "$[0]", "variant")
-    usable = F.coalesce(one, F.lit(False)) & (F.schema_of_variant(item) != "VOID")
+    usable = _one_value() & (F.trim(F.col(value_col)) != "null")
     millis = F.try_variant_get(F.col("_doc"), "$[0].r", "double")
     out = (
         df.withColumn("_doc", wrapped)
-        .withColumn("reason", F.when(~F.coalesce(usable, F.lit(False)), F.lit("bad_envelope")))
+        .withColumn("reason", F.when(~usable, F.lit("bad_envelope")))
         .withColumn("oem", F.try_variant_get(F.col("_doc"), "$[0].oem", "string"))
         .withColumn("received_at", F.timestamp_millis(millis.try_cast("bigint")))
         .withColumn("payload", F.try_variant_get(F.col("_doc"), "$[0].p", "variant"))
