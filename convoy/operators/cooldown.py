@@ -23,25 +23,64 @@ START = SLICE + ", last bigint"
 NEVER = -(2**62)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple | None]:
+    """(key, slice, sorted times, last) of every slice of a partition sorted by (key, slice, t).
+
+    A slice may span batches; it is handed on once it is complete. None marks the end of a batch.
+    """
+    name = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys, slots, times = (pdf[c].to_numpy() for c in ("_key", "_slice", "t"))
+        last = pdf["last"].to_numpy() if "last" in pdf.columns else np.full(len(pdf), NEVER)
+        change = (keys[1:] != keys[:-1]) | (slots[1:] != slots[:-1])
+        edges = [0, *(np.flatnonzero(change) + 1), len(pdf)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if name != (keys[a], slots[a]):
+                if name is not None:
+                    yield *name, np.concatenate(held), held_last
+                name, held, held_last = (keys[a], slots[a]), [], int(last[a])
+            held.append(times[a:b])
+        yield None
+    if name is not None:
+        yield *name, np.concatenate(held), held_last
+        yield None
+
+
+def _slice_steps(slot: int, times: np.ndarray, cooldown: int, width: int):
+    """(latest entry time, last emission) of each step of one slice."""
+    following = np.searchsorted(times, times + cooldown)
+    exit_at = np.arange(len(times))  # the last emission reached from each hit
+    while True:
+        nxt = following[exit_at]
+        ahead = nxt < len(times)
+        if not ahead.any():
+            break
+        exit_at = np.where(ahead, nxt, exit_at)
+    # emissions before this slice leave entries at most a cooldown into it
+    entries = np.searchsorted(times, slot * width + cooldown) + 1
+    reach, final = times[:entries], times[exit_at][:entries]
+    change = np.append(final[1:] != final[:-1], True)
+    return reach[change], final[change]
+
+
 def _steps(cooldown: int, width: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["t"].to_numpy())
-        following = np.searchsorted(times, times + cooldown)
-        # the last emission reached from each hit, by following the chain to its end
-        exit_at = np.arange(len(times))
-        while True:
-            nxt = following[exit_at]
-            ahead = nxt < len(times)
-            if not ahead.any():
-                break
-            exit_at = np.where(ahead, nxt, exit_at)
-        # an earlier slice ended before this one began, so entries lie at most a cooldown into it
-        entries = np.searchsorted(times, key[1] * width + cooldown) + 1
-        reach, final = times[:entries], times[exit_at][:entries]
-        change = np.append(final[1:] != final[:-1], True)
-        return pd.DataFrame(
-            {"_key": key[0], "_slice": key[1], "upto": reach[change], "exit": final[change]}
-        )
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, slots, reach, final = [], [], [], []
+        for item in _slices(batches):
+            if item is not None:
+                key, slot, times, _ = item
+                upto, last = _slice_steps(slot, times, cooldown, width)
+                keys += [key] * len(upto)
+                slots += [slot] * len(upto)
+                reach.append(upto)
+                final.append(last)
+            elif keys:
+                yield pd.DataFrame(
+                    {"_key": keys, "_slice": slots, "upto": np.concatenate(reach), "exit": np.concatenate(final)}
+                )
+                keys, slots, reach, final = [], [], [], []
 
     return run
 
@@ -65,14 +104,18 @@ def _chain(cooldown: int):
 
 
 def _walk(cooldown: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["t"].to_numpy())
-        at = int(np.searchsorted(times, pdf["last"].iloc[0] + cooldown))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = []
-        while at < len(times):
-            kept.append(times[at])
-            at = int(np.searchsorted(times, times[at] + cooldown))
-        return pd.DataFrame({"_key": key[0], "t": np.array(kept, dtype="int64")})
+        for item in _slices(batches):
+            if item is not None:
+                key, _, times, last = item
+                at = int(np.searchsorted(times, last + cooldown))
+                while at < len(times):
+                    kept.append((key, int(times[at])))
+                    at = int(np.searchsorted(times, times[at] + cooldown))
+            else:
+                yield pd.DataFrame(kept, columns=["_key", "_t"])
+                kept = []
 
     return run
 
@@ -97,18 +140,18 @@ def apply_cooldown(
         "_key", F.floor(F.col("_t") / F.lit(width)).alias("_slice"), F.col("_t").alias("t")
     )
     groups = ["_key", "_slice"]
+    times = times.repartition(*groups)
     starts = (
-        times.groupBy(*groups)
-        .applyInPandas(_steps(cooldown, width), STEPS)
+        times.sortWithinPartitions(*groups, "t")
+        .mapInPandas(_steps(cooldown, width), STEPS)
         .repartition("_key")
         .sortWithinPartitions("_key", "_slice", "upto")
         .mapInPandas(_chain(cooldown), START)
     )
     kept = (
         times.join(starts, groups)
-        .groupBy(*groups)
-        .applyInPandas(_walk(cooldown), "_key string, t bigint")
-        .withColumnRenamed("t", "_t")
+        .sortWithinPartitions(*groups, "t")
+        .mapInPandas(_walk(cooldown), "_key string, _t bigint")
     )
     return first.join(kept, ["_key", "_t"], "left_semi").select(*keys, "_hit.*").select(
         *hits.columns

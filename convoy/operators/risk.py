@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,7 +13,7 @@ from convoy.operators.insights import trailing
 from convoy.operators.numbering import exact_quantiles, running_by_value
 from convoy.operators.state import clamp
 from convoy.schemas import RISK_FEATURES
-from convoy.session import ensure_checkpoint_dir
+from convoy.session import ensure_checkpoint_dir, staged
 
 
 def risk_features(
@@ -265,5 +263,21 @@ def binary_metrics(scored: DataFrame, threshold: float | Column, score_col: str
     )
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+
+def evaluate_model(df: DataFrame, trees: int = 150, test_share: float = 0.25) -> DataFrame:
+    """Model against rule baseline on held-out rows: one row of metrics each.
+
+    Both operating points are chosen on the training rows. The labelled features (one row per
+    vehicle) are staged, as training and scoring read them many times.
+    """
+    rows = staged(stratified_split(df, test_share=test_share))
+    train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
+    model = train_risk_model(train, trees)
+    point = best_threshold(score(train.drop("risk"), model)).first()
+    by_model = binary_metrics(score(test.drop("risk"), model), point["threshold"])
+    cut = rule_baseline(train).first()
+    said_yes = (F.col("dtc_ratio") > cut["dtc_cut"]) | (F.col("harsh_ratio") > cut["harsh_cut"])
+    by_rule = binary_metrics(test.withColumn("risk", said_yes.cast("double")), 0.5)
+    return by_model.withColumn("method", F.lit("gradient_boosting")).unionByName(
+        by_rule.withColumn("method", F.lit("baseline_rule"))
+    )

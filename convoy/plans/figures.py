@@ -273,6 +273,12 @@ def risk_model_scores(spark, sf):
     return risk.score(rows.filter("is_test").drop("risk"), model).select("vin", "label", F.round("risk", 6).alias("risk"))
 
 
+@query("risk_model_report")
+def risk_model_report(spark, sf):
+    out = risk.evaluate_model(labelled(spark, sf), trees=20)
+    return out.select("method", "tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1", "roc_auc")])
+
+
 # ---- dashboard ----
 
 

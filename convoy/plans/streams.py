@@ -157,6 +157,6 @@ def ingest_stream(spark, sf):
     streams.run_available(stream, checkpoint, each_batch=body)
     counts = [
         spark.read.parquet(path).groupBy("oem").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "oem", "n")
-        for part, path in (("telemetry", tables.telemetry), ("dead", tables.dead))
+        for part, path in (("telemetry", tables.path("telemetry")), ("dead", tables.path("dead")))
     ]
     return counts[0].unionByName(counts[1])

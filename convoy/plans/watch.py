@@ -9,6 +9,7 @@ from convoy.plans.fixtures import duck, view
 from convoy.plans.mappings import ROUTED, routed
 from convoy.plans.registry import query
 from convoy.schemas import EARTH_RADIUS_KM, GEOHASH_ALPHABET, LATENCY_BOUNDS
+from convoy.session import staged
 
 
 @query(
@@ -71,7 +72,7 @@ def latency_quantiles(spark, sf):
     ),
 )
 def reconciliation(spark, sf):
-    rows = routed(spark, sf).drop("payload").select("event_id", "copy", "oem", "vin", "seq", "ts", "arrival", "reason")
+    rows = staged(routed(spark, sf).select("event_id", "copy", "oem", "vin", "seq", "ts", "arrival", "reason"))
     ok = rows.filter(F.col("reason").isNull())
     stored = dedup.dedup_exact(ok)
     duplicates = ok.join(stored.select("arrival"), "arrival", "left_anti")

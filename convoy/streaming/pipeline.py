@@ -20,10 +20,8 @@ class Tables:
 
     root: str
 
-    def __getattr__(self, name: str) -> str:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return f"{self.root}/{name}"
+    def path(self, table: str) -> str:
+        return f"{self.root}/{table}"
 
 
 def ingest_batch(
@@ -41,22 +39,22 @@ def ingest_batch(
         spark = batch.sparkSession
         registry = spark.read.parquet(registry_path)
         routed = route(classify_lines(batch), registry, vehicle, fleet).drop("payload")
-        write_batch_idempotent(routed, batch_id, tables.routed)
-        done = spark.read.parquet(f"{tables.routed}/batch_id={batch_id}")
-        write_batch_idempotent(done.filter(F.col("reason").isNotNull()), batch_id, tables.dead)
+        write_batch_idempotent(routed, batch_id, tables.path("routed"))
+        done = spark.read.parquet(f"{tables.path('routed')}/batch_id={batch_id}")
+        write_batch_idempotent(done.filter(F.col("reason").isNotNull()), batch_id, tables.path("dead"))
         events = dedup_exact(done.filter(F.col("reason").isNull()).drop("reason"))
         if batch_id > 0:
             seen = (
-                spark.read.parquet(tables.events)
+                spark.read.parquet(tables.path("events"))
                 .filter(F.col("batch_id").between(batch_id - horizon_batches, batch_id - 1))
                 .select(*EVENT_KEYS)
             )
             events = events.join(seen, list(EVENT_KEYS), "left_anti")
-        write_batch_idempotent(events, batch_id, tables.events)
-        stored = spark.read.parquet(f"{tables.events}/batch_id={batch_id}")
-        write_batch_idempotent(to_storage_rows(stored), batch_id, tables.telemetry)
-        write_batch_idempotent(latest_state(stored), batch_id, tables.latest)
-        write_batch_idempotent(hourly_rollup(stored), batch_id, tables.rollup)
+        write_batch_idempotent(events, batch_id, tables.path("events"))
+        stored = spark.read.parquet(f"{tables.path('events')}/batch_id={batch_id}")
+        write_batch_idempotent(to_storage_rows(stored), batch_id, tables.path("telemetry"))
+        write_batch_idempotent(latest_state(stored), batch_id, tables.path("latest"))
+        write_batch_idempotent(hourly_rollup(stored), batch_id, tables.path("rollup"))
 
     return write
 
@@ -78,6 +76,3 @@ def write_registry(mappings: DataFrame, path: str) -> None:
     """Replace the registry table. It is tiny: one file."""
     mappings.coalesce(1).write.mode("overwrite").parquet(path)
 
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
