@@ -19,27 +19,41 @@ ISO_PATTERN = (
 MAX_EPOCH_MS = 8.64e15
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _json_paths(path: str) -> list[str]:
     """JSONPath spellings of a dotted path; a numeric step may be an index or a key."""
     spellings = ["$"]
     for step in path.split("."):
-        quoted = "['" + step.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        name = "['" + step.replace("\\", "\\\\").replace("'", "\\'") + "']"
         if step.isdigit():
-            spellings = [s + end for s in spellings for end in (f"[{int(step)}]", quoted)]
+            spellings = [s + end for s in spellings for end in (f"[{int(step)}]", name)]
         else:
-            spellings = [s + quoted for s in spellings]
+            spellings = [s + name for s in spellings]
     return spellings
 
 
-def extract_path(payload: Column, path: str, as_type: str = "string") -> Column:
-    """Value at a dotted path of a VARIANT; null where a step is missing or JSON null."""
-    found = [F.try_variant_get(payload, p, as_type) for p in _json_paths(path)]
-    return found[0] if len(found) == 1 else F.coalesce(*found)
+def path_sql(path: str, as_type: str = "string", payload: str = "payload") -> str:
+    """SQL text reading a dotted path of a VARIANT column; null where a step is missing or null."""
+    found = [f"try_variant_get({payload}, {quoted(p)}, '{as_type}')" for p in _json_paths(path)]
+    return found[0] if len(found) == 1 else f"coalesce({', '.join(found)})"
+
+
+def kind_sql(path: str, payload: str = "payload") -> str:
+    """SQL text for the ``schema_of_variant`` name of the value at a path."""
+    return f"schema_of_variant({path_sql(path, 'variant', payload)})"
 
 
-def kind_of(payload: Column, path: str) -> Column:
-    """``schema_of_variant`` name of the value at a path."""
-    return F.schema_of_variant(extract_path(payload, path, "variant"))
+def extract_path(payload: str, path: str, as_type: str = "string") -> Column:
+    """Value at a dotted path of the VARIANT column ``payload``."""
+    return F.expr(path_sql(path, as_type, payload))
+
+
+def kind_of(payload: str, path: str) -> Column:
+    return F.expr(kind_sql(path, payload))
 
 
 def to_number(text: Column, kind: Column | None = None) -> Column:
@@ -150,6 +164,11 @@ def as_text(value: object) -> str:
     return str(value)
 
 
+def truthy_sql(text: str, values: tuple = (True,)) -> str:
+    """SQL text: whether a text column equals any listed constant; absent values are false."""
+    return f"coalesce({text} IN ({', '.join(quoted(as_text(v)) for v in values)}), false)"
+
+
 def truthy(text: Column, values: tuple = (True,)) -> Column:
     """Whether the value's text equals any listed constant; absent values are false."""
     return F.coalesce(text.isin(*[as_text(v) for v in values]), F.lit(False))

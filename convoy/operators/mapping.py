@@ -21,7 +21,7 @@ from convoy.schemas import (
     UNITS,
     VENDOR_MAPPINGS,
 )
-from convoy.functions.fields import as_text
+from convoy.functions.fields import as_text, quoted
 
 
 def vendor_registry(
@@ -129,15 +129,16 @@ def mapping_dict(mappings: DataFrame | dict) -> dict[str, dict]:
 
 
 def by_vendor(
-    registry: dict[str, dict], field: str, build: Callable[[dict, dict], Column | None]
+    registry: dict[str, dict], field: str, build: Callable[[dict, dict], str | None]
 ) -> Column:
-    """One CASE over the vendors that specify ``field``; null for the others."""
-    case = None
+    """One CASE over the vendors that specify ``field``; null for the others.
+
+    ``build`` gives SQL text, so a registry of any size costs one expression to parse.
+    """
+    arms = []
     for oem in sorted(registry):
         spec = registry[oem]["fields"].get(field)
         value = build(spec, registry[oem]) if spec is not None else None
-        if value is None:
-            continue
-        hit = F.col("oem") == oem
-        case = F.when(hit, value) if case is None else case.when(hit, value)
-    return F.lit(None) if case is None else case
+        if value is not None:
+            arms.append(f"WHEN {quoted(oem)} THEN {value}")
+    return F.expr(f"CASE oem {' '.join(arms)} END") if arms else F.lit(None)

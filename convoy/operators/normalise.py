@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from convoy.functions.fields import (
-    extract_path,
     fault_codes,
-    kind_of,
+    kind_sql,
     optional_number,
     parse_ts,
+    path_sql,
+    quoted,
     required_number,
-    truthy,
+    truthy_sql,
     unit_factor,
 )
 from convoy.functions.plan import settle
@@ -70,29 +71,25 @@ def normalise(raw: DataFrame, mappings) -> DataFrame:
     sequence, then the constraints of :func:`validate`.
     """
     registry = mapping_dict(mappings)
-    payload = F.col("payload")
     carried = [c for c in raw.columns if c not in (*CANONICAL_COLUMNS, "payload", "reason")]
 
     def text(field: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: extract_path(payload, s["path"])).cast(
-            "string"
-        )
+        return by_vendor(registry, field, lambda s, _: path_sql(s["path"])).cast("string")
 
     def kind(field: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: kind_of(payload, s["path"])).cast("string")
+        return by_vendor(registry, field, lambda s, _: kind_sql(s["path"])).cast("string")
 
     def items(field: str) -> Column:
-        return by_vendor(
-            registry, field, lambda s, _: extract_path(payload, s["path"], "array<string>")
-        ).cast("array<string>")
-
-    def per_vendor(field: str, key: str, default=None) -> Column:
-        return by_vendor(
-            registry,
-            field,
-            lambda s, _: F.lit(s[key]) if s.get(key) is not None else F.lit(default),
+        return by_vendor(registry, field, lambda s, _: path_sql(s["path"], "array<string>")).cast(
+            "array<string>"
         )
 
+    def label(field: str, key: str, default: str) -> Column:
+        return by_vendor(registry, field, lambda s, _: quoted(s.get(key) or default)).cast("string")
+
+    def scale_of(field: str) -> Column:
+        return by_vendor(registry, field, lambda s, _: f"{float(s.get('scale') or 1.0)!r}D").cast("double")
+
     def boolean_kind(field: str) -> Column:
         return F.when(F.col(f"t_{field}").isin("true", "false"), kind(field))
 
@@ -109,47 +106,45 @@ def normalise(raw: DataFrame, mappings) -> DataFrame:
 
     parsed_ts = parse_ts(
         F.col("t_ts"),
-        per_vendor("ts", "format", "iso").cast("string"),
+        label("ts", "format", "iso"),
         F.when(F.col("t_ts").isNotNull(), kind("ts")),
     )
     columns = {"ts": parsed_ts, "vin": F.upper("t_vin")}
     problems = {}
     for field, quantity in _NUMBERS.items():
         factor = by_vendor(
-            registry, field, lambda s, _: F.lit(unit_factor(quantity, s.get("unit")))
+            registry, field, lambda s, _: f"{unit_factor(quantity, s.get('unit'))!r}D"
         ).cast("double")
-        scale = per_vendor(field, "scale", 1.0).cast("double")
         value, problem = required_number(
-            F.col(f"t_{field}"), field, factor if quantity else 1.0, scale, boolean_kind(field)
+            F.col(f"t_{field}"), field, factor if quantity else 1.0, scale_of(field), boolean_kind(field)
         )
         columns[field] = value
         problems[field] = problem
     columns["speed_kmh"] = F.greatest(F.lit(0.0), columns["speed_kmh"])
     for field in ("fuel_pct", "rpm"):
         columns[field] = optional_number(
-            F.col(f"t_{field}"), per_vendor(field, "scale", 1.0).cast("double"), boolean_kind(field)
+            F.col(f"t_{field}"), scale_of(field), boolean_kind(field)
         )
     columns["dtc"] = fault_codes(
         F.col("_items"),
         F.col("t_dtc"),
         F.when(F.col("_items").isNull(), kind("dtc")),
-        per_vendor("dtc", "split", ",").cast("string"),
+        label("dtc", "split", ","),
     )
     columns["engine_on"] = F.coalesce(
         by_vendor(
             registry,
             "engine_on",
-            lambda s, _: truthy(F.col("t_engine_on"), tuple(s.get("truthy") or (True,))),
+            lambda s, _: truthy_sql("t_engine_on", tuple(s.get("truthy") or (True,))),
         ).cast("boolean"),
         F.lit(False),
     )
     columns["evt"] = F.upper(F.when(F.col("t_evt") != "", F.col("t_evt")))
-    versions = None
-    for oem, doc in sorted(registry.items()):
-        hit = F.col("oem") == oem
-        version = F.lit(int(doc.get("version") or 1))
-        versions = F.when(hit, version) if versions is None else versions.when(hit, version)
-    columns["schema_ver"] = (F.lit(None) if versions is None else versions).cast("int")
+    columns["schema_ver"] = by_vendor(
+        {o: {**doc, "fields": {"version": {}}} for o, doc in registry.items()},
+        "version",
+        lambda _, doc: str(int(doc.get("version") or 1)),
+    ).cast("int")
 
     def unspecified(field: str) -> Column:
         lacking = [o for o, doc in registry.items() if doc["fields"].get(field) is None]

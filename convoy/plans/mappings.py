@@ -143,6 +143,13 @@ REASONS = """, normalised AS (SELECT *, CASE WHEN oem = 'Z' THEN 'no_mapping' WH
 NORMALISED = READ + VALUES + REASONS
 
 
+def each_vendor(field: str, build):
+    """The vendors' column expressions for one field, picked by vendor."""
+    return F.coalesce(
+        *[F.when(F.col("oem") == oem, build(fields[field])) for oem, fields in VENDOR_MAPPINGS.items()]
+    )
+
+
 @query(
     "payload_paths",
     duck(
@@ -153,10 +160,9 @@ NORMALISED = READ + VALUES + REASONS
     ),
 )
 def payload_paths(spark, sf):
-    p = F.col("payload")
 
     def text(field: str):
-        return by_vendor(REGISTRY, field, lambda s, _: fx.extract_path(p, s["path"]))
+        return by_vendor(REGISTRY, field, lambda s, _: fx.path_sql(s["path"]))
 
     return payloads(spark, sf).filter(F.col("oem") != "Z").select(
         "event_id", "copy", "oem",
@@ -173,10 +179,8 @@ def payload_paths(spark, sf):
     duck("wire_defects", then=READ + VALUES + " SELECT event_id, copy, ts_ms FROM vals WHERE oem <> 'Z'"),
 )
 def event_times(spark, sf):
-    p = F.col("payload")
-    ts = by_vendor(
-        REGISTRY, "ts",
-        lambda s, _: fx.parse_ts(fx.extract_path(p, s["path"]), s.get("format", "iso")),
+    ts = each_vendor(
+        "ts", lambda s: fx.parse_ts(fx.extract_path("payload", s["path"]), s.get("format", "iso"))
     )
     rows = payloads(spark, sf).filter(F.col("oem") != "Z")
     return rows.select("event_id", "copy", F.unix_millis(ts).alias("ts_ms"))
@@ -193,12 +197,11 @@ def event_times(spark, sf):
     ),
 )
 def required_numbers(spark, sf):
-    p = F.col("payload")
 
     def text(field: str):
-        return by_vendor(REGISTRY, field, lambda s, _: fx.extract_path(p, s["path"]))
+        return by_vendor(REGISTRY, field, lambda s, _: fx.path_sql(s["path"]))
 
-    factor = by_vendor(REGISTRY, "odo_km", lambda s, _: F.lit(fx.unit_factor("distance", s.get("unit"))))
+    factor = each_vendor("odo_km", lambda s: F.lit(fx.unit_factor("distance", s.get("unit"))))
     speed, speed_reason = fx.required_number(text("speed_kmh"), "speed_kmh")
     odo, odo_reason = fx.required_number(text("odo_km"), "odo_km", factor)
     return payloads(spark, sf).filter(F.col("oem") != "Z").select(
@@ -213,12 +216,10 @@ def required_numbers(spark, sf):
     duck("wire_defects", then=READ + VALUES + " SELECT event_id, copy, round(fuel_pct, 6) AS fuel_pct, rpm FROM vals WHERE oem <> 'Z'"),
 )
 def optional_numbers(spark, sf):
-    p = F.col("payload")
 
     def number(field: str):
-        return by_vendor(
-            REGISTRY, field,
-            lambda s, _: fx.optional_number(fx.extract_path(p, s["path"]), s.get("scale", 1.0)),
+        return each_vendor(
+            field, lambda s: fx.optional_number(fx.extract_path("payload", s["path"]), s.get("scale", 1.0))
         )
 
     rows = payloads(spark, sf).filter(F.col("oem") != "Z")
@@ -258,13 +259,12 @@ def unit_conversion(spark, sf):
     ),
 )
 def fault_code_lists(spark, sf):
-    p = F.col("payload")
-    codes = by_vendor(
-        REGISTRY, "dtc",
-        lambda s, _: fx.fault_codes(
-            fx.extract_path(p, s["path"], "array<string>"),
-            fx.extract_path(p, s["path"]),
-            fx.kind_of(p, s["path"]),
+    codes = each_vendor(
+        "dtc",
+        lambda s: fx.fault_codes(
+            fx.extract_path("payload", s["path"], "array<string>"),
+            fx.extract_path("payload", s["path"]),
+            fx.kind_of("payload", s["path"]),
             s.get("split", ","),
         ),
     )
@@ -277,10 +277,8 @@ def fault_code_lists(spark, sf):
     duck("wire_defects", then=READ + VALUES + " SELECT event_id, copy, engine_on FROM vals WHERE oem <> 'Z'"),
 )
 def engine_switch(spark, sf):
-    p = F.col("payload")
-    on = by_vendor(
-        REGISTRY, "engine_on",
-        lambda s, _: fx.truthy(fx.extract_path(p, s["path"]), tuple(s["truthy"])),
+    on = each_vendor(
+        "engine_on", lambda s: fx.truthy(fx.extract_path("payload", s["path"]), tuple(s["truthy"]))
     )
     return payloads(spark, sf).filter(F.col("oem") != "Z").select("event_id", "copy", on.alias("engine_on"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convoy.operators.mapping import vendor_registry
@@ -10,24 +12,38 @@ from convoy.plans.fixtures import BASE_MS, duck, view
 from convoy.plans.mappings import NORMALISED, ROUTED, directory
 from convoy.plans.registry import ms, query
 from convoy.plans.rule_checks import BRAKES, CODES, EWMA, HITS, IDLE, IDLE_MINUTES, _cooled
+from convoy.session import shared_dir
 from convoy.sources import streams
 from convoy.streaming import pipeline, rules, state
 
 RAW = ("oem", "received_at", "line", "arrival")
 
 
-def landed(spark: SparkSession, df: DataFrame, order: str, name: str, parts: int = 2):
-    """(stream over the table's rows in time order, sink folder, checkpoint folder)."""
+def replayed(
+    spark: SparkSession,
+    df: DataFrame,
+    order: str,
+    name: str,
+    start: Callable[[DataFrame, str, str], None],
+    parts: int = 2,
+) -> str:
+    """Land a table stretch by stretch and catch up after each, on one checkpoint.
+
+    ``start(stream, checkpoint, sink)`` runs the query until it has caught up. Returns the sink folder.
+    """
     data, checkpoint = streams.scratch(spark, name)
-    source = f"{data}/source"
-    streams.land_in_order(df, order, source, parts)
-    return streams.read_raw_stream(spark, source, df.schema), f"{data}/sink", checkpoint
+    source, sink = f"{data}/source", f"{data}/sink"
+    for stretch in streams.stretches(df, order, parts):
+        stretch.write.mode("append").parquet(source)
+        stream = streams.read_raw_stream(spark, source, df.schema, max_files_per_trigger=1000)
+        start(stream, checkpoint, sink)
+    return sink
 
 
 @query("raw_stream", duck("wire_defects", then="SELECT oem, count(*) AS n, min(received_ms) AS first_ms, max(received_ms) AS last_ms FROM wire_defects GROUP BY oem"))
 def raw_stream(spark, sf):
-    stream, sink, checkpoint = landed(spark, view(spark, sf, "wire_defects").select(*RAW), "arrival", "raw")
-    streams.run_available(stream, checkpoint, sink)
+    rows = view(spark, sf, "wire_defects").select(*RAW)
+    sink = replayed(spark, rows, "arrival", "raw", streams.run_available)
     at = F.unix_millis("received_at")
     return spark.read.parquet(sink).groupBy("oem").agg(
         F.count("*").alias("n"), F.min(at).alias("first_ms"), F.max(at).alias("last_ms")
@@ -37,16 +53,22 @@ def raw_stream(spark, sf):
 @query("dedup_stream", duck("arrivals", then="SELECT DISTINCT vin, seq, ts_ms FROM arrivals"))
 def dedup_stream(spark, sf):
     rows = view(spark, sf, "arrivals").select("vin", "seq", "ts", "received_at", "arrival")
-    stream, sink, checkpoint = landed(spark, rows, "arrival", "dedup")
-    streams.run_available(state.dedup_stream(stream), checkpoint, sink)
+    sink = replayed(
+        spark, rows, "arrival", "dedup",
+        lambda stream, checkpoint, sink: streams.run_available(state.dedup_stream(stream), checkpoint, sink),
+    )
     return spark.read.parquet(sink).select("vin", "seq", ms("ts", "ts_ms"))
 
 
 @query("latest_stream", duck("arrivals", then="SELECT vin, event_id, ts_ms FROM arrivals QUALIFY row_number() OVER (PARTITION BY vin ORDER BY ts DESC, arrival) = 1"))
 def latest_stream(spark, sf):
     rows = view(spark, sf, "arrivals").select("vin", "event_id", "ts", "arrival")
-    stream, sink, checkpoint = landed(spark, rows, "arrival", "latest")
-    streams.run_available(stream, checkpoint, each_batch=state.latest_partials(sink))
+    sink = replayed(
+        spark, rows, "arrival", "latest",
+        lambda stream, checkpoint, sink: streams.run_available(
+            stream, checkpoint, each_batch=state.latest_partials(sink)
+        ),
+    )
     return state.read_latest(spark, sink).select("vin", "event_id", ms("ts", "ts_ms"))
 
 
@@ -56,27 +78,39 @@ ROLLUP_INPUT = ("fleet_id", "vin", "ts", "ts_ms", "engine_on", "speed_kmh", "evt
 @query("rollup_partials_stream", duck("telemetry", then="+ " + ROLLED + " SELECT * FROM rolled"))
 def rollup_partials_stream(spark, sf):
     rows = view(spark, sf, "telemetry").select(*ROLLUP_INPUT)
-    stream, sink, checkpoint = landed(spark, rows, "ts_ms", "partials")
-    streams.run_available(stream, checkpoint, each_batch=state.rollup_partials(sink))
+    sink = replayed(
+        spark, rows, "ts_ms", "partials",
+        lambda stream, checkpoint, sink: streams.run_available(
+            stream, checkpoint, each_batch=state.rollup_partials(sink)
+        ),
+    )
     return shown_rollup(state.read_rollup(spark, sink))
 
 
 @query("rollup_window_stream", duck("telemetry", then="+ " + ROLLED + " SELECT * FROM rolled"))
 def rollup_window_stream(spark, sf):
     rows = view(spark, sf, "telemetry").select(*ROLLUP_INPUT)
-    stream, sink, checkpoint = landed(spark, rows, "ts_ms", "windows")
-    out = state.hourly_rollup_stream(stream)
-    streams.run_available(out, checkpoint, mode="update", each_batch=state.updated_rows(sink))
+    sink = replayed(
+        spark, rows, "ts_ms", "windows",
+        lambda stream, checkpoint, sink: streams.run_available(
+            state.hourly_rollup_stream(stream), checkpoint, mode="update", each_batch=state.updated_rows(sink)
+        ),
+    )
     return shown_rollup(state.read_updated(spark, sink))
 
 
-def _alerts(spark, sf) -> tuple[DataFrame, str, str]:
+def _alert_sink(spark, sf, shape: Callable[[DataFrame], DataFrame] = lambda alerts: alerts) -> str:
+    """Folder of the alerts of the replayed telemetry, each batch of them passed through ``shape``."""
     rules.use_rocksdb(spark)
     rows = view(spark, sf, "telemetry_fast").select(
         "vin", "ts", "ts_ms", "seq", "engine_on", "speed_kmh", "evt", "dtc", "fuel_pct"
     )
-    stream, sink, checkpoint = landed(spark, rows, "ts_ms", "rules")
-    return rules.evaluate_rules_stream(stream, idle_minutes=IDLE_MINUTES), sink, checkpoint
+
+    def start(stream: DataFrame, checkpoint: str, sink: str) -> None:
+        alerts = rules.evaluate_rules_stream(stream, idle_minutes=IDLE_MINUTES)
+        streams.run_available(shape(alerts), checkpoint, sink)
+
+    return replayed(spark, rows, "ts_ms", "rules", start)
 
 
 ALERT_SQL = (
@@ -88,8 +122,7 @@ ALERT_SQL = (
 
 @query("rule_alerts_stream", duck("telemetry_fast", then=ALERT_SQL + " SELECT * FROM alerts"))
 def rule_alerts_stream(spark, sf):
-    alerts, sink, checkpoint = _alerts(spark, sf)
-    streams.run_available(alerts, checkpoint, sink)
+    sink = _alert_sink(spark, sf)
     return spark.read.parquet(sink).select("vin", "code", "severity", ms("ts", "ts_ms"), "seq")
 
 
@@ -102,9 +135,8 @@ def rule_alerts_stream(spark, sf):
     ),
 )
 def alert_feed_stream(spark, sf):
-    alerts, sink, checkpoint = _alerts(spark, sf)
     owners = view(spark, sf, "vehicle").join(view(spark, sf, "fleet"), "fleet_id").select("vin", "tenant_id")
-    streams.run_available(state.alert_feed(alerts.join(owners, "vin"), 2), checkpoint, sink)
+    sink = _alert_sink(spark, sf, lambda alerts: state.alert_feed(alerts.join(owners, "vin"), 2))
     return spark.read.parquet(sink).select("vin", "code", ms("ts", "ts_ms"), "tenant_id")
 
 
@@ -150,11 +182,14 @@ def hot_reload_stream(spark, sf):
 )
 def ingest_stream(spark, sf):
     rows = view(spark, sf, "wire_defects").select(*RAW)
-    stream, sink, checkpoint = landed(spark, rows, "arrival", "ingest")
-    registry, tables = f"{sink}/registry", pipeline.Tables(f"{sink}/tables")
+    root = shared_dir(spark, "ingest")
+    registry, tables = f"{root}/registry", pipeline.Tables(f"{root}/tables")
     pipeline.write_registry(vendor_registry(spark), registry)
     body = pipeline.ingest_batch(tables, registry, *directory(spark, sf))
-    streams.run_available(stream, checkpoint, each_batch=body)
+    replayed(
+        spark, rows, "arrival", "ingest",
+        lambda stream, checkpoint, _: streams.run_available(stream, checkpoint, each_batch=body),
+    )
     counts = [
         spark.read.parquet(path).groupBy("oem").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "oem", "n")
         for part, path in (("telemetry", tables.path("telemetry")), ("dead", tables.path("dead")))

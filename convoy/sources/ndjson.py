@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convoy.functions.fields import extract_path, kind_of
+from convoy.functions.fields import extract_path, kind_of, path_sql
 from convoy.functions.plan import settle
 from convoy.operators.mapping import by_vendor, mapping_dict
 from convoy.schemas import FALLBACK_VIN_KEYS
@@ -89,11 +89,8 @@ def with_partition_key(
     df: DataFrame, mappings, fallback: tuple[str, ...] = FALLBACK_VIN_KEYS
 ) -> DataFrame:
     """Add ``key``: the mapped VIN value, else the first text among the usual VIN keys, else null."""
-    payload = F.col("payload")
-    mapped = by_vendor(
-        mapping_dict(mappings), "vin", lambda spec, _: extract_path(payload, spec["path"])
-    )
+    mapped = by_vendor(mapping_dict(mappings), "vin", lambda spec, _: path_sql(spec["path"]))
     usual = [
-        F.when(kind_of(payload, k) == "STRING", extract_path(payload, k)) for k in fallback
+        F.when(kind_of("payload", k) == "STRING", extract_path("payload", k)) for k in fallback
     ]
     return df.withColumn("key", F.coalesce(mapped, *usual))

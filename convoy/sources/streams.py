@@ -43,16 +43,12 @@ def read_raw_kafka(
     )
 
 
-def land_in_order(df: DataFrame, order: str, path: str, parts: int = 3) -> None:
-    """Write a table as ``parts`` consecutive stretches of an integer column, oldest file first.
-
-    The stretches are equal in value range, so their number does not depend on the row count.
-    """
+def stretches(df: DataFrame, order: str, parts: int) -> list[DataFrame]:
+    """A table cut into consecutive stretches of an integer column, equal in value range."""
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // parts + 1
-    for i in range(parts):
-        stretch = df.filter((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        stretch.write.mode("append").parquet(path)
+    at = F.col(order)
+    return [df.filter((at >= low + i * step) & (at < low + (i + 1) * step)) for i in range(parts)]
 
 
 def run_available(
