@@ -67,7 +67,7 @@ def to_number(text: Column, kind: Column | None = None) -> Column:
             text.isin("true", "false") & (kind == "BOOLEAN"),
             F.when(text == "true", F.lit(1.0)).otherwise(F.lit(0.0)),
         ).otherwise(number)
-    return F.when(F.abs(number) < float("inf"), number)
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def _from_epoch_ms(ms: Column) -> Column:
@@ -78,31 +78,37 @@ def _from_epoch_ms(ms: Column) -> Column:
 def parse_ts(text: Column, fmt: Column | str = "iso", kind: Column | None = None) -> Column:
     """Event time at millisecond precision, or null where it cannot be read.
 
-    Day and month numbers beyond their range roll over into the next month or year.
+    Day and month numbers beyond their range roll over into the next month or year. A bare number
+    (by ``kind``) in an ISO field counts as epoch milliseconds.
     """
     fmt = F.lit(fmt) if isinstance(fmt, str) else fmt
-    number = to_number(text)
-    part = [F.regexp_extract(text, DMY_PATTERN, i).try_cast("int") for i in range(1, 7)]
-    day, month, year, hour, minute, second = part
-    year = F.when(year < 100, year + 1900).otherwise(year)
-    first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), month - 1)
-    seconds = (
-        (F.unix_date(first) + day - 1).cast("bigint") * 86400 + hour * 3600 + minute * 60 + second
-    )
+    epoch = fmt.isin("epoch_ms", "epoch_s")
+    if kind is not None:
+        epoch = epoch | ((fmt == "iso") & kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"))
+    factor = F.when(fmt == "epoch_s", F.lit(1000.0)).otherwise(F.lit(1.0))
     iso = F.when(
         text.rlike(ISO_PATTERN),
         F.when(F.length(text) == 7, F.concat(text, F.lit("-01"))).otherwise(text),
     ).try_cast("timestamp")
-    if kind is not None:
-        iso = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), _from_epoch_ms(number)).otherwise(iso)
     return (
-        F.when(fmt == "epoch_ms", _from_epoch_ms(number))
-        .when(fmt == "epoch_s", _from_epoch_ms(number * 1000))
-        .when(fmt == "ddmmyyyy_hms", F.when(text.rlike(DMY_PATTERN), F.timestamp_seconds(seconds)))
+        F.when(epoch, _from_epoch_ms(to_number(text) * factor))
+        .when(fmt == "ddmmyyyy_hms", F.when(text.rlike(DMY_PATTERN), _from_day_first(text)))
         .otherwise(F.date_trunc("MILLISECOND", iso))
     )
 
 
+def _from_day_first(text: Column) -> Column:
+    """Time of a text known to read dd/mm/yyyy hh:mm:ss; two-digit years belong to the 1900s."""
+
+    def at(start: int, length: int) -> Column:
+        return F.substring(text, start, length).try_cast("int")
+
+    year = at(7, 4) + F.when(F.substring(text, 7, 2) == "00", F.lit(1900)).otherwise(F.lit(0))
+    first = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), at(4, 2) - 1)
+    days = (F.unix_date(first) + at(1, 2) - 1).cast("bigint")
+    return F.timestamp_seconds(days * 86400 + at(12, 2) * 3600 + at(15, 2) * 60 + at(18, 2))
+
+
 def unit_factor(quantity: str, unit: str | None) -> float:
     """Multiplier to km/h or km; a unit that does not belong to the quantity changes nothing."""
     table = SPEED_FACTORS if quantity == "speed" else DISTANCE_FACTORS
@@ -122,10 +128,14 @@ def required_number(
 ) -> tuple[Column, Column]:
     """(value, reason): the reason is ``missing:<name>`` or ``bad_number:<name>`` or null."""
     number = to_number(text, kind)
-    reason = F.when(text.isNull() | (text == ""), F.lit(f"missing:{name}")).when(
+    return number * factor * scale, number_problem(text, number, name)
+
+
+def number_problem(text: Column, number: Column, name: str) -> Column:
+    """Why a required number cannot be used, or null."""
+    return F.when(text.isNull() | (text == ""), F.lit(f"missing:{name}")).when(
         number.isNull(), F.lit(f"bad_number:{name}")
     )
-    return number * factor * scale, reason
 
 
 def optional_number(
@@ -164,11 +174,6 @@ def as_text(value: object) -> str:
     return str(value)
 
 
-def truthy_sql(text: str, values: tuple = (True,)) -> str:
-    """SQL text: whether a text column equals any listed constant; absent values are false."""
-    return f"coalesce({text} IN ({', '.join(quoted(as_text(v)) for v in values)}), false)"
-
-
 def truthy(text: Column, values: tuple = (True,)) -> Column:
     """Whether the value's text equals any listed constant; absent values are false."""
     return F.coalesce(text.isin(*[as_text(v) for v in values]), F.lit(False))

@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from convoy.functions.fields import (
+    as_text,
     fault_codes,
-    kind_sql,
-    optional_number,
+    number_problem,
     parse_ts,
     path_sql,
     quoted,
-    required_number,
-    truthy_sql,
+    to_number,
     unit_factor,
 )
 from convoy.functions.plan import settle
 from convoy.functions.vin import is_valid_vin, vin_problem
 from convoy.operators.mapping import by_vendor, mapping_dict
-from convoy.schemas import CANONICAL_COLUMNS, DTC_PATTERN, REQUIRED_FIELDS
+from convoy.schemas import (
+    CANONICAL_COLUMNS,
+    CANONICAL_SCHEMA,
+    DTC_PATTERN,
+    OPTIONAL_FIELDS,
+    REQUIRED_FIELDS,
+)
 
-_NUMBERS = {"lat": None, "lon": None, "speed_kmh": "speed", "odo_km": "distance", "seq": None}
+# numeric fields and the quantity whose units apply to them
+_NUMBERS = {
+    "lat": None,
+    "lon": None,
+    "speed_kmh": "speed",
+    "odo_km": "distance",
+    "seq": None,
+    "fuel_pct": None,
+    "rpm": None,
+}
 MAX_SAFE_INTEGER = float(2**53 - 1)
 
 
@@ -62,115 +76,108 @@ def validate(canonical: DataFrame) -> DataFrame:
     return canonical.withColumn("reason", invalid_reason())
 
 
+def _constants(registry: dict[str, dict]) -> Column:
+    """The vendors' constants (version, time format, separator, factors, scales) as one struct."""
+
+    def constants(doc: dict) -> str:
+        spec = {name: doc["fields"].get(name) or {} for name in (*REQUIRED_FIELDS, *OPTIONAL_FIELDS)}
+        parts = {
+            "version": f"{int(doc.get('version') or 1)}",
+            "format": quoted(spec["ts"].get("format") or "iso"),
+            "split": quoted(spec["dtc"].get("split") or ","),
+            "engine": f"{'engine_on' in doc['fields']}".lower(),
+            "truthy": "array(" + ", ".join(quoted(as_text(v)) for v in spec["engine_on"].get("truthy") or (True,)) + ")",
+        }
+        for name in _NUMBERS:
+            factor = unit_factor(_NUMBERS[name], spec[name].get("unit")) if _NUMBERS[name] else 1.0
+            parts[f"factor_{name}"] = f"{factor!r}D"
+            parts[f"scale_{name}"] = f"{float(spec[name].get('scale') or 1.0)!r}D"
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
+
+    arms = " ".join(f"WHEN {quoted(o)} THEN {constants(registry[o])}" for o in sorted(registry))
+    return F.expr(f"CASE oem {arms} END")
+
+
 def normalise(raw: DataFrame, mappings) -> DataFrame:
     """Canonical columns plus ``reason`` for every row of ``raw`` (columns ``oem, payload, ...``).
 
     The other columns of ``raw`` pass through. An earlier non-null ``reason`` is kept. Every vendor
-    is served by the same scan: a field is read by one CASE over the vendors, then converted once.
+    is served by the same scan: a field is picked by one CASE over the vendors, and from there on all
+    vendors share one small set of conversions, done in steps so that nothing is spelt out twice.
     Failures are named in reading order: vin, ts, time format, lat, lon, speed, odometer,
     sequence, then the constraints of :func:`validate`.
     """
     registry = mapping_dict(mappings)
     carried = [c for c in raw.columns if c not in (*CANONICAL_COLUMNS, "payload", "reason")]
-
-    def text(field: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: path_sql(s["path"])).cast("string")
-
-    def kind(field: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: kind_sql(s["path"])).cast("string")
-
-    def items(field: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: path_sql(s["path"], "array<string>")).cast(
-            "array<string>"
-        )
-
-    def label(field: str, key: str, default: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: quoted(s.get(key) or default)).cast("string")
-
-    def scale_of(field: str) -> Column:
-        return by_vendor(registry, field, lambda s, _: f"{float(s.get('scale') or 1.0)!r}D").cast("double")
-
-    def boolean_kind(field: str) -> Column:
-        return F.when(F.col(f"t_{field}").isin("true", "false"), kind(field))
-
+    fields = (*REQUIRED_FIELDS, *OPTIONAL_FIELDS)
     prior = F.col("reason") if "reason" in raw.columns else F.lit(None).cast("string")
-    fields = (*REQUIRED_FIELDS, "fuel_pct", "rpm", "engine_on", "evt", "dtc")
-    read = raw.select(
+    if not registry:
+        empty = [F.lit(None).cast(CANONICAL_SCHEMA[c].dataType).alias(c) for c in CANONICAL_COLUMNS if c != "oem"]
+        out = raw.select(*carried, "payload", "oem", *empty, F.coalesce(prior, F.lit("no_mapping")).alias("reason"))
+        return out.select(*carried, "payload", *CANONICAL_COLUMNS, "reason")
+
+    picked = raw.select(
         *carried,
         "oem",
         "payload",
         prior.alias("_prior"),
-        *[text(f).alias(f"t_{f}") for f in fields],
-        items("dtc").alias("_items"),
+        _constants(registry).alias("_c"),
+        *[
+            by_vendor(registry, f, lambda s, _: path_sql(s["path"], "variant")).cast("variant").alias(f"v_{f}")
+            for f in fields
+        ],
     )
-
-    parsed_ts = parse_ts(
-        F.col("t_ts"),
-        label("ts", "format", "iso"),
-        F.when(F.col("t_ts").isNotNull(), kind("ts")),
+    kept = [*carried, "oem", "payload", "_prior", "_c"]
+    texts = picked.select(
+        *kept, "v_dtc", "v_ts", *[f"v_{f}" for f in _NUMBERS],
+        *[F.try_variant_get(f"v_{f}", "$", "string").alias(f"t_{f}") for f in fields],
     )
-    columns = {"ts": parsed_ts, "vin": F.upper("t_vin")}
-    problems = {}
-    for field, quantity in _NUMBERS.items():
-        factor = by_vendor(
-            registry, field, lambda s, _: f"{unit_factor(quantity, s.get('unit'))!r}D"
-        ).cast("double")
-        value, problem = required_number(
-            F.col(f"t_{field}"), field, factor if quantity else 1.0, scale_of(field), boolean_kind(field)
-        )
-        columns[field] = value
-        problems[field] = problem
-    columns["speed_kmh"] = F.greatest(F.lit(0.0), columns["speed_kmh"])
-    for field in ("fuel_pct", "rpm"):
-        columns[field] = optional_number(
-            F.col(f"t_{field}"), scale_of(field), boolean_kind(field)
-        )
-    columns["dtc"] = fault_codes(
-        F.col("_items"),
-        F.col("t_dtc"),
-        F.when(F.col("_items").isNull(), kind("dtc")),
-        label("dtc", "split", ","),
+    ts_kind = F.schema_of_variant("v_ts")
+    numbers = texts.select(
+        *kept, *[f"t_{f}" for f in fields],
+        *[to_number(F.col(f"t_{f}"), F.schema_of_variant(f"v_{f}")).alias(f"n_{f}") for f in _NUMBERS],
+        parse_ts(F.col("t_ts"), F.col("_c.format"), ts_kind).alias("ts"),
+        F.try_variant_get("v_dtc", "$", "array<string>").alias("_items"),
+        F.schema_of_variant("v_dtc").alias("_dtc_kind"),
     )
-    columns["engine_on"] = F.coalesce(
-        by_vendor(
-            registry,
-            "engine_on",
-            lambda s, _: truthy_sql("t_engine_on", tuple(s.get("truthy") or (True,))),
-        ).cast("boolean"),
-        F.lit(False),
+
+    values = {
+        f: F.col(f"n_{f}") * F.col(f"_c.factor_{f}") * F.col(f"_c.scale_{f}") for f in _NUMBERS
+    }
+    values["speed_kmh"] = F.greatest(F.lit(0.0), values["speed_kmh"])
+    for optional in ("fuel_pct", "rpm"):
+        values[optional] = F.when(F.col(f"t_{optional}") != "", values[optional])
+    typed = numbers.select(
+        *carried, "oem", "payload", "_prior", "ts",
+        *[f"t_{f}" for f in REQUIRED_FIELDS],
+        *[f"n_{f}" for f in _NUMBERS],
+        F.upper("t_vin").alias("vin"),
+        *[value.alias(f) for f, value in values.items()],
+        fault_codes(F.col("_items"), F.col("t_dtc"), F.col("_dtc_kind"), F.col("_c.split")).alias("dtc"),
+        F.coalesce(
+            F.col("_c.engine") & F.array_contains("_c.truthy", F.col("t_engine_on")), F.lit(False)
+        ).alias("engine_on"),
+        F.upper(F.when(F.col("t_evt") != "", F.col("t_evt"))).alias("evt"),
+        F.col("_c.version").alias("schema_ver"),
     )
-    columns["evt"] = F.upper(F.when(F.col("t_evt") != "", F.col("t_evt")))
-    columns["schema_ver"] = by_vendor(
-        {o: {**doc, "fields": {"version": {}}} for o, doc in registry.items()},
-        "version",
-        lambda _, doc: str(int(doc.get("version") or 1)),
-    ).cast("int")
-
-    def unspecified(field: str) -> Column:
+
+    def unspecified(field: str) -> list[Column]:
         lacking = [o for o, doc in registry.items() if doc["fields"].get(field) is None]
-        return F.when(F.col("oem").isin(*lacking), F.lit("mapping_exception")) if lacking else F.lit(None)
+        return [F.when(F.col("oem").isin(*lacking), F.lit("mapping_exception"))] if lacking else []
 
-    known = F.col("oem").isin(*registry) if registry else F.lit(False)
     reading = F.coalesce(
         F.col("_prior"),
-        F.when(~F.coalesce(known, F.lit(False)), F.lit("no_mapping")),
-        unspecified("vin"),
+        F.when(F.col("schema_ver").isNull(), F.lit("no_mapping")),
+        *unspecified("vin"),
         F.when(F.col("t_vin").isNull(), F.lit("missing:vin")),
-        unspecified("ts"),
+        *unspecified("ts"),
         F.when(F.col("t_ts").isNull(), F.lit("missing:ts")),
         F.when(F.col("ts").isNull(), F.lit("bad_ts")),
-        *[c for f in _NUMBERS for c in (unspecified(f), F.col(f"p_{f}"))],
-    ).cast("string")
-
-    typed = read.select(
-        *carried,
-        "oem",
-        "payload",
-        "_prior",
-        "t_vin",
-        "t_ts",
-        *[c.alias(n) for n, c in columns.items()],
-        *[c.alias(f"p_{n}") for n, c in problems.items()],
+        *[
+            c
+            for f in REQUIRED_FIELDS[2:]
+            for c in (*unspecified(f), number_problem(F.col(f"t_{f}"), F.col(f"n_{f}"), f))
+        ],
     )
     judged = typed.withColumn("reason", reading).withColumn(
         "reason", F.coalesce("reason", F.when(F.col("reason").isNull(), invalid_reason()))
