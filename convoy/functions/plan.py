@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -13,3 +15,18 @@ def settle(df: DataFrame) -> DataFrame:
     plans that grow with each step. A one-element generator is the boundary it does not cross.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
+def join_back(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of a summary that was itself made from ``rows``, one row per key.
+
+    The match is null-safe: an ordinary equality lets Catalyst infer not-null filters for one of the two
+    branches, which then no longer share the shuffle of ``rows``.
+    """
+    side = summary.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in summary.columns if c not in keys]
+    )
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    )
+    return rows.join(side, same).drop(*[f"_of_{k}" for k in keys])

@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from convoy.functions.plan import join_back
+
 SLICE = "_key string, _slice bigint"
 STEPS = SLICE + ", upto bigint, exit bigint"
 START = SLICE + ", last bigint"
@@ -149,7 +151,7 @@ def apply_cooldown(
         .mapInPandas(_chain(cooldown), START)
     )
     kept = (
-        times.join(starts, groups)
+        join_back(times, starts, groups)
         .sortWithinPartitions(*groups, "t")
         .mapInPandas(_walk(cooldown), "_key string, _t bigint")
     )

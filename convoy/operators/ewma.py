@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from convoy.functions.plan import join_back
+
 BLOCK = 64
 SIDE = "_key string, _slice bigint, "
 SUMMARY = SIDE + "n bigint, ref double, decay double, mean_0 double, p double, q double, r double"
@@ -199,26 +201,36 @@ def ewma_z(
 
     z is 0 until ``warmup`` samples were seen or while the deviation is at most 1e-9.
     """
-    keep = [key, "ts", "seq", value]
     part = F.floor(F.unix_millis("ts") / F.lit(slice_ms))
     rows = df.select(
-        *keep, F.col(key).cast("string").alias("_key"), part.alias("_slice"), F.col(value).alias("x")
-    ).repartition("_key", "_slice")
+        F.col(key).cast("string").alias("_key"),
+        part.alias("_slice"),
+        "ts",
+        "seq",
+        F.col(value).cast("double").alias("x"),
+    ).repartition("_key", "_slice")  # one shuffle serves the summaries and the replay
     order = ["_key", "_slice", "ts", "seq"]
-    summaries = (
-        rows.select("_key", "_slice", "ts", "seq", "x")
-        .sortWithinPartitions(*order)
-        .mapInPandas(_summarise(alpha), SUMMARY)
-    )
     starts = (
-        summaries.repartition("_key").sortWithinPartitions("_key", "_slice").mapInPandas(_chain, START)
+        rows.sortWithinPartitions(*order)
+        .mapInPandas(_summarise(alpha), SUMMARY)
+        .repartition("_key")
+        .sortWithinPartitions("_key", "_slice")
+        .mapInPandas(_chain, START)
     )
     types = dict(df.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in keep) + ", z double"
+    kept = ["_key", "ts", "seq", "x"]
+    schema = f"_key string, ts timestamp, seq {types['seq']}, x double, z double"
     return (
-        rows.join(starts, ["_key", "_slice"])
+        join_back(rows, starts, ["_key", "_slice"])
         .sortWithinPartitions(*order)
-        .mapInPandas(_replay(alpha, warmup, keep), schema)
+        .mapInPandas(_replay(alpha, warmup, kept), schema)
+        .select(
+            F.col("_key").cast(types[key]).alias(key),
+            "ts",
+            "seq",
+            F.col("x").cast(types[value]).alias(value),
+            "z",
+        )
     )
 
 

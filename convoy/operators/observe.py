@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convoy.functions.plan import join_back
 from convoy.schemas import LATENCY_BOUNDS
 
 
@@ -131,8 +132,7 @@ def late_events(
         F.lit(0).cast("bigint"), F.unix_millis(newest) - F.unix_millis(F.col("ts"))
     )
     return (
-        rows.withColumn("_seen", F.max("ts").over(inside))
-        .join(carried, [key, "_slot"])
+        join_back(rows.withColumn("_seen", F.max("ts").over(inside)), carried, [key, "_slot"])
         .withColumn("lateness_ms", F.coalesce(lateness, F.lit(0).cast("bigint")))
         .drop("_slot", "_seen", "_carry")
     )

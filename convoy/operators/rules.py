@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convoy.functions.plan import join_back
 from convoy.operators.cooldown import apply_cooldown
 from convoy.operators.ewma import ewma_z
 from convoy.schemas import RULE_SEVERITY
@@ -81,8 +82,8 @@ def idle_runs(df: DataFrame, moving_kmh: float = 1.0, slice_ms: int = 300_000) -
         .select("vin", "_slice", F.lag("_open").over(by_slice).alias("_carry"))
     )
     return (
-        marked.filter("_idle")
-        .join(carried, ["vin", "_slice"])
+        join_back(marked, carried, ["vin", "_slice"])
+        .filter("_idle")
         .select(
             "vin",
             "ts",

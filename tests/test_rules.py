@@ -197,3 +197,11 @@ def test_stream_equals_batch_over_many_files(spark):
         alerts = live.evaluate_rules_stream(stream, idle_minutes=2)
         streams.run_available(alerts, checkpoint, f"{data}/out")
     assert found(spark.read.parquet(f"{data}/out")) == expected
+
+
+@pytest.mark.parametrize("operator", [rules.idle_runs, ewma_z])
+def test_summary_and_replay_share_one_shuffle(spark, operator):
+    rows = spark.createDataFrame([event(i * 1000, i, speed=float(i % 3)) for i in range(50)], SCHEMA)
+    df = operator(rows)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
