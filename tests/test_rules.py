@@ -135,7 +135,7 @@ def test_zscore(spark):
 
 
 def crowd(seed, hot=2500, others=20, each=60):
-    """One vehicle with a third of all rows and ties in time, and many small ones."""
+    """One vehicle with a third of all rows, one with half, ties in time, and many small ones."""
     rnd = random.Random(seed)
     rows, seq = [], 0
     for vin, n, pace in [("HOT", hot, 4_000)] + [(f"V{i}", each, 60_000) for i in range(others)] + [
