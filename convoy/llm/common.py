@@ -78,13 +78,35 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
         .where("y = y_max")
         .select("doc_id", "y", F.xxhash64("doc_id").alias("o"))
     )
-    short = docs.where(F.length("text") <= max_chars).select("doc_id", F.col("text"))
-    picked: list[tuple[str, int]] = []
+    ids = None
     for y in (0, 1):
-        ids = known.where(F.col("y") == y).orderBy("o", "doc_id").limit(per_class)
-        rows = short.join(F.broadcast(ids), "doc_id").select("o", "doc_id", "text").collect()
-        seen: dict[int, str] = {}
-        for r in sorted(rows, key=lambda r: (r.o, r.doc_id, r.text)):
-            seen.setdefault(r.doc_id, r.text)
-        picked += [(t, y) for t in seen.values()]
-    return picked
+        some = known.where(F.col("y") == y).orderBy("o", "doc_id").limit(per_class)
+        ids = some if ids is None else ids.unionAll(some)
+    short = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
+    rows = short.join(F.broadcast(ids), "doc_id").select("y", "o", "doc_id", "text").collect()
+    picked: dict[int, tuple[str, int]] = {}
+    for r in sorted(rows, key=lambda r: (r.y, r.o, r.doc_id, r.text)):
+        picked.setdefault(r.doc_id, (r.text, r.y))
+    return list(picked.values())
+
+
+#: Rows of ids up to which a side is broadcast (8 bytes each); larger sides are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def flagged(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a boolean column: is its doc_id among ``ids`` (one column, doc_id, distinct)?
+
+    The ids are broadcast only if counting them shows that they fit; otherwise both sides shuffle.
+    """
+    marked = ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_hit"))
+    if marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        marked = F.broadcast(marked)
+    joined = docs.join(marked, F.col("doc_id") == F.col("_id"), "left")
+    return joined.withColumn(name, F.col("_hit").isNotNull()).drop("_id", "_hit")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids that ``labels`` marks as good and that are not held out."""
+    good = labels.where(F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("q"))
+    return good.where("q = 1").select("doc_id")

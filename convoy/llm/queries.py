@@ -8,7 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convoy.llm.bpe import encode_documents
-from convoy.llm.common import table
+from convoy.llm.byte_cnn import quality_scores
+from convoy.llm.common import held_out, table, trusted_ids
+from convoy.llm.domain_lm import cross_entropy_difference
+from convoy.llm.quality_ratio import quality_rules
+from convoy.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +25,31 @@ def query(fn):
     return fn
 
 
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    predicted = (F.col("score") >= threshold).cast("int")
+    return scores.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query
+def op3_quality_ratio(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    return _judged(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.7)
+
+
+@query
+def op6_byte_cnn(spark, sf_dir):
+    return _judged(quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.5)
+
+
+@query
+def op8_domain_lm(spark, sf_dir):
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+
+
 @query
 def op7_bpe_codec(spark, sf_dir):
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
