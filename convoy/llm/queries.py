@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convoy.llm.bpe import encode_documents
 from convoy.llm.byte_cnn import quality_scores
 from convoy.llm.common import held_out, table, trusted_ids
+from convoy.llm.decontaminate import find_items
 from convoy.llm.domain_lm import cross_entropy_difference
+from convoy.llm.line_runs import drop_repeated_runs
 from convoy.llm.quality_ratio import quality_rules
 from convoy.llm.toxicity import toxicity_scores
 
@@ -20,11 +22,70 @@ ORACLES: dict[str, str] = {}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
-def query(fn):
+def query(fn=None, *, sql: str | None = None):
+    """Registers a query and, where one exists, the SQL that gives the same rows."""
+    if fn is None:
+        return lambda f: query(f, sql=sql)
     QUERIES[fn.__name__] = fn
+    if sql:
+        ORACLES[fn.__name__] = sql
     return fn
 
 
+SPLIT_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+LINE_RUNS_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents
+), w AS (
+  SELECT *, len(regexp_extract_all(line, '[^ \t\r\f\v]+')) AS words FROM l
+), s AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM w WHERE words > 0
+), g AS (
+  SELECT doc_id, list(line ORDER BY pos) AS lines, list(pos ORDER BY pos) AS places FROM s GROUP BY doc_id
+), f AS (
+  SELECT doc_id, i, i + count(*) OVER (PARTITION BY doc_id ORDER BY stop - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) - 1 AS j,
+    sum(words) OVER (PARTITION BY doc_id ORDER BY stop - words RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS n FROM s
+  UNION
+  SELECT doc_id, i - count(*) OVER (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) + 1, i,
+    sum(words) OVER (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) FROM s
+), r AS (
+  SELECT doc_id, list_extract(places, i) AS a, list_extract(places, j) AS b, array_to_string(list_slice(lines, i, j), chr(10)) AS body
+  FROM f JOIN g USING (doc_id) WHERE n >= 50
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS k FROM r
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM m WHERE k > 1
+), o AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
+    string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.pos = gone.pos GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN o USING (doc_id)
+"""
+
+DECONTAMINATE_SQL = rf"""
+WITH d AS (SELECT doc_id, {SPLIT_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {SPLIT_WORDS} AS w FROM benchmark),
+x AS (
+  SELECT item_id, list_slice(w, p, p + 9) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT len(win) AS n FROM x),
+e AS (
+  SELECT doc_id, p, n, list_slice(w, p, p + n - 1) AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d JOIN sizes ON len(w) >= n)
+), h AS (SELECT DISTINCT e.doc_id, e.p, e.n, x.item_id FROM e JOIN x ON e.win = x.win),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     predicted = (F.col("score") >= threshold).cast("int")
     return scores.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
@@ -35,6 +96,12 @@ def op3_quality_ratio(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
 
 
+@query(sql=LINE_RUNS_SQL)
+def op4_line_runs(spark, sf_dir):
+    kept = drop_repeated_runs(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op5_toxicity(spark, sf_dir):
     return _judged(toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), 0.7)
@@ -54,3 +121,13 @@ def op8_domain_lm(spark, sf_dir):
 def op7_bpe_codec(spark, sf_dir):
     coded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(sql=DECONTAMINATE_SQL)
+def op10_decontaminate(spark, sf_dir):
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
