@@ -13,6 +13,7 @@ from convoy.llm.common import held_out, table, trusted_ids
 from convoy.llm.decontaminate import find_items
 from convoy.llm.domain_lm import cross_entropy_difference
 from convoy.llm.line_runs import drop_repeated_runs
+from convoy.llm.minhash import near_duplicates
 from convoy.llm.quality_ratio import quality_rules
 from convoy.llm.toxicity import toxicity_scores
 
@@ -91,6 +92,12 @@ def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@query
+def op2_minhash(spark, sf_dir):
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=2)
+    return found.select("doc_id", "n_shingles", "class_id", "component_id", "kept")
+
+
 @query
 def op3_quality_ratio(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
