@@ -15,6 +15,7 @@ from convoy.llm.domain_lm import cross_entropy_difference
 from convoy.llm.line_runs import drop_repeated_runs
 from convoy.llm.minhash import near_duplicates
 from convoy.llm.quality_ratio import quality_rules
+from convoy.llm.substrings import drop_repeated_strings
 from convoy.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +131,12 @@ def op7_bpe_codec(spark, sf_dir):
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op9_substrings(spark, sf_dir):
+    cut = drop_repeated_strings(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(sql=DECONTAMINATE_SQL)
 def op10_decontaminate(spark, sf_dir):
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
