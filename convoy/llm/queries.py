@@ -16,6 +16,7 @@ from convoy.llm.line_runs import drop_repeated_runs
 from convoy.llm.minhash import near_duplicates
 from convoy.llm.quality_ratio import quality_rules
 from convoy.llm.substrings import drop_repeated_strings
+from convoy.llm.surrogates import surrogates
 from convoy.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +94,15 @@ def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+#: Key of the registered query; a real one belongs in a secret store.
+SURROGATE_KEY = b"convoy"
+
+
+@query
+def op1_surrogates(spark, sf_dir):
+    return surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
 @query
 def op2_minhash(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), width=2)
