@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from convoy.llm.common import Shared
+
 #: Pieces up to this many bytes share an array of trees.
 TOGETHER = 64
 #: Distinct pieces whose ids a worker remembers.
@@ -222,32 +224,24 @@ class BytePairEncoder:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
 
 
-_encoders: dict[tuple, BytePairEncoder] = {}
-
-
-def _encoder(ranks, pattern: str) -> BytePairEncoder:
-    """One encoder per worker and vocabulary."""
-    key = (ranks.id if hasattr(ranks, "id") else id(ranks), pattern)
-    if key not in _encoders:
-        _encoders[key] = BytePairEncoder(ranks.value, pattern)
-    return _encoders[key]
-
-
 class Codec:
     """Column functions for one vocabulary file; its ranks go to the executors once."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
-        ranks = spark.sparkContext.broadcast(read_ranks(path))
+        ranks = Shared(spark, read_ranks(path))
+
+        def encoder() -> BytePairEncoder:
+            return ranks.built(lambda value: BytePairEncoder(value, pattern))
 
         @F.arrow_udf("binary")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for texts in batches:
-                yield pa.array(_encoder(ranks, pattern).encode(texts.to_pylist()), pa.binary())
+                yield pa.array(encoder().encode(texts.to_pylist()), pa.binary())
 
         @F.arrow_udf("binary")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for ids in batches:
-                yield pa.array([_encoder(ranks, pattern).decode(x) for x in ids.to_pylist()], pa.binary())
+                yield pa.array([encoder().decode(x) for x in ids.to_pylist()], pa.binary())
 
         self._encode, self._decode = encode, decode
 

@@ -22,7 +22,8 @@ CHUNK, OVERLAP = 512, 32
 DIM, STRIDE, FILTERS = 8, 4, 24
 #: Bounds of the training sample: documents per label and characters of a document.
 PER_CLASS, MAX_CHARS = 500, 4000
-EPOCHS, RATE, BATCH = 16, 0.004, 32
+#: Small samples go round more often, up to STEPS batches.
+EPOCHS, STEPS, RATE, BATCH = 16, 400, 0.004, 32
 #: Chunks that go through the filters together.
 TOGETHER = 256
 
@@ -82,7 +83,7 @@ class ByteCnn:
         rng = np.random.default_rng(seed)
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         step = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS // -(-len(docs) // BATCH)))):
             order = rng.permutation(len(docs))
             for at in range(0, len(docs), BATCH):
                 step += 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +29,32 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_built: dict[str, object] = {}
+
+
+class Shared:
+    """A broadcast value, and what a worker makes of it once.
+
+    Workers outlive queries, so what they keep goes by a name of its own and not by an object's address.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.name = uuid.uuid4().hex
+        self._broadcast = spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._broadcast.value
+
+    def built(self, make):
+        """``make(value)``, kept for later batches and tasks of this worker."""
+        if self.name not in _built:
+            if len(_built) >= 3:
+                _built.clear()
+            _built[self.name] = make(self.value)
+        return _built[self.name]
+
+
 def text_key(text: str | Column = "text") -> Column:
     """Tells rows of one doc_id apart by their text; rows equal in both are one document."""
     return F.xxhash64(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))

@@ -114,7 +114,9 @@ def _shard(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
 
 def _blobs(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """The arrays' rows of each bucket, packed; rows must be sorted by bucket."""
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    if not len(bucket):
+        return
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
         yield int(bucket[a]), [x[a:b].tobytes() for x in arrays]
 

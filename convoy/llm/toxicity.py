@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from convoy.llm.common import label_sample, mix
+from convoy.llm.common import Shared, label_sample, mix
 
 BUCKET_BITS = 18
 DIM = 8
@@ -27,11 +27,12 @@ NGRAMS = (3, 4, 5)
 WINDOW, STEP = 16, 8
 #: Bounds of the training sample: documents per label and characters of a document.
 PER_CLASS, MAX_CHARS = 1500, 6000
-EPOCHS, RATE, BATCH = 12, 0.5, 128
+#: Small samples go round more often, up to STEPS batches or MOST_EPOCHS.
+EPOCHS, MOST_EPOCHS, STEPS, RATE, BATCH = 12, 50, 300, 0.5, 128
 #: Buckets met in fewer documents of the sample keep a zero vector, so that no document is learnt by heart.
 MIN_DOCUMENTS = 3
-#: Epochs in which toxic documents give random windows, and random windows of every other document.
-WARM_EPOCHS, RANDOM_WINDOWS = 3, 4
+#: Share of the epochs in which toxic documents give random windows; random windows of every document.
+WARM_SHARE, RANDOM_WINDOWS = 0.25, 4
 #: Distinct words whose margins a worker remembers.
 REMEMBERED = 400_000
 
@@ -113,6 +114,8 @@ class SubwordModel:
         rng = np.random.default_rng(seed)
         squares = [np.full(a.shape, 1e-6, np.float32) for a in (self.vectors, self.out, self.bias)]
         weight = {y: 0.5 * len(docs) / sum(1 for d in docs if d[1] == y) for y in (0, 1)}
+        steps = sum(RANDOM_WINDOWS + 1 - y * RANDOM_WINDOWS for _, y in docs) / BATCH
+        epochs = max(epochs, min(MOST_EPOCHS, int(STEPS / steps)))
         for epoch in range(epochs):
             bucket, bias = self.margins()
             margin = np.add.reduceat(bucket[flat], starts) / counts
@@ -121,7 +124,7 @@ class SubwordModel:
                 a = window_starts(len(ids))
                 top = a[np.argmax(window_means(margin[ids]))]
                 some = rng.choice(a, min(RANDOM_WINDOWS, len(a)), replace=False)
-                chosen = (some if epoch < WARM_EPOCHS else [top]) if y else {int(top), *some.tolist()}
+                chosen = (some if epoch < WARM_SHARE * epochs else [top]) if y else {int(top), *some.tolist()}
                 picked += [(ids[x : x + WINDOW], y, weight[y] / len(chosen)) for x in chosen]
             for at in range(0, len(picked), BATCH) if rng.shuffle(picked) is None else ():
                 self._step(picked[at : at + BATCH], flat, starts, counts, squares, rate)
@@ -178,17 +181,6 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(np.array(best) + self.bias, -50, 50)))).tolist()
 
 
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(model) -> Scorer:
-    key = model.id if hasattr(model, "id") else id(model)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(*model.value)
-    return _scorers[key]
-
-
 def toxicity_column(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS):
     """Fits the model on a bounded sample of labelled rows; the column function gives a text's score.
 
@@ -196,12 +188,12 @@ def toxicity_column(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     doc_id and toxic (0, 1; others are ignored). Without both labels the score is a constant.
     """
     model = SubwordModel().fit(label_sample(docs, labels, "toxic", per_class, max_chars))
-    shared = docs.sparkSession.sparkContext.broadcast((*model.margins(), model.bits))
+    shared = Shared(docs.sparkSession, (*model.margins(), model.bits))
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(_scorer(shared).scores(texts.to_pylist()), pa.float64())
+            yield pa.array(shared.built(lambda value: Scorer(*value)).scores(texts.to_pylist()), pa.float64())
 
     return score
 
