@@ -30,7 +30,7 @@ PER_CLASS, MAX_CHARS = 1500, 6000
 #: Small samples go round more often, up to STEPS batches or MOST_EPOCHS.
 EPOCHS, MOST_EPOCHS, STEPS, RATE, BATCH = 12, 50, 300, 0.5, 128
 #: Buckets met in fewer documents of the sample keep a zero vector, so that no document is learnt by heart.
-MIN_DOCUMENTS = 3
+MIN_DOCUMENTS = 8
 #: Share of the epochs in which toxic documents give random windows; random windows of every document.
 WARM_SHARE, RANDOM_WINDOWS = 0.25, 4
 #: Distinct words whose margins a worker remembers.
