@@ -55,4 +55,4 @@ def test_stages_take_awkward_and_no_rows(spark, folder):
 def test_line_dedup_stage_follows_n_chars(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: r for r in pipeline.line_dedup(spark, docs, folder).collect()}
-    assert 500 not in got and got[501].text == "intro words" and got[501].n_chars == 11 and got[2].n_chars == len(got[2].text)
+    assert 500 not in got and got[501].text == "intro words\n" and got[501].n_chars == 12 and got[2].n_chars == len(got[2].text)
