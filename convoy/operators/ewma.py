@@ -17,7 +17,6 @@ batches; no slice is ever held whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -232,14 +231,3 @@ def ewma_z(
             "z",
         )
     )
-
-
-def ewma_step(state: tuple[int, float, float], x: float, alpha: float, warmup: int):
-    """One sample of the recurrence: (z, new state). Used by the streaming processor."""
-    n, mean, var = state
-    if n == 0:
-        return 0.0, (1, x, 0.0)
-    sd = math.sqrt(var)
-    z = (x - mean) / sd if n >= warmup and sd > 1e-9 else 0.0
-    d = x - mean
-    return z, (n + 1, mean + alpha * d, (1 - alpha) * (var + alpha * d * d))

@@ -10,7 +10,7 @@ from convoy.operators import alerts, dedup, rules, state
 from convoy.plans.fixtures import BASE_MS, duck, view
 from convoy.plans.registry import AS_OF, ms, query
 
-VIN = "1HGAAAAJ1NA000008"  # vehicle 7 in every table size
+VIN = "CVY63352600000008"  # vehicle 7 in every table size
 
 
 # ---- duplicates ----

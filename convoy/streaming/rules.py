@@ -1,41 +1,84 @@
-"""The five rules as one stateful operator per vehicle.
+"""The five rules as one stateful operator per vehicle, on columns.
 
-State holds what the rules remember between events: the running idle episode, the times inside the
-two count windows, the moving average, and the last emission per rule. Events of a micro-batch are
-taken in (ts, seq) order; across micro-batches they count in arrival order. The trigger bounds how
-many rows of a vehicle one call sees.
+A call takes a vehicle's rows of one micro-batch as arrays in (ts, seq) order. Every rule is a function of
+those arrays and of what it remembers, and names the rows it hits; one more function thins the hits
+of a rule to one per cooldown. Remembered are the open idling, the moving average, the event times that
+a count may still need, and each rule's last alert. Across micro-batches rows count in arrival order.
+A call holds eight narrow columns per row; the trigger bounds how many rows that is.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from convoy.operators.ewma import ewma_step
 from convoy.operators.rules import MINUTE
 from convoy.schemas import RULE_SEVERITY
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = (
-    "idle_since bigint, idle_alerted boolean, brakes array<bigint>, codes map<string,array<bigint>>,"
-    " n bigint, mean double, var double, last map<string,bigint>"
-)
 ALERTS = "vin string, code string, severity string, ts_ms bigint, seq bigint, pos int, detail string"
 
 
-def _seen(times: list[int], t: int, window: int) -> list[int]:
-    """The window's times with t added; only its head is pruned."""
-    times = [*times, t]
-    head = 0
-    while head < len(times) and times[head] <= t - window:
-        head += 1
-    return times[head:]
+def long_idlings(t: np.ndarray, still: np.ndarray, since: int | None, told: bool, wait: int):
+    """Rows at which an idling has lasted ``wait``, one per idling, the minutes so far, and the open idling.
+
+    ``since`` is when an idling that was open before these rows began, ``told`` whether it was reported.
+    """
+    fresh = still & ~np.concatenate([[since is not None], still[:-1]])
+    run = np.cumsum(fresh)  # 0: the one that was open
+    begun = np.concatenate([[t[0] if since is None else since], t[fresh]])[run]
+    due = np.flatnonzero(still & ~fresh & (t - begun >= wait) & ~((run == 0) & told))
+    # an idling ends with the first row that is not still
+    ended = np.cumsum(~still)
+    _, first = np.unique(np.stack([run[due], ended[due]]), axis=1, return_index=True) if len(due) else (None, due)
+    hits = np.sort(due[first])
+    minutes = np.floor((t[hits] - begun[hits]) / MINUTE + 0.5).astype(np.int64)
+    if not still[-1]:
+        return hits, minutes, None, False
+    told_now = bool((ended[hits] == ended[-1]).any() or (told and run[-1] == 0 and not ended[-1]))
+    return hits, minutes, int(begun[-1]), told_now
+
+
+def window_counts(past: np.ndarray, t: np.ndarray, window: int) -> np.ndarray:
+    """For each of the times ``t`` (ascending): how many of ``past`` and of ``t`` up to it are later than t - window."""
+    edge = t - window
+    return len(past) - np.searchsorted(past, edge, "right") + np.arange(1, len(t) + 1) - np.searchsorted(t, edge, "right")
+
+
+def deviations(x: np.ndarray, n: int, mean: float, var: float, alpha: float, warmup: int):
+    """Each sample's deviation from the moving average before it, and the average after all of them."""
+    lead = np.zeros(0)
+    if not n:
+        n, mean, var, x, lead = 1, float(x[0]), 0.0, x[1:], np.zeros(1)
+
+    def smoothed(start: float, values: np.ndarray) -> np.ndarray:
+        return pd.Series(np.append(start, values)).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+
+    means = smoothed(mean, x)
+    off = x - means[:-1]
+    variances = smoothed(var, (1 - alpha) * off * off)
+    spread = np.sqrt(variances[:-1])
+    ready = (n + np.arange(len(x)) >= warmup) & (spread > 1e-9)
+    z = np.divide(off, spread, out=np.zeros(len(x)), where=ready)
+    return np.append(lead, z), n + len(x), float(means[-1]), float(variances[-1])
+
+
+def spaced(t: np.ndarray, last: int | None, gap: int) -> list[int]:
+    """Of ascending times those that are reported: each at least ``gap`` after the one reported before."""
+    out, at = [], 0
+    while True:
+        if last is not None:
+            at = max(at, int(np.searchsorted(t, last + gap)))
+        if at >= len(t):
+            return out
+        out.append(at)
+        last, at = int(t[at]), at + 1
 
 
 class RuleProcessor(StatefulProcessor):
@@ -43,50 +86,79 @@ class RuleProcessor(StatefulProcessor):
         self.p, self.ttl = params, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("vehicle", STATE, self.ttl)
+        self.idling = handle.getValueState("idling", "since bigint, told boolean", self.ttl)
+        self.average = handle.getValueState("average", "n bigint, mean double, var double", self.ttl)
+        # event times by fault code, those of harsh brakes under the empty one
+        self.recent = handle.getValueState("recent", "times map<string,array<bigint>>", self.ttl)
+        self.alerted = handle.getValueState("alerted", "last map<string,bigint>", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         p = self.p
-        if self.state.exists():
-            idle_since, idle_alerted, brakes, codes, n, mean, var, last = self.state.get()
-            brakes, codes, last = list(brakes), {k: list(v) for k, v in codes.items()}, dict(last)
-        else:
-            idle_since, idle_alerted, brakes, codes, n, mean, var, last = None, False, [], {}, 0, 0.0, 0.0, {}
-        out = []
-
-        def emit(code: str, t: int, seq: int, pos: int, detail: dict) -> None:
-            if code in last and t - last[code] < p["cooldown_ms"]:
-                return
-            last[code] = t
-            out.append((key[0], code, RULE_SEVERITY[code], t, seq, pos, json.dumps(detail)))
-
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable")
-        fields = ("ts_ms", "seq", "engine_on", "speed_kmh", "evt", "dtc", "fuel_pct")
-        for t, seq, engine_on, speed, evt, dtc, fuel in events[list(fields)].itertuples(index=False, name=None):
-            t, seq, speed = int(t), int(seq), float(speed)
-            if engine_on and speed < p["moving_kmh"]:
-                if idle_since is None:
-                    idle_since, idle_alerted = t, False
-                elif not idle_alerted and t - idle_since >= p["idle_ms"]:
-                    idle_alerted = True
-                    emit("IDLING_EXCESSIVE", t, seq, 0, {"idle_minutes": math.floor((t - idle_since) / MINUTE + 0.5)})
-            else:
-                idle_since, idle_alerted = None, False
-            if evt == "HARSH_BRAKE":
-                brakes = _seen(brakes, t, p["brake_ms"])
-                if len(brakes) >= p["brake_n"]:
-                    emit("HARSH_BRAKE_BURST", t, seq, 0, {"count_10min": len(brakes)})
-            for pos, code in enumerate(dtc if dtc is not None else ()):
-                codes[code] = _seen(codes.get(code, []), t, p["code_ms"])
-                if len(codes[code]) >= p["code_n"]:
-                    emit("DTC_REPEAT", t, seq, pos, {"code": code, "count_1h": len(codes[code])})
-            z, (n, mean, var) = ewma_step((n, mean, var), speed, p["alpha"], p["warmup"])
-            if z > p["z"] and speed > p["min_kmh"]:
-                emit("OVERSPEED_ANOMALY", t, seq, 0, {"speed_kmh": speed, "z": round(z, 1)})
-            if fuel is not None and fuel == fuel and fuel < p["low_pct"]:
-                emit("LOW_FUEL", t, seq, 0, {"fuel_pct": float(fuel)})
-        self.state.update((idle_since, idle_alerted, brakes, codes, n, mean, var, last))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ALERTS.split(", ")])
+        events = pd.concat(list(rows)).sort_values(["ts_ms", "seq"], kind="stable", ignore_index=True)
+        t, speed = events["ts_ms"].to_numpy(np.int64), events["speed_kmh"].to_numpy(np.float64)
+        hits = [self._idle(events, t, speed), *self._repeats(events, t)]
+
+        z, *average = deviations(speed, *(self.average.get() or (0, 0.0, 0.0)), p["alpha"], p["warmup"])
+        self.average.update(tuple(average))
+        fast = np.flatnonzero((z > p["z"]) & (speed > p["min_kmh"]))
+        hits.append(("OVERSPEED_ANOMALY", fast, 0, [{"speed_kmh": speed[i], "z": round(float(z[i]), 1)} for i in fast]))
+        fuel = events["fuel_pct"].to_numpy(np.float64)
+        low = np.flatnonzero(fuel < p["low_pct"])
+        hits.append(("LOW_FUEL", low, 0, [{"fuel_pct": fuel[i]} for i in low]))
+
+        yield self._alerts(key[0], events, t, hits)
+
+    def _idle(self, events: pd.DataFrame, t: np.ndarray, speed: np.ndarray):
+        still = events["engine_on"].to_numpy(bool) & (speed < self.p["moving_kmh"])
+        since, told = self.idling.get() or (None, False)
+        at, minutes, since, told = long_idlings(t, still, since, bool(told), self.p["idle_ms"])
+        self.idling.update((since, told))
+        return "IDLING_EXCESSIVE", at, 0, [{"idle_minutes": int(m)} for m in minutes]
+
+    def _repeats(self, events: pd.DataFrame, t: np.ndarray):
+        """Harsh brakes and fault codes: counts per window, over rows and the times still remembered."""
+        p = self.p
+        codes = events["dtc"].map(lambda x: list(x) if x is not None else [])
+        listed = pd.DataFrame({"row": np.repeat(np.arange(len(t)), codes.map(len)), "code": codes.explode().dropna().to_numpy()})
+        listed["pos"] = listed.groupby("row").cumcount()
+        kinds = {"": np.flatnonzero(events["evt"].to_numpy() == "HARSH_BRAKE")}
+        kinds |= {code: g.index.to_numpy() for code, g in listed.groupby("code", sort=True)}
+        past = {k: np.array(v, np.int64) for k, v in ((self.recent.get() or ({},))[0] or {}).items()}
+        hits, newest = [], int(t[-1])
+        for code, at in kinds.items():
+            row = listed["row"].to_numpy()[at] if code else at
+            name, window, least = ("DTC_REPEAT", p["code_ms"], p["code_n"]) if code else ("HARSH_BRAKE_BURST", p["brake_ms"], p["brake_n"])
+            n = window_counts(past.get(code, np.zeros(0, np.int64)), t[row], window)
+            hit = n >= least
+            told = [{"code": code, "count_1h": int(c)} if code else {"count_10min": int(c)} for c in n[hit]]
+            hits.append((name, row[hit], listed["pos"].to_numpy()[at[hit]] if code else 0, told))
+            past[code] = np.sort(np.append(past.get(code, np.zeros(0, np.int64)), t[row]))
+        kept = {k: v[v > newest - (p["code_ms"] if k else p["brake_ms"])].tolist() for k, v in past.items()}
+        self.recent.update(({k: v for k, v in kept.items() if v},))
+        return hits
+
+    def _alerts(self, vin: str, events: pd.DataFrame, t: np.ndarray, hits: list) -> pd.DataFrame:
+        found = pd.concat(
+            [pd.DataFrame({"code": code, "row": row, "pos": pos, "detail": [json.dumps(d) for d in told]}) for code, row, pos, told in hits],
+            ignore_index=True,
+        ).sort_values(["code", "row", "pos"], ignore_index=True)
+        last = dict((self.alerted.get() or ({},))[0] or {})
+        picked = []
+        for code, g in found.groupby("code", sort=False):
+            times = t[g["row"].to_numpy(np.int64)]
+            at = spaced(times, last.get(code), self.p["cooldown_ms"])
+            if at:
+                last[code] = int(times[at[-1]])
+                picked += g.index[at].tolist()
+        self.alerted.update((last,))
+        out = found.loc[picked]
+        row = out["row"].to_numpy(np.int64)
+        return pd.DataFrame(
+            {
+                "vin": vin, "code": out["code"].to_numpy(), "severity": out["code"].map(RULE_SEVERITY).to_numpy(),
+                "ts_ms": t[row], "seq": events["seq"].to_numpy(np.int64)[row], "pos": out["pos"].to_numpy(np.int32), "detail": out["detail"].to_numpy(),
+            }
+        )
 
     def close(self) -> None:
         pass
