@@ -26,14 +26,18 @@ def replayed(
     name: str,
     start: Callable[[DataFrame, str, str], None],
     parts: int = 2,
+    swapped: bool = False,
 ) -> str:
     """Land a table stretch by stretch and catch up after each, on one checkpoint.
 
-    ``start(stream, checkpoint, sink)`` runs the query until it has caught up. Returns the sink folder.
+    ``swapped`` lands the third stretch before the second. ``start(stream, checkpoint, sink)`` runs the query until it has caught up. Returns the sink folder.
     """
     data, checkpoint = streams.scratch(spark, name)
     source, sink = f"{data}/source", f"{data}/sink"
-    for stretch in streams.stretches(df, order, parts):
+    pieces = streams.stretches(df, order, parts)
+    if swapped:
+        pieces[1], pieces[2] = pieces[2], pieces[1]
+    for stretch in pieces:
         stretch.write.mode("append").parquet(source)
         stream = streams.read_raw_stream(spark, source, df.schema, max_files_per_trigger=1000)
         start(stream, checkpoint, sink)
@@ -55,9 +59,12 @@ def dedup_stream(spark, sf):
     rows = view(spark, sf, "arrivals").select("vin", "seq", "ts", "received_at", "arrival")
     sink = replayed(
         spark, rows, "arrival", "dedup",
-        lambda stream, checkpoint, sink: streams.run_available(state.dedup_stream(stream), checkpoint, sink),
+        lambda stream, checkpoint, sink: streams.run_available(
+            stream, checkpoint, each_batch=state.dedup_batches(sink)
+        ),
+        parts=6, swapped=True,
     )
-    return spark.read.parquet(sink).select("vin", "seq", ms("ts", "ts_ms"))
+    return spark.read.parquet(f"{sink}/rows").select("vin", "seq", ms("ts", "ts_ms"))
 
 
 @query("latest_stream", duck("arrivals", then="SELECT vin, event_id, ts_ms FROM arrivals QUALIFY row_number() OVER (PARTITION BY vin ORDER BY ts DESC, arrival) = 1"))
@@ -89,12 +96,14 @@ def rollup_partials_stream(spark, sf):
 
 @query("rollup_window_stream", duck("telemetry", then="+ " + ROLLED + " SELECT * FROM rolled"))
 def rollup_window_stream(spark, sf):
-    rows = view(spark, sf, "telemetry").select(*ROLLUP_INPUT)
+    """In order of arrival, a part of it 36 hours late, and with one stretch before its time."""
+    rows = view(spark, sf, "arrivals").filter("copy = 0").select(*ROLLUP_INPUT, "arrival")
     sink = replayed(
-        spark, rows, "ts_ms", "windows",
+        spark, rows, "arrival", "windows",
         lambda stream, checkpoint, sink: streams.run_available(
             state.hourly_rollup_stream(stream), checkpoint, mode="update", each_batch=state.updated_rows(sink)
         ),
+        parts=6, swapped=True,
     )
     return shown_rollup(state.read_updated(spark, sink))
 
@@ -185,7 +194,10 @@ def ingest_stream(spark, sf):
     root = shared_dir(spark, "ingest")
     registry, tables = f"{root}/registry", pipeline.Tables(f"{root}/tables")
     pipeline.write_registry(vendor_registry(spark), registry)
-    body = pipeline.ingest_batch(tables, registry, *directory(spark, sf))
+    paths = [f"{root}/vehicle", f"{root}/fleet"]
+    for df, path in zip(directory(spark, sf), paths, strict=True):
+        df.write.parquet(path)
+    body = pipeline.ingest_batch(tables, registry, *paths)
     replayed(
         spark, rows, "arrival", "ingest",
         lambda stream, checkpoint, _: streams.run_available(stream, checkpoint, each_batch=body),

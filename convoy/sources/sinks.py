@@ -45,14 +45,36 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_batch_idempotent(df: DataFrame, batch_id: int, path: str) -> None:
-    """Write one micro-batch under its own partition; a replay replaces it and adds nothing."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch_idempotent(df: DataFrame, batch_id: int, path: str, by: tuple[str, ...] = ()) -> None:
+    """Write one micro-batch under its own partition; a replay replaces it and adds nothing.
+
+    ``by`` names columns that partition the batch further.
+    """
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/batch_id={batch_id}")
+
+
+def write_telemetry_batch(df: DataFrame, batch_id: int, path: str) -> None:
+    """A micro-batch's storage rows by day, clustered by (fleet, vin, ts) within it."""
+    order = ["day", "fleet_id", "vin", "ts"]
+    rows = to_storage_rows(df).withColumn("day", F.to_date("ts"))
+    write_batch_idempotent(rows.repartitionByRange(*order).sortWithinPartitions(*order), batch_id, path, ("day",))
+
+
+def since(df: DataFrame, ts_col: str, start: dt.datetime, after: bool = False) -> DataFrame:
+    """Rows from ``start`` on (only later ones if ``after``).
+
+    Tables written by day have the column ``day``; naming it too lets Spark leave out whole days, which it
+    does not conclude from ``ts_col``.
+    """
+    bound = F.lit(start)
+    rows = df.filter(F.col(ts_col) > bound if after else F.col(ts_col) >= bound)
+    return rows.filter(F.col("day") >= F.lit(start.date())) if "day" in df.columns else rows
 
 
 def retain(df: DataFrame, ts_col: str, days: int, as_of: dt.datetime) -> DataFrame:
-    """Rows younger than ``days``; the bound is a literal, so partitions and files are pruned."""
-    return df.filter(F.col(ts_col) > F.lit(as_of - dt.timedelta(days=days)))
+    """Rows younger than ``days``; the bound is a literal, and days that lie before it are not read."""
+    return since(df, ts_col, as_of - dt.timedelta(days=days), after=True)
 
 
 # Days kept per table.

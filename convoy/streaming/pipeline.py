@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from convoy.operators.dedup import EVENT_KEYS, dedup_exact
+from convoy.operators.alerts import build_alerts
 from convoy.operators.routing import route
 from convoy.operators.rollup import hourly_rollup
 from convoy.operators.state import latest_state
 from convoy.sources.ndjson import classify_lines
-from convoy.sources.sinks import to_storage_rows, write_batch_idempotent
+from convoy.sources.sinks import write_batch_idempotent, write_telemetry_batch
+from convoy.streaming.rules import evaluate_rules_stream
+from convoy.streaming.state import HORIZON, remember, unseen
 
 
 @dataclass(frozen=True)
@@ -25,40 +29,52 @@ class Tables:
 
 
 def ingest_batch(
-    tables: Tables, registry_path: str, vehicle: DataFrame, fleet: DataFrame, horizon_batches: int = 24
+    tables: Tables, registry_path: str, vehicle_path: str, fleet_path: str, horizon: dt.timedelta = HORIZON
 ):
     """Micro-batch body of the write path.
 
-    The registry is read anew for every micro-batch, so an activated mapping takes effect without a
-    restart. A batch is routed once; accepted events lose the copies inside the batch and those
-    seen in the last ``horizon_batches`` batches, then telemetry, latest state and rollup partials are
-    written, all replaced as a whole should the batch be replayed.
+    Registry, vehicles and fleets are read anew for every micro-batch, so an activated mapping or
+    a new vehicle takes effect without a restart. A batch is routed once; accepted events lose the copies inside the
+    batch and those of events stored within ``horizon`` of their arrival; then telemetry (by day,
+    clustered), latest state and rollup partials are written, all replaced as a whole should the
+    batch be replayed. ``alert_stream`` reads the stored events.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        registry = spark.read.parquet(registry_path)
+        registry, vehicle, fleet = (spark.read.parquet(p) for p in (registry_path, vehicle_path, fleet_path))
         routed = route(classify_lines(batch), registry, vehicle, fleet).drop("payload")
         write_batch_idempotent(routed, batch_id, tables.path("routed"))
-        done = spark.read.parquet(f"{tables.path('routed')}/batch_id={batch_id}")
+        done = spark.read.schema(routed.schema).parquet(f"{tables.path('routed')}/batch_id={batch_id}")
         write_batch_idempotent(done.filter(F.col("reason").isNotNull()), batch_id, tables.path("dead"))
-        events = dedup_exact(done.filter(F.col("reason").isNull()).drop("reason"))
-        if batch_id > 0:
-            seen = (
-                spark.read.parquet(tables.path("events"))
-                .filter(F.col("batch_id").between(batch_id - horizon_batches, batch_id - 1))
-                .select(*EVENT_KEYS)
-            )
-            events = events.join(seen, list(EVENT_KEYS), "left_anti")
+        accepted = done.filter(F.col("reason").isNull()).drop("reason")
+        events = unseen(accepted, tables.path("seen"), batch_id, horizon=horizon)
         write_batch_idempotent(events, batch_id, tables.path("events"))
-        stored = spark.read.parquet(f"{tables.path('events')}/batch_id={batch_id}")
-        write_batch_idempotent(to_storage_rows(stored), batch_id, tables.path("telemetry"))
+        stored = spark.read.schema(events.schema).parquet(f"{tables.path('events')}/batch_id={batch_id}")
+        remember(stored, tables.path("seen"), batch_id)
+        write_telemetry_batch(stored, batch_id, tables.path("telemetry"))
         write_batch_idempotent(latest_state(stored), batch_id, tables.path("latest"))
         write_batch_idempotent(hourly_rollup(stored), batch_id, tables.path("rollup"))
 
     return write
 
 
+def alert_stream(spark: SparkSession, tables: Tables, schema: StructType, **limits) -> DataFrame:
+    """Rule hits on the events that the write path keeps, as a stream of its own over their folder."""
+    events = spark.readStream.schema(schema).parquet(f"{tables.path('events')}/*")
+    return evaluate_rules_stream(events, **limits)
+
+
+def write_alerts(tables: Tables, vehicle_path: str, alert_type_path: str):
+    """Micro-batch sink of ``alert_stream``: alert rows with ids that a replay repeats."""
+
+    def write(hits: DataFrame, batch_id: int) -> None:
+        read = hits.sparkSession.read.parquet
+        write_batch_idempotent(build_alerts(hits, read(vehicle_path), read(alert_type_path)), batch_id, tables.path("alerts"))
+
+    return write
+
+
 def normalise_stream(batch_sink_path: str, registry_path: str):
     """Micro-batch body that only normalises, under the mappings active at that moment."""
 

@@ -2,26 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import datetime as dt
+from collections.abc import Callable
+from functools import reduce
 
-from convoy.operators.dedup import EVENT_KEYS
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from convoy.operators.dedup import EVENT_KEYS, dedup_exact
 from convoy.operators.rollup import ROLLUP_KEYS, hourly_rollup, merge_rollups, rollup_aggregates
 from convoy.operators.state import latest_state
 from convoy.sources.sinks import write_batch_idempotent
 
 
-def dedup_stream(
-    stream: DataFrame,
+HORIZON = dt.timedelta(hours=1)
+
+
+DAY = 86_400
+
+
+def _day(time_col: str) -> Column:
+    return F.floor(F.unix_seconds(time_col) / DAY).cast("int")
+
+
+def unseen(
+    batch: DataFrame,
+    seen_path: str,
+    batch_id: int,
     keys: tuple[str, ...] = EVENT_KEYS,
-    horizon: str = "1 hour",
+    horizon: dt.timedelta = HORIZON,
     time_col: str = "received_at",
+    order: str = "arrival",
 ) -> DataFrame:
-    """Drop repeats of a key within the horizon of its first arrival.
+    """The first row of every key of a micro-batch that no other batch stored within ``horizon`` of it.
 
-    The horizon runs on arrival time and is not renewed by repeats. Event time plays no part, so a
-    late event is no reason to drop it.
+    The horizon runs on the rows' own arrival times, whatever the trigger and in either direction, so an
+    unseen key is kept however late or out of order it comes. Remembered keys lie in folders by
+    day of arrival; only days within reach of the batch's times are read, and of those the files that
+    the time filter does not rule out.
     """
-    return stream.withWatermark(time_col, horizon).dropDuplicatesWithinWatermark(list(keys))
+    first = dedup_exact(batch, keys, order)
+    seconds = F.unix_seconds(time_col)
+    low, high = batch.agg(F.min(seconds), F.max(seconds)).first()
+    if batch_id == 0 or low is None:
+        return first
+    reach = int(horizon.total_seconds()) + 1
+    schema = T.StructType([*[first.schema[k] for k in keys], first.schema[time_col]])
+    schema = schema.add("day", T.IntegerType()).add("batch_id", T.IntegerType())
+    seen = batch.sparkSession.read.schema(schema).parquet(seen_path)
+    seen = seen.filter(F.col("day").between((low - reach) // DAY, (high + reach) // DAY) & (F.col("batch_id") != batch_id))
+    seen = seen.filter(F.col(time_col).between(F.timestamp_seconds(F.lit(low - reach)), F.timestamp_seconds(F.lit(high + reach))))
+    near = F.abs(F.unix_millis(f"e.{time_col}") - F.unix_millis(f"s.{time_col}")) <= int(horizon.total_seconds() * 1000)
+    same = reduce(lambda x, y: x & y, [F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    return first.alias("e").join(seen.alias("s"), same & near, "left_anti")
+
+
+def remember(
+    stored: DataFrame, seen_path: str, batch_id: int, keys: tuple[str, ...] = EVENT_KEYS, time_col: str = "received_at"
+) -> None:
+    """Add a batch's stored keys to the remembered ones; a replay replaces them."""
+    (
+        stored.select(*keys, time_col, _day(time_col).alias("day"), F.lit(batch_id).alias("batch_id"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day", "batch_id")
+        .parquet(seen_path)
+    )
+
+
+def dedup_batches(
+    path: str,
+    keys: tuple[str, ...] = EVENT_KEYS,
+    horizon: dt.timedelta = HORIZON,
+    time_col: str = "received_at",
+    order: str = "arrival",
+):
+    """Micro-batch sink that drops repeats of a key within the horizon of its first arrival.
+
+    Rows go to ``path/rows``, keys to ``path/seen``; both are replaced should a batch be replayed.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = unseen(batch, f"{path}/seen", batch_id, keys, horizon, time_col, order)
+        write_batch_idempotent(kept, batch_id, f"{path}/rows")
+        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/rows/batch_id={batch_id}")
+        remember(stored, f"{path}/seen", batch_id, keys, time_col)
+
+    return write
 
 
 def rollup_partials(path: str):
@@ -33,16 +99,38 @@ def rollup_partials(path: str):
     return write
 
 
+def _partials(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.parquet(*([path] if isinstance(path, str) else path)).drop("batch_id")
+
+
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return merge_rollups(spark.read.parquet(path).drop("batch_id"))
+    return merge_rollups(_partials(spark, path))
+
 
+def compact(spark: SparkSession, path: str, merge: Callable[[SparkSession, str], DataFrame], upto: int, into: str) -> None:
+    """Merge the partials of batches up to ``upto`` into one folder of the new table ``into``, copying the later ones.
 
-def hourly_rollup_stream(stream: DataFrame, late: str = "1 hour", **limits) -> DataFrame:
-    """The rollup as a tumbling window; hours close once ``late`` has passed."""
+    Run it between runs of the stream and go on with ``into``; ``merge`` is the table's reader.
+    """
+    rows = spark.read.parquet(path)
+    later = rows.filter(F.col("batch_id") > upto)
+    later.write.partitionBy("batch_id").parquet(into)
+    names = [f"{path}/batch_id={r.batch_id}" for r in rows.filter(F.col("batch_id") <= upto).select("batch_id").distinct().collect()]
+    if names:
+        write_batch_idempotent(merge(spark, names).select(*[c for c in rows.columns if c != "batch_id"]), upto, into)
+
+
+def hourly_rollup_stream(stream: DataFrame, late: str | None = None, **limits) -> DataFrame:
+    """The rollup as a tumbling window, in update mode.
+
+    Every row counts, however late: without ``late`` the state keeps all hours, one row per vehicle and
+    hour. ``late`` bounds the state with a watermark; Spark then leaves out rows that come later
+    still, so use it only where :func:`rollup_partials` is the table of record.
+    """
     limits = {"idle_kmh": 1.0, "over_kmh": 110.0, "low_pct": 10.0, **limits}
+    timed = stream if late is None else stream.withWatermark("ts", late)
     return (
-        stream.withWatermark("ts", late)
-        .groupBy("fleet_id", "vin", F.window("ts", "1 hour").alias("w"))
+        timed.groupBy("fleet_id", "vin", F.window("ts", "1 hour").alias("w"))
         .agg(*rollup_aggregates(**limits))
         .withColumn("hour", F.col("w.start"))
         .drop("w")
@@ -79,7 +167,7 @@ def latest_partials(path: str):
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return latest_state(spark.read.parquet(path).drop("batch_id"))
+    return latest_state(_partials(spark, path))
 
 
 def alert_feed(stream: DataFrame, tenant_id: int) -> DataFrame:

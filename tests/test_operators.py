@@ -146,15 +146,56 @@ def test_kept_checkpoint_adds_no_rows(spark):
     assert spark.read.parquet(f"{data}/out").count() == 10
 
 
-def test_stream_dedup_holds_across_batches(spark):
+def run_dedup(spark, batches):
+    """Batches of (seq, seconds of arrival) through the streaming dedup; what it keeps."""
     data, checkpoint = streams.scratch(spark, "dedup-test")
-    schema = "vin string, seq long, ts timestamp, received_at timestamp"
-    for i in range(3):
-        rows = [("V", s, at(s), at(100 + i)) for s in range(i, i + 4)]
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{data}/in")
+    schema = "vin string, seq long, ts timestamp, received_at timestamp, arrival long"
+    for batch in batches:
+        rows = [("V", s, at(s), at(r), r) for s, r in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{data}/in")
         stream = streams.read_raw_stream(spark, f"{data}/in", schema, max_files_per_trigger=100)
-        streams.run_available(live.dedup_stream(stream), checkpoint, f"{data}/out")
-    assert sorted(r["seq"] for r in spark.read.parquet(f"{data}/out").collect()) == list(range(6))
+        streams.run_available(stream, checkpoint, each_batch=live.dedup_batches(f"{data}/out"))
+    return sorted((r["seq"], r["arrival"]) for r in spark.read.parquet(f"{data}/out/rows").collect())
+
+
+def test_stream_dedup_holds_across_batches(spark):
+    kept = run_dedup(spark, [[(s, 100 + i) for s in range(i, i + 4)] for i in range(3)])
+    assert [s for s, _ in kept] == list(range(6))
+
+
+def test_stream_dedup_keeps_unseen_keys_however_late(spark):
+    hour = 3600
+    kept = run_dedup(
+        spark,
+        [
+            [(1, 12 * hour), (2, 17 * hour)],
+            [(3, 18 * hour)],
+            [(4, 13 * hour), (3, 18 * hour + 60), (1, 12 * hour - 30)],  # a new key five hours back, and two repeats
+            [(1, 14 * hour)],  # beyond the horizon of its first arrival
+        ],
+    )
+    assert kept == [(1, 12 * hour), (1, 14 * hour), (2, 17 * hour), (3, 18 * hour), (4, 13 * hour)]
+
+
+def test_compacted_partials_read_the_same(spark):
+    path, _ = streams.scratch(spark, "compact-test")
+    df = spark.range(60).select(F.concat(F.lit("v"), F.col("id") % 7).alias("vin"), F.timestamp_seconds(F.col("id") * 37 % 50).alias("ts"), F.col("id").alias("arrival"))
+    for i in range(6):
+        live.latest_partials(f"{path}/a")(df.filter(F.col("arrival") % 6 == i), i)
+    live.compact(spark, f"{path}/a", live.read_latest, 4, f"{path}/b")
+    before, after = (live.read_latest(spark, f"{path}/{x}") for x in "ab")
+    assert sorted(before.collect()) == sorted(after.select(before.columns).collect())
+    assert {r.batch_id for r in spark.read.parquet(f"{path}/b").select("batch_id").distinct().collect()} == {4, 5}
+
+
+def test_retention_reads_only_younger_days(spark):
+    path, _ = streams.scratch(spark, "days-test")
+    rows = spark.range(40).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 21600).alias("ts"), "id")
+    rows.withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    kept = sinks.retain(spark.read.parquet(path), "ts", 2, dt.datetime(2024, 1, 8))
+    assert [r.id for r in kept.orderBy("id").collect()] == list(range(21, 40))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_merged_partials_equal_one_pass(spark):
