@@ -34,22 +34,34 @@ _LOW = np.uint64((1 << 20) - 1)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def string_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the GRAM and of the LENGTH bytes from each place on, by doubling; zero-filled to the input's length."""
-    n = len(data)
+def _doubled(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
+    """Hashes of the 1, 2, 4, ... ``most`` bytes from each place on."""
+    power = {1: _TABLE.take(data)}
     with np.errstate(over="ignore"):
-        power = {1: _TABLE.take(data)}
-        for k, size in enumerate((1, 2, 4, 8, 16)):
-            h = power[size]
-            power[2 * size] = h[: max(len(h) - size, 0)] * _ODD[k] + h[size:]
+        for k in range(most.bit_length() - 1):
+            h = power[1 << k]
+            power[2 << k] = h[: max(len(h) - (1 << k), 0)] * _ODD[k] + h[1 << k :]
+    return power
 
-        def join(left: np.ndarray, right: np.ndarray, at: int, by: np.uint64) -> np.ndarray:
-            m = max(min(len(left), len(right) - at), 0)
-            return left[:m] * by + right[at : at + m]
 
-        gram = mix(join(power[16], power[8], 16, _ODD[1]))
-        whole = mix(join(join(power[32], power[16], 32, _ODD[2]), power[2], 48, _ODD[3]))
-    return (np.concatenate([h, np.zeros(n - len(h), np.uint64)]) for h in (gram, whole))
+def _join(left: np.ndarray, right: np.ndarray, at: int, by: np.uint64) -> np.ndarray:
+    m = max(min(len(left), len(right) - at), 0)
+    with np.errstate(over="ignore"):
+        return left[:m] * by + right[at : at + m]
+
+
+def _filled(h: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([mix(h), np.zeros(n - len(h), np.uint64)])
+
+
+def gram_hashes(power: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Hashes of the GRAM (16 + 8) bytes from each of n places on, 0 where they do not fit."""
+    return _filled(_join(power[16], power[8], 16, _ODD[1]), n)
+
+
+def whole_hashes(power: dict[int, np.ndarray], n: int) -> np.ndarray:
+    """Hashes of the LENGTH (32 + 16 + 2) bytes from each of n places on, 0 where they do not fit."""
+    return _filled(_join(_join(power[32], power[16], 32, _ODD[2]), power[2], 48, _ODD[3]), n)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -69,14 +81,15 @@ class Chunk:
     hash, and ``content`` names the bytes from the first string to the end of the last.
     """
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+    def __init__(self, pieces: list[tuple[int, int, bytes]], named: bool = True):
         self.pieces = pieces
         size = np.array([len(p[2]) for p in pieces], np.int64)
         self.ends = np.cumsum(size)
         self.data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
         place = np.arange(len(self.data))
         left = np.repeat(self.ends, size) - place
-        gram, whole = string_hashes(self.data)
+        power = _doubled(self.data, 32 if named else 16)
+        gram = gram_hashes(power, len(place))
         key = (gram & ~_LOW) | place.astype(np.uint64)
         key[left < GRAM] = NONE
         begins = np.flatnonzero(left >= LENGTH)
@@ -85,13 +98,15 @@ class Chunk:
         self.first = begins[at]
         self.last = begins[np.append(at[1:], len(begins)) - 1] if len(at) else at
         self.gram = gram[anchor[at]]
-        with np.errstate(over="ignore"):
-            edge = whole[self.first] * _ODD[0] + whole[self.last] * _ODD[4]
-        self.content = mix(edge + (self.last - self.first).astype(np.uint64)).view(np.int64)
+        if named:
+            whole = whole_hashes(power, len(place))
+            with np.errstate(over="ignore"):
+                edge = whole[self.first] * _ODD[0] + whole[self.last] * _ODD[4]
+            self.content = mix(edge + (self.last - self.first).astype(np.uint64)).view(np.int64)
         self.owner = np.repeat(np.array([p[0] for p in pieces], np.int64), size)[self.first]
 
 
-def chunks_of(texts: list[bytes]) -> Iterator[Chunk]:
+def chunks_of(texts: list[bytes], named: bool = True) -> Iterator[Chunk]:
     """Documents in order, cut where they are long; a piece repeats the bytes a string across the cut needs."""
     held: list[tuple[int, int, bytes]] = []
     total = 0
@@ -100,10 +115,10 @@ def chunks_of(texts: list[bytes]) -> Iterator[Chunk]:
             held.append((doc, start, raw[start : start + CHUNK + LENGTH - 1]))
             total += len(held[-1][2])
             if total >= CHUNK:
-                yield Chunk(held)
+                yield Chunk(held, named)
                 held, total = [], 0
     if held:
-        yield Chunk(held)
+        yield Chunk(held, named)
 
 
 def _shard(rows: pa.Table) -> tuple[list[bytes], np.ndarray]:
@@ -140,17 +155,17 @@ def _table(rows: list, names: list[str], types: list) -> pa.Table:
 def anchor_names(rows: pa.Table, buckets: int) -> pa.Table:
     """Of a shard: for each bucket the names of anchors in one document, and in several."""
     texts, order = _shard(rows)
-    found = [(c.gram, order[c.owner]) for c in chunks_of(texts)]
-    gram = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-    doc = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    bucket, name = _place(gram, buckets)
-    by = np.lexsort((doc, name, bucket))
-    bucket, name, doc = bucket[by], name[by], doc[by]
-    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])]) if len(by) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
+    found = [(np.int64(1 << 32) * bucket + name, order[c.owner]) for c in chunks_of(texts, False) for bucket, name in [_place(c.gram, buckets)]]
+    key = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+    doc = np.concatenate([f[1] for f in found]) if found else key
+    # documents come in order, and a stable sort leaves them so within a name
+    by = np.argsort(key, kind="stable")
+    key, doc = key[by], doc[by]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else by
     several = doc[at] != doc[np.append(at[1:], len(doc)) - 1] if len(at) else np.zeros(0, bool)
+    bucket, name = key[at] >> 32, (key[at] & 0xFFFFFFFF).astype(np.uint32)
     shard = rows["shard"][0].as_py()
-    out = [(b, shard, *blobs) for b, blobs in _blobs(bucket[at], name[at], several.astype(np.uint8))]
+    out = [(b, shard, *blobs) for b, blobs in _blobs(bucket, name, several.astype(np.uint8))]
     return _table(out, ["bucket", "shard", "names", "several"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
 
@@ -184,7 +199,7 @@ def contents(rows: pa.Table, repeated: pa.Table, buckets: int) -> pa.Table:
         key = bucket << 32 | name
         at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
         # within the chunk each content once already, with its first and last document
-        by = at[np.lexsort((order[c.owner[at]], c.content[at]))]
+        by = at[np.argsort(c.content[at], kind="stable")]
         new = np.flatnonzero(np.concatenate([[True], c.content[by][1:] != c.content[by][:-1]])) if len(by) else by
         one = by[new]
         last = order[c.owner[by[np.append(new[1:], len(by)) - 1]]] if len(by) else np.zeros(0, np.int64)
@@ -194,12 +209,14 @@ def contents(rows: pa.Table, repeated: pa.Table, buckets: int) -> pa.Table:
         parts.append((bucket[one], c.content[one], order[c.owner[one]], last, length, body))
     bucket, content, low, high, length, body = (np.concatenate([p[k] for p in parts]) for k in range(6))
     start = np.cumsum(length) - length
-    by = np.lexsort((low, content, bucket))
-    new = np.flatnonzero(np.concatenate([[True], (content[by][1:] != content[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])])) if len(by) else by
+    by = np.argsort(content, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], content[by][1:] != content[by][:-1]])) if len(by) else by
     one = by[new]
     if not len(one):
         return _table([], CONTENT_NAMES, CONTENT_TYPES)
     several = (np.maximum.reduceat(high[by], new) != low[one]).astype(np.uint8)
+    to_bucket = np.argsort(bucket[one], kind="stable")
+    one, several = one[to_bucket], several[to_bucket]
     length = length[one]
     place = np.cumsum(length) - length
     body = body[np.repeat(start[one] - place, length) + np.arange(length.sum())]
@@ -230,8 +247,14 @@ def earliest(rows: pa.Table) -> pa.Table:
     length = strings + LENGTH - 1
     start, place = np.cumsum(length) - length, np.cumsum(strings) - strings
     offset = np.arange(strings.sum()) - np.repeat(place, strings)
-    _, whole = string_hashes(body)
-    h = whole[np.repeat(start, strings) + offset]
+    h = np.empty(len(offset), np.uint64)
+    cuts = np.searchsorted(start, np.arange(CHUNK, len(body) + CHUNK, CHUNK))  # contents that begin in each stretch
+    for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+        if a < b:
+            part = body[start[a] : start[b - 1] + length[b - 1]]
+            whole = whole_hashes(_doubled(part, 32), len(part))
+            x, y = place[a], place[b - 1] + strings[b - 1]
+            h[x:y] = whole[np.repeat(start[a:b] - start[a], strings[a:b]) + offset[x:y]]
     owner = np.repeat(np.arange(len(content)), strings)
     by = np.argsort(h, kind="stable")
     new = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(by) else by
