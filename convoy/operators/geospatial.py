@@ -66,23 +66,28 @@ def path_distance(df: DataFrame, key: str = "vin") -> DataFrame:
     )
 
 
-def within_radius(points: DataFrame, sites: DataFrame, km: float, max_lat: float = 85.0) -> DataFrame:
-    """(site, point) pairs at most ``km`` apart, with the distance.
+def within_radius(points: DataFrame, sites: DataFrame, km: float) -> DataFrame:
+    """(site, point) pairs at most ``km`` apart, with the distance, anywhere on the globe.
 
-    Both sides meet on grid cells at least ``km`` wide, a site standing in its own cell and the
-    eight around it. Columns of longitude are as wide as the farthest latitude served needs;
-    points or sites beyond ``max_lat`` must be served by a larger ``max_lat``.
+    Both sides meet on grid cells. Rows of latitude are at least ``km`` high; each row has as many
+    columns as its circle of latitude holds at that width, one around the poles, so cells are about
+    equally large everywhere. A site stands in its own and the neighbouring columns of three rows.
     """
-    lat_step = km / 111.19 * 1.01
-    lon_step = lat_step / max(math.cos(math.radians(min(max_lat, 89.9))), 1e-3)
-    columns = max(1, math.floor(360.0 / lon_step))
-    lon_step = 360.0 / columns
+    lat_step = min(km / 111.19 * 1.01, 180.0)
+    half = math.sin(min(km / (2 * 6371.0) * 1.01, math.pi / 2))
 
-    def row(col):
-        return F.floor(col / F.lit(lat_step))
+    def row(lat):
+        return F.floor((lat + 90.0) / F.lit(lat_step))
 
-    def column(col):
-        return F.pmod(F.floor((col + 180.0) / F.lit(lon_step)), F.lit(columns))
+    def columns(r):
+        # the farthest latitude that a row and the one beyond it reach
+        edge = F.greatest(F.abs(r * lat_step - 90.0), F.abs((r + 1) * lat_step - 90.0)) + lat_step
+        ratio = F.lit(half) / F.cos(F.radians(F.least(edge, F.lit(89.9))))
+        wide = F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0))))
+        return F.when((edge >= 89.9) | (ratio >= 1), F.lit(1)).otherwise(F.floor(F.lit(360.0) / wide)).cast("long")
+
+    def column(lon, n):
+        return F.pmod(F.floor((lon + 180.0) / (F.lit(360.0) / n)), n)
 
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     near = (
@@ -97,12 +102,16 @@ def within_radius(points: DataFrame, sites: DataFrame, km: float, max_lat: float
             "site_id",
             "site_lat",
             "site_lon",
+            "dc",
             (row(F.col("site_lat")) + F.col("dr")).alias("_row"),
-            F.pmod(column(F.col("site_lon")) + F.col("dc"), F.lit(columns)).alias("_column"),
         )
+        .withColumn("_n", columns(F.col("_row")))
+        .withColumn("_column", F.pmod(column(F.col("site_lon"), F.col("_n")) + F.col("dc"), F.col("_n")))
+        .drop("dc", "_n")
         .distinct()
     )
-    placed = points.withColumn("_row", row(F.col("lat"))).withColumn("_column", column(F.col("lon")))
+    placed = points.withColumn("_row", row(F.col("lat")))
+    placed = placed.withColumn("_column", column(F.col("lon"), columns(F.col("_row"))))
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("site_lat"), F.col("site_lon"))
     return (
         placed.join(near, ["_row", "_column"])

@@ -6,7 +6,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from convoy.operators.state import clamp
+from convoy.operators.state import positive
+from convoy.sources.sinks import since
 
 
 def trailing(
@@ -16,12 +17,12 @@ def trailing(
     days: int | None = None,
     hours: int | None = None,
 ) -> DataFrame:
-    """Rows of the last 1..90 days, or 1..168 hours; the bound is a literal, so scans prune on it."""
+    """Rows of the last ``days`` (7) or ``hours``; the bound is a literal, so scans prune on it."""
     if hours is not None:
-        span = dt.timedelta(hours=clamp(hours, 1, 168))
+        span = dt.timedelta(hours=positive(hours, "hours"))
     else:
-        span = dt.timedelta(days=clamp(7 if days is None else days, 1, 90))
-    return df.filter(F.col(ts_col) >= F.lit(as_of - span))
+        span = dt.timedelta(days=positive(7 if days is None else days, "days"))
+    return since(df, ts_col, as_of - span)
 
 
 def _decimal(value: float) -> Column:
@@ -63,7 +64,7 @@ def idling_top(
         .agg(F.sum("idle_events").alias("idle"), F.sum("event_count").alias("n"))
         .filter(F.col("idle") > 0)
         .orderBy(F.desc("idle"), "vin")
-        .limit(clamp(limit, 1, 100))
+        .limit(positive(limit, "limit"))
     )
     return with_idle_cost(rows.withColumn("idle_ratio", _ratio()), **cost)
 
@@ -102,7 +103,7 @@ def utilisation(
             F.max("max_speed").alias("vmax"),
         )
         .orderBy(F.desc("km"), "vin")
-        .limit(clamp(limit, 1, 100))
+        .limit(positive(limit, "limit"))
         .select(
             "vin",
             F.round("km", 2).alias("distance_km"),

@@ -38,6 +38,10 @@ _NUMBERS = {
 MAX_SAFE_INTEGER = float(2**53 - 1)
 
 
+def _missing(column: str) -> Column:
+    return F.when(F.col(column).isNull(), F.lit(f"invalid:{column}:missing"))
+
+
 def _outside(column: str, low: float, high: float | None = None) -> Column:
     value = F.col(column)
     bad = value < low if high is None else (value < low) | (value > high)
@@ -45,28 +49,41 @@ def _outside(column: str, low: float, high: float | None = None) -> Column:
 
 
 def invalid_reason() -> Column:
-    """First constraint a canonical row breaks, in field order; null for a valid row."""
+    """First constraint a canonical row breaks, in field order; null for a valid row.
+
+    Only fuel, rpm and event may be missing.
+    """
     bad_code = F.array_position(
         F.transform("dtc", lambda x: ~F.coalesce(x.rlike(DTC_PATTERN), F.lit(False))), True
     )
     seq = F.col("seq").cast("double")
     return F.coalesce(
+        _missing("vin"),
         F.when(~is_valid_vin(F.col("vin")), F.lit("invalid:vin:invalid_vin")),
+        _missing("oem"),
         F.when(~F.length("oem").between(1, 20), F.lit("invalid:oem:length")),
         F.when(F.col("ts").isNull(), F.lit("invalid:ts:invalid_ts")),
+        _missing("lat"),
         _outside("lat", -90, 90),
+        _missing("lon"),
         _outside("lon", -180, 180),
+        _missing("speed_kmh"),
         _outside("speed_kmh", 0, 400),
+        _missing("odo_km"),
         _outside("odo_km", 0),
         _outside("fuel_pct", 0, 100),
+        _missing("engine_on"),
         _outside("rpm", 0, 12000),
+        _missing("dtc"),
         F.when(
             bad_code > 0,
             F.concat(F.lit("invalid:dtc."), (bad_code - 1).cast("string"), F.lit(":invalid_dtc")),
         ),
         F.when(F.length("evt") > 32, F.lit("invalid:evt:too_long")),
+        _missing("seq"),
         F.when(seq != F.floor(seq), F.lit("invalid:seq:not_integer")),
         F.when((seq < 0) | (seq > MAX_SAFE_INTEGER), F.lit("invalid:seq:out_of_range")),
+        _missing("schema_ver"),
         F.when(F.col("schema_ver") < 1, F.lit("invalid:schema_ver:out_of_range")),
     )
 

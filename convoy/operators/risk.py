@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convoy.operators.insights import trailing
 from convoy.operators.numbering import exact_quantiles, running_by_value
-from convoy.operators.state import clamp
+from convoy.operators.state import positive
 from convoy.schemas import RISK_FEATURES
 from convoy.session import ensure_checkpoint_dir, staged
 
@@ -21,12 +21,12 @@ def risk_features(
     as_of: dt.datetime,
     hours: int = 24,
     min_events: int = 30,
-    cap: int | None = 500,
+    cap: int | None = None,
     days: int | None = None,
 ) -> DataFrame:
-    """Ratios per vehicle with enough events; the ``cap`` worst by fault and braking counts.
+    """Ratios per vehicle with enough events.
 
-    ``days`` widens the window beyond the hourly limit; ``cap=None`` keeps every vehicle.
+    ``days`` takes the window's length in days; ``cap`` keeps only the worst by fault and braking counts.
     """
     window = {"days": days} if days is not None else {"hours": hours}
     agg = (
@@ -93,7 +93,7 @@ def risk_ranking(
     source = "rules_fallback" if model is None else "ml"
     return (
         scored.orderBy(F.desc("risk"), "vin")
-        .limit(clamp(limit, 1, 50))
+        .limit(positive(limit, "limit"))
         .withColumn("risk", F.round("risk", 4))
         .withColumn("source", F.lit(source))
     )

@@ -7,10 +7,14 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convoy.operators.numbering import numbered
+from convoy.sources.sinks import since
 
 
-def clamp(value: int, low: int, high: int) -> int:
-    return min(high, max(low, value))
+def positive(value: int, name: str) -> int:
+    """``value``, which must be 1 or more; there is no upper bound to what a caller may ask for."""
+    if value < 1:
+        raise ValueError(f"{name} must be at least 1, not {value}")
+    return value
 
 
 def latest_state(df: DataFrame, key: str = "vin", order: str = "arrival") -> DataFrame:
@@ -27,7 +31,7 @@ def latest_state(df: DataFrame, key: str = "vin", order: str = "arrival") -> Dat
 
 def live_list(latest: DataFrame, fleets: DataFrame, limit: int = 300) -> DataFrame:
     """Most recently seen vehicles: top ``limit`` of each fleet, fleets in id order, cut at ``limit``."""
-    limit = clamp(limit, 1, 1000)
+    positive(limit, "limit")
     w = Window.partitionBy("fleet_id").orderBy(F.desc("ts"), F.desc("vin"))
     return (
         latest.join(fleets.select("fleet_id"), "fleet_id", "left_semi")
@@ -67,10 +71,12 @@ def vehicle_history(
     limit: int = 200,
 ) -> DataFrame:
     """One vehicle's rows of the last hours, newest first; ``next_before`` only on a full page."""
-    limit, hours = clamp(limit, 1, 2000), clamp(hours, 1, 168)
-    rows = t.filter((F.col("vin") == vin) & (F.col("ts") >= F.lit(as_of - dt.timedelta(hours=hours))))
+    positive(limit, "limit")
+    rows = since(t, "ts", as_of - dt.timedelta(hours=positive(hours, "hours"))).filter(F.col("vin") == vin)
     if before is not None:
         rows = rows.filter(F.col("ts") < F.lit(before))
+        if "day" in rows.columns:
+            rows = rows.filter(F.col("day") <= F.lit(before.date()))
     page = rows.orderBy(F.desc("ts"), F.desc("seq")).limit(limit)
     return _with_cursor(page, "ts", limit, "next_before", desc=True)
 
@@ -89,10 +95,10 @@ def keyset_page(
     after: int | None = None,
     limit: int = 50,
     desc: bool = False,
-    max_limit: int = 200,
+    max_limit: int | None = None,
 ) -> DataFrame:
-    """One page in key order after a cursor, with ``next_cursor`` on a full page."""
-    limit = clamp(limit, 1, max_limit)
+    """One page in key order after a cursor, with ``next_cursor`` on a full page; ``max_limit`` caps its size."""
+    limit = positive(limit, "limit") if max_limit is None else min(positive(limit, "limit"), max_limit)
     if after is not None:
         df = df.filter(F.col(key) < after if desc else F.col(key) > after)
     page = df.orderBy(F.desc(key) if desc else F.asc(key)).limit(limit)
@@ -133,10 +139,12 @@ def mask_location(df: DataFrame, role: str, decimals: int = 3) -> DataFrame:
 
 
 def pair_assignments(
-    vehicle: DataFrame, driver: DataFrame, assigned_from: dt.datetime, limit: int = 2000
+    vehicle: DataFrame, driver: DataFrame, assigned_from: dt.datetime, limit: int | None = None
 ) -> DataFrame:
-    """Pair vehicles and drivers by position in id order, as the seeding job does for ``limit``."""
-    v = numbered(vehicle.select("vehicle_id"), [], "vehicle_id").filter(F.col("rn") <= limit)
+    """Pair vehicles and drivers by position in id order, all of them or the first ``limit`` vehicles."""
+    v = numbered(vehicle.select("vehicle_id"), [], "vehicle_id")
+    if limit is not None:
+        v = v.filter(F.col("rn") <= positive(limit, "limit"))
     d = numbered(driver.select("driver_id"), [], "driver_id")
     return v.join(d, "rn").select(
         "vehicle_id",

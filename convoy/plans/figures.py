@@ -167,7 +167,7 @@ SIX = "round({0}, 6) AS {0}"
     duck_risk(" SELECT vin, " + ", ".join(SIX.format(f) for f in risk.RISK_FEATURES) + " FROM features ORDER BY dtc DESC, harsh DESC, vin LIMIT 500"),
 )
 def risk_features(spark, sf):
-    return features(spark, sf, cap=500).select("vin", *[F.round(f, 6).alias(f) for f in risk.RISK_FEATURES])
+    return features(spark, sf).select("vin", *[F.round(f, 6).alias(f) for f in risk.RISK_FEATURES])
 
 
 @query("rule_risk", duck_risk(" SELECT vin, round(risk, 6) AS risk FROM risked"))
@@ -269,13 +269,13 @@ def train_test_split(spark, sf):
 @query("risk_model_scores")
 def risk_model_scores(spark, sf):
     rows = _split(spark, sf)
-    model = risk.train_risk_model(rows.filter("NOT is_test"), trees=20)
+    model = risk.train_risk_model(rows.filter("NOT is_test"))
     return risk.score(rows.filter("is_test").drop("risk"), model).select("vin", "label", F.round("risk", 6).alias("risk"))
 
 
 @query("risk_model_report")
 def risk_model_report(spark, sf):
-    out = risk.evaluate_model(labelled(spark, sf), trees=20)
+    out = risk.evaluate_model(labelled(spark, sf))
     return out.select("method", "tp", "fp", "fn", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1", "roc_auc")])
 
 

@@ -43,25 +43,26 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         "batches",
         then="""+ lines AS (SELECT batch_id, list_filter(list_transform(string_split(text, chr(10)),
                         lambda x: trim(x)), lambda x: x <> '') AS ls FROM batches)
-        SELECT batch_id, len(ls) > 5000 AS truncated, CAST(i - 1 AS INT) AS line_no, ls[i] AS line
+        SELECT batch_id, i > 40 AS truncated, CAST(i - 1 AS INT) AS line_no, ls[i] AS line
         FROM (SELECT batch_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM lines)""",
     ),
 )
 def ndjson_lines(spark, sf):
-    return ndjson.parse_ndjson(view(spark, sf, "batches"))
+    return ndjson.parse_ndjson(view(spark, sf, "batches"), max_lines=40)
 
 
 @query(
     "malformed_lines",
     duck(
         "wire_defects",
-        then=f"""SELECT event_id, copy, oem, reason, CASE WHEN reason IS NULL THEN line ELSE left(line, 300) END AS line
+        then=f"""SELECT event_id, copy, oem, reason, line, CASE WHEN reason IS NOT NULL THEN left(line, 5) END AS shown
         FROM (SELECT *, {LINE_REASON} AS reason FROM wire_defects)""",
     ),
 )
 def malformed_lines(spark, sf):
     out = ndjson.classify_lines(view(spark, sf, "wire_defects"))
-    return out.select("event_id", "copy", "oem", "reason", "line")
+    cut = F.when(F.col("reason").isNotNull(), ndjson.shown("line", 5)).alias("shown")
+    return out.select("event_id", "copy", "oem", "reason", "line", cut)
 
 
 @query(

@@ -318,20 +318,36 @@ def failure_precedence(spark, sf):
     return nm.first_failure(nm.normalise(payloads(spark, sf), vendor_registry(spark)))
 
 
+NULLED = ("vin", "oem", "lat", "lon", "speed_kmh", "odo_km", "engine_on", "dtc", "seq", "schema_ver")
 VALIDATION_ROWS = """event_id, vin, oem, ts, lat + k AS lat, lon * 2 + k AS lon, value * 1.5e0 AS speed_kmh,
     odo_km - 1010e0 AS odo_km, fuel_pct * 1.05e0 AS fuel_pct, engine_on, value * 30 AS rpm, dtc, evt, seq - 7 AS seq, 1 AS schema_ver"""
 
 
+def _nulled(source: str) -> str:
+    """Rows of ``source`` with one required field emptied in ten of 23."""
+    empty = ", ".join(f"CASE WHEN event_id % 23 = {i} THEN NULL ELSE {c} END AS {c}" for i, c in enumerate(NULLED))
+    return f"SELECT event_id, ts, fuel_pct, rpm, evt, {empty} FROM {source}"
+
+
+def _first_problem() -> str:
+    checks = {
+        "vin": None, "oem": None, "lat": "lat > 90", "lon": "lon > 180", "speed_kmh": "speed_kmh > 400", "odo_km": "odo_km < 0",
+        "fuel_pct": "fuel_pct > 100", "engine_on": None, "rpm": "rpm > 12000", "dtc": None, "seq": "seq < 0", "schema_ver": None,
+    }
+    arms = []
+    for column, bad in checks.items():
+        arms += [f"WHEN {column} IS NULL THEN 'invalid:{column}:missing'"] if column in NULLED else []
+        arms += [f"WHEN {bad} THEN 'invalid:{column}:out_of_range'"] if bad else []
+    return "CASE " + " ".join(arms) + " END"
+
+
 @query(
     "validation",
     duck(
         "telemetry",
-        then=f"""+ rows AS (SELECT {VALIDATION_ROWS.replace('value', 'e.value').replace('ts,', 't.ts,').replace('event_id', 't.event_id')}
-            FROM telemetry t JOIN events e ON e.event_id = t.event_id)
-        SELECT event_id, CASE WHEN lat > 90 THEN 'invalid:lat:out_of_range' WHEN lon > 180 THEN 'invalid:lon:out_of_range'
-            WHEN speed_kmh > 400 THEN 'invalid:speed_kmh:out_of_range' WHEN odo_km < 0 THEN 'invalid:odo_km:out_of_range'
-            WHEN fuel_pct > 100 THEN 'invalid:fuel_pct:out_of_range' WHEN rpm > 12000 THEN 'invalid:rpm:out_of_range'
-            WHEN seq < 0 THEN 'invalid:seq:out_of_range' END AS reason FROM rows""",
+        then=f"""+ whole AS (SELECT {VALIDATION_ROWS.replace('value', 'e.value').replace('ts,', 't.ts,').replace('event_id', 't.event_id')}
+            FROM telemetry t JOIN events e ON e.event_id = t.event_id), rows AS ({_nulled('whole')})
+        SELECT event_id, {_first_problem()} AS reason FROM rows""",
     ),
 )
 def validation(spark, sf):
@@ -339,7 +355,8 @@ def validation(spark, sf):
     rows = view(spark, sf, "telemetry").join(events, "event_id").selectExpr(
         *[c.strip() for c in VALIDATION_ROWS.split(",")]
     )
-    return nm.validate(rows).select("event_id", "reason")
+    emptied = {c: F.when(F.col("event_id") % 23 != i, F.col(c)) for i, c in enumerate(NULLED)}
+    return nm.validate(rows.withColumns(emptied)).select("event_id", "reason")
 
 
 AUDIT_VIN = """CASE WHEN k < 10 THEN replace(vin, '1', 'I') WHEN k < 20 THEN substr(vin, 1, 16)

@@ -11,12 +11,12 @@ from convoy.schemas import FALLBACK_VIN_KEYS
 
 
 def parse_ndjson(
-    df: DataFrame, text_col: str = "text", batch_col: str = "batch_id", max_lines: int = 5000
+    df: DataFrame, text_col: str = "text", batch_col: str = "batch_id", max_lines: int | None = None
 ) -> DataFrame:
-    """One row per non-blank line of each batch, up to the batch's line allowance.
+    """One row per non-blank line of each batch.
 
-    ``truncated`` tells that the batch held more lines than allowed. The array is cut before it
-    is exploded, so the work stays narrow.
+    ``truncated`` marks the lines beyond the batch's allowance of ``max_lines``, for the dead letters;
+    they are handed on like the others.
     """
     lines = F.filter(
         F.transform(F.split(F.col(text_col), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")),
@@ -24,17 +24,17 @@ def parse_ndjson(
     )
     keep = [c for c in df.columns if c not in (text_col, batch_col)]
     return (
-        df.select(batch_col, *keep, lines.alias("_lines"))
-        .withColumn("truncated", F.size("_lines") > max_lines)
-        .select(
-            batch_col,
-            *keep,
-            "truncated",
-            F.posexplode(F.slice("_lines", 1, max_lines)).alias("line_no", "line"),
-        )
+        df.select(batch_col, *keep, F.posexplode(lines).alias("line_no", "line"))
+        .withColumn("truncated", F.lit(False) if max_lines is None else F.col("line_no") >= max_lines)
+        .select(batch_col, *keep, "truncated", "line_no", "line")
     )
 
 
+def shown(line_col: str = "line", max_chars: int = 300) -> Column:
+    """A line's beginning, for lists; the line itself is stored whole."""
+    return F.left(F.col(line_col), F.lit(max_chars))
+
+
 def _one_value() -> Column:
     """Whether the bracketed text in ``_doc`` parsed as exactly one value."""
     doc = F.col("_doc")
@@ -45,11 +45,11 @@ def _one_value() -> Column:
     )
 
 
-def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300) -> DataFrame:
+def classify_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``payload`` (VARIANT object) or ``reason`` (``bad_json`` / ``not_object``).
 
-    Wrapping the line in brackets makes trailing text an error; a line with a repeated key counts
-    as ``bad_json``. Rejected lines are cut for the dead-letter record, accepted ones stay whole.
+    Wrapping the line in brackets makes trailing text an error; of a repeated key the last value
+    counts, as ``configure`` sets the session. Rejected lines stay whole, so they can be replayed.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(line_col), F.lit("]")))
     item = F.try_variant_get(F.col("_doc"), "$[0]", "variant")
@@ -60,12 +60,6 @@ def classify_lines(df: DataFrame, line_col: str = "line", max_chars: int = 300)
         df.withColumn("_doc", wrapped)
         .withColumn("reason", reason)
         .withColumn("payload", F.when(F.col("reason").isNull(), item))
-        .withColumn(
-            line_col,
-            F.when(F.col("reason").isNull(), F.col(line_col)).otherwise(
-                F.left(F.col(line_col), F.lit(max_chars))
-            ),
-        )
     )
     return settle(out.drop("_doc"))
 

@@ -10,7 +10,7 @@ from convoy.functions.vin import is_valid_vin, vin_problem
 from convoy.operators.mapping import active_mappings, vendor_registry
 from convoy.operators.normalise import normalise, preview_mapping, validate
 from convoy.schemas import VENDOR_MAPPINGS
-from convoy.sources.ndjson import classify_lines, decode_envelope, parse_ndjson, with_partition_key
+from convoy.sources.ndjson import classify_lines, decode_envelope, parse_ndjson, shown, with_partition_key
 
 VIN = "1HGCM82633A004352"
 GOOD = {
@@ -146,15 +146,32 @@ def test_ndjson(spark):
         None, "bad_json", "not_object", None, "bad_json", "not_object", "not_object", "bad_json"
     ]
     ten = spark.createDataFrame([(1, "\n".join(['{"a":1}'] * 10))], "batch_id int, text string")
-    cut = parse_ndjson(ten, max_lines=5).collect()
-    assert len(cut) == 5 and all(r["truncated"] for r in cut)
+    cut = parse_ndjson(ten, max_lines=5).orderBy("line_no").collect()
+    assert [r["truncated"] for r in cut] == [False] * 5 + [True] * 5
+    assert not any(r["truncated"] for r in parse_ndjson(ten).collect())
 
 
-def test_invalid_line_is_cut_valid_line_is_not(spark):
+def test_lines_stay_whole(spark):
     long = json.dumps({"a": "x" * 900})
     df = spark.createDataFrame([(1, long), (2, "y" * 900)], "id int, line string")
-    got = {r["id"]: len(r["line"]) for r in classify_lines(df).collect()}
-    assert got == {1: len(long), 2: 300}
+    got = {r["id"]: (len(r["line"]), len(r["s"])) for r in classify_lines(df).withColumn("s", shown()).collect()}
+    assert got == {1: (len(long), 300), 2: (900, 300)}
+
+
+def test_last_of_repeated_keys_counts(spark):
+    df = spark.createDataFrame([('{"a":1,"a":2}',)], "line string")
+    row = classify_lines(df).select("reason", F.try_variant_get("payload", "$.a", "int").alias("a")).first()
+    assert tuple(row) == (None, 2)
+
+
+def test_missing_values_are_invalid(spark):
+    good = normalise(payload_rows(spark, [GOOD]), vendor_registry(spark)).drop("reason")
+    kinds = dict(good.dtypes)
+    for field in ("vin", "oem", "lat", "lon", "speed_kmh", "odo_km", "engine_on", "dtc", "seq", "schema_ver"):
+        bad = good.withColumn(field, F.lit(None).cast(kinds[field]))
+        assert validate(bad).first()["reason"] == f"invalid:{field}:missing"
+    for field in ("fuel_pct", "rpm", "evt"):
+        assert validate(good.withColumn(field, F.lit(None).cast(kinds[field]))).first()["reason"] is None
 
 
 def test_envelope_and_key(spark):

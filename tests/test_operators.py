@@ -1,6 +1,7 @@
 """Operators on small tables: skew, replays, edges."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -130,6 +131,25 @@ def test_radius_over_the_date_line(spark):
     assert got == {("s", 1), ("s", 2), ("n", 4)}
 
 
+def test_radius_against_all_pairs(spark):
+    """At the poles, over the date line and everywhere else; also where one circle spans all latitudes."""
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(150)]
+    spots += [(rnd.choice((-1, 1)) * rnd.uniform(88, 90), rnd.uniform(-180, 180)) for _ in range(60)]
+    spots += [(rnd.uniform(60, 70), rnd.choice((-1, 1)) * rnd.uniform(179, 180)) for _ in range(60)]
+    points = spark.createDataFrame([(i, *s) for i, s in enumerate(spots)], "id int, lat double, lon double")
+    sites = points.select(F.col("id").alias("site_id"), "lat", "lon")
+
+    def km(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+    for radius in (50, 200, 3000, 21_000):
+        got = {(r.site_id, r.id) for r in geospatial.within_radius(points, sites, radius).collect()}
+        assert got == {(i, j) for i, a in enumerate(spots) for j, b in enumerate(spots) if km(a, b) <= radius}
+
+
 def test_batches_are_replaced_on_replay(spark):
     path, _ = streams.scratch(spark, "replay-test")
     df = spark.range(10)
