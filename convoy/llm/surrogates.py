@@ -52,6 +52,9 @@ NUMBERS = re.compile(
 NAMES = re.compile(
     rf"(?<!\w)(?:(?P<title>{_TITLE})\.? (?P<a>{_WORD})(?: (?P<b>{_WORD}))?|(?P<given>{_KNOWN}) (?P<surname>{_WORD}))(?!\w)"
 )
+#: Words without which NAMES finds nothing.
+_WORDS = re.compile(r"\w+").findall
+_TRIGGERS = frozenset(w for names in (TITLES, GIVEN, GIVEN_CYRILLIC) for ns in names.values() for n in ns for w in _WORDS(n)[:1])
 LOCAL = re.compile(r"[\w.+%-]+\Z")
 DOMAIN = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})+")
 
@@ -91,7 +94,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "IBAN" and not _iban_ok(entity):
                 continue
             found.append((m.start(), m.end(), kind, entity))
-    for m in NAMES.finditer(text):
+    for m in NAMES.finditer(text) if not _TRIGGERS.isdisjoint(_WORDS(text)) else ():
         if m["title"]:
             gender = _GENDER[m["title"].lower()]
             if not _capital(m["a"]):
