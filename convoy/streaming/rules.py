@@ -153,12 +153,13 @@ class RuleProcessor(StatefulProcessor):
         self.alerted.update((last,))
         out = found.loc[picked]
         row = out["row"].to_numpy(np.int64)
-        return pd.DataFrame(
-            {
-                "vin": vin, "code": out["code"].to_numpy(), "severity": out["code"].map(RULE_SEVERITY).to_numpy(),
-                "ts_ms": t[row], "seq": events["seq"].to_numpy(np.int64)[row], "pos": out["pos"].to_numpy(np.int32), "detail": out["detail"].to_numpy(),
-            }
-        )
+        codes = [str(c) for c in out["code"]]
+        texts = {
+            "vin": [str(vin)] * len(row), "code": codes, "severity": [RULE_SEVERITY[c] for c in codes], "detail": [str(d) for d in out["detail"]],
+        }
+        numbers = {"ts_ms": t[row], "seq": events["seq"].to_numpy(np.int64)[row], "pos": out["pos"].to_numpy(np.int32)}
+        columns = {k: pd.Series(v, dtype=object) for k, v in texts.items()} | numbers
+        return pd.DataFrame({c: columns[c] for c in (x.split()[0] for x in ALERTS.split(", "))})
 
     def close(self) -> None:
         pass
