@@ -24,7 +24,7 @@ from convoy.llm.common import Shared
 #: Pieces up to this many bytes share an array of trees.
 TOGETHER = 64
 #: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 NONE = np.int64(1 << 60)
 MARKS = ".,;:!?|*$%&#"
 #: A pattern that splits these so takes a word and the marks behind it as one piece each.

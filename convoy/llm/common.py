@@ -47,10 +47,9 @@ class Shared:
         return self._broadcast.value
 
     def built(self, make):
-        """``make(value)``, kept for later batches and tasks of this worker."""
+        """``make(value)``, kept for later batches and tasks of this worker until another is made."""
         if self.name not in _built:
-            if len(_built) >= 3:
-                _built.clear()
+            _built.clear()
             _built[self.name] = make(self.value)
         return _built[self.name]
 

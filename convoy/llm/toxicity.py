@@ -34,7 +34,7 @@ MIN_DOCUMENTS = 8
 #: Share of the epochs in which toxic documents give random windows; random windows of every document.
 WARM_SHARE, RANDOM_WINDOWS = 0.25, 4
 #: Distinct words whose margins a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 WORDS = re.compile(r"\w+").findall
 
