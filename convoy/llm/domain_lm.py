@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from convoy.llm.common import flagged, mix
+from convoy.llm.common import Shared, flagged, mix, stage
 
 #: Words of the shared vocabulary: the most frequent of the corpus; all others are one unknown word.
 VOCABULARY = 50_000
@@ -34,7 +34,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` most frequent words over all rows; ties by the word."""
+    """The most frequent words over all rows: as many whole classes of equal count as make up ``size`` at most.
+
+    Counts of counts give the cut, so only the chosen words come to the driver, whatever the partitions.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -51,7 +54,16 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         yield out()
 
     counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = stage(counted, "word-counts")
+    taken, cut = 0, None
+    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        taken += r.words
+        if taken > size:
+            break
+        cut = r.n
+    if cut is None:
+        return []
+    return sorted(bytes(r.word) for r in counted.where(F.col("n") >= cut).select("word").collect())
 
 
 def pair_buckets(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -72,7 +84,7 @@ def _sum_blocks(rows: pa.Table) -> pa.Table:
     return rows.slice(0, 1).set_column(rows.schema.get_field_index("counts"), "counts", pa.array([total.tobytes()], pa.binary()))
 
 
-def count_pairs(docs: DataFrame, trusted: DataFrame, words, bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray]:
+def count_pairs(docs: DataFrame, trusted: DataFrame, words: Shared, bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Unigram and bigram counts of (background, target): arrays of shape (2, words + 1) and (2, 2^bits).
 
     A task counts its rows into arrays and hands them on in packed blocks; blocks are added up on
@@ -81,7 +93,7 @@ def count_pairs(docs: DataFrame, trusted: DataFrame, words, bits: int = PAIR_BIT
     block = 1 << min(BLOCK_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(words)
+        index = words.built(numbered)
         singles, pairs = np.zeros((2, len(index) + 1), np.int64), np.zeros((2, 1 << bits), np.int32)
         salt = 0
         for batch in batches:
@@ -112,15 +124,8 @@ def count_pairs(docs: DataFrame, trusted: DataFrame, words, bits: int = PAIR_BIT
     return singles, pairs
 
 
-_indexes: dict[int, dict[bytes, int]] = {}
-
-
-def _index(words) -> dict[bytes, int]:
-    """Numbers of the vocabulary's words, built once per worker."""
-    key = words.id if hasattr(words, "id") else id(words)
-    if key not in _indexes:
-        _indexes[key] = {w: i for i, w in enumerate(words.value)}
-    return _indexes[key]
+def numbered(words: list[bytes]) -> dict[bytes, int]:
+    return {w: i for i, w in enumerate(words)}
 
 
 def token_losses(ids: np.ndarray, singles: np.ndarray, pairs: np.ndarray, total: float, share: float, bits: int) -> np.ndarray:
@@ -143,13 +148,13 @@ def cross_entropy_difference(
     occur; extra columns are neither read nor returned.
     """
     sc = docs.sparkSession.sparkContext
-    words = sc.broadcast(vocabulary(docs, size))
+    words = Shared(docs.sparkSession, vocabulary(docs, size))
     singles, pairs = count_pairs(docs, trusted, words, bits)
     models = sc.broadcast((singles.astype(np.float32), pairs.astype(np.float32), singles.sum(1).tolist()))
 
     @F.arrow_udf("struct<n_tokens:bigint,target_loss:double,background_loss:double>")
     def losses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = _index(words)
+        index = words.built(numbered)
         one, two, total = models.value
         kind = pa.struct([("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
         for texts in batches:
