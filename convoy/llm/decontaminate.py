@@ -77,9 +77,9 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     shingles = stage(window_shingles(windows), "window-shingles")
     widths = sorted(r.width for r in shingles.select("width").distinct().collect())  # SHINGLE values at most
     tokens = document_shingles(docs, widths or [SHINGLE])
-    known = bounded(shingles.select("shingle").distinct())
-    seen = tokens.select("shingle").join(known, "shingle").groupBy("shingle").agg(F.count("*").alias("seen"))
-    seen = stage(seen, "shingles-seen")
+    # documents are cut into shingles once; what meets a benchmark shingle serves the order and the join
+    met = stage(tokens.join(bounded(shingles.select("shingle").distinct()), "shingle"), "shingles-met")
+    seen = met.groupBy("shingle").agg(F.count("*").alias("seen"))
     # a shingle that no document has rules its windows out; of the others the rarest is the prefix
     ranked = shingles.join(seen, "shingle", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     prefix = (
@@ -91,7 +91,7 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     prefix = bounded(stage(prefix, "window-prefix"))
     start = F.col("pos") - F.col("offset")
     candidates = (
-        tokens.join(prefix, "shingle")
+        met.join(prefix, "shingle")
         .where((start >= 0) & (start + F.size("words") <= F.col("n_words")))
         .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
         .agg(F.collect_set(F.struct(start.alias("start"), "wid", "words")).alias("_near"))
