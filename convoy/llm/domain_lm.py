@@ -4,166 +4,186 @@ The target model is estimated from trusted documents, the background model from
 are bigram models, interpolated with unigrams, of the same form over the same words. A document's
 score is the mean over its tokens of the target model's loss minus the background model's: below 0
 it reads more like the target.
+
+Every word and every pair of neighbours of the corpus has its own counts. Shards of documents send the
+names (64-bit hashes) and counts of their distinct words and pairs, packed, to buckets of names; a
+bucket adds them up and answers each shard in the order it asked, and the shard reads its
+documents again to score them. A shard sends a name once however frequent it is, so no bucket grows with a frequent pair.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from convoy.llm.common import Shared, flagged, mix, stage
+from convoy.llm.common import flagged, mix, stage, text_key, word_hashes
 
-#: Words of the shared vocabulary: the most frequent of the corpus; all others are one unknown word.
-VOCABULARY = 50_000
-#: Pairs of words are counted in 2^PAIR_BITS hash buckets, in blocks of 2^BLOCK_BITS for the shuffle.
-PAIR_BITS, BLOCK_BITS = 21, 12
 #: Share of the bigram estimate; the rest goes to the unigram estimate.
 BIGRAM_SHARE = 0.6
-#: Distinct words a task holds before it hands on its counts.
-HELD_WORDS = 400_000
-#: A block's partial counts meet in this many groups first, so that no group grows with the tasks.
-SALTS = 16
+#: Bytes of documents in a shard; there are as many buckets as shards.
+SHARD_BYTES = 16 << 20
+WORD, PAIR = 0, 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The most frequent words over all rows: as many whole classes of equal count as make up ``size`` at most.
-
-    Counts of counts give the cut, so only the chosen words come to the driver, whatever the partitions.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                held.update(words_of(text))
-            if len(held) > HELD_WORDS:
-                yield out()
-                held.clear()
-        yield out()
+def pair_names(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Names of pairs of words, given the words' names."""
+    with np.errstate(over="ignore"):
+        return mix(before * _ODD + mix(after))
 
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = stage(counted, "word-counts")
-    taken, cut = 0, None
-    for r in counted.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        taken += r.words
-        if taken > size:
-            break
-        cut = r.n
-    if cut is None:
-        return []
-    return sorted(bytes(r.word) for r in counted.where(F.col("n") >= cut).select("word").collect())
 
+class Tokens:
+    """A shard's documents end to end.
 
-def pair_buckets(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket of each token with the token before it; the first follows the document's start."""
-    before = np.concatenate([[-1], ids[:-1]]).astype(np.int64)
-    return (mix(((before + 1) << 32 | ids).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    ``size`` has the tokens of each document and ``follows`` tells which tokens have one before them.
+    ``names`` and ``buckets`` have the distinct words and the distinct pairs, ordered by bucket and name; ``of``
+    has each token's place among the words, and each following token's place among the pairs.
+    """
 
+    def __init__(self, texts: pa.ChunkedArray, buckets: int):
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        found = []
+        for chunk in texts.chunks:
+            for text in chunk:
+                words = words_of(text.as_py())
+                found.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+        first = (np.cumsum(self.size) - self.size)[self.size > 0]
+        self.follows = np.ones(len(ids), bool)
+        self.follows[first] = False
+        hashes = word_hashes(list(number))
+        after = np.flatnonzero(self.follows)
+        pairs, pair = np.unique(ids[after - 1].astype(np.int64) << 32 | ids[after], return_inverse=True)
+        self.names, self.buckets, self.of = [], [], []
+        for name, of in ((hashes, ids), (pair_names(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF]), pair)):
+            bucket = ((mix(name) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((name, bucket))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            self.names.append(name[order])
+            self.buckets.append(bucket[order])
+            self.of.append(place[of])
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them all, after its width."""
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return bytes([kind.itemsize]) + counts.astype(kind).tobytes()
+
+
+def unpacked(rows: pa.ChunkedArray) -> np.ndarray:
+    """Packed counts of several rows end to end."""
+    parts = [np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64) for x in rows.to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def shard_counts(rows: pa.Table, buckets: int) -> pa.Table:
+    """Of a shard: for each bucket the names of its words, and of its pairs, with their counts in all and in trusted rows."""
+    tokens = Tokens(rows["text"], buckets)
+    good = np.repeat(rows["_trusted"].to_numpy(), tokens.size)
+    shard, out = rows["shard"][0].as_py(), []
+    for kind, trusted in ((WORD, good), (PAIR, good[tokens.follows])):
+        name, bucket, of = tokens.names[kind], tokens.buckets[kind], tokens.of[kind]
+        counts = [np.bincount(x, minlength=len(name)) for x in (of, of[trusted])]
+        at = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
+            out.append((kind, int(bucket[a]), shard, name[a:b].tobytes(), *(packed(c[a:b]) for c in counts)))
+    return _table(out, COUNT_NAMES, COUNT_TYPES)
+
+
+COUNT_NAMES = ["kind", "bucket", "shard", "names", "every", "good"]
+COUNT_TYPES = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 3]
+
+
+def bucket_sums(rows: pa.Table) -> pa.Table:
+    """Of a bucket: for each shard the corpus's counts of the names it sent, in its order.
+
+    The first row also has the bucket's distinct names and the sums of their counts.
+    """
+    sent = [np.frombuffer(x, np.uint64) for x in rows["names"].to_pylist()]
+    value, place = np.unique(np.concatenate(sent), return_inverse=True)
+    sums = []
+    for side in ("every", "good"):
+        sums.append(np.zeros(len(value), np.int64))
+        np.add.at(sums[-1], place, unpacked(rows[side]))
+    end, out = np.cumsum([len(x) for x in sent]), []
+    kind, bucket = rows["kind"][0].as_py(), rows["bucket"][0].as_py()
+    for shard, a, b in zip(rows["shard"].to_pylist(), [0, *end[:-1]], end, strict=True):
+        whole = (0, 0, 0) if out else (len(value), *(int(s.sum()) for s in sums))
+        out.append((shard, kind, bucket, *(packed(s[place[a:b]]) for s in sums), *whole))
+    return _table(out, SUM_NAMES, SUM_TYPES)
 
-def token_ids(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the words; unknown words share the number after the last."""
-    unknown = len(index)
-    return np.fromiter((index.get(w, unknown) for w in words), np.int64, len(words))
 
+SUM_NAMES = ["shard", "kind", "bucket", "every", "good", "distinct", "n_every", "n_good"]
+SUM_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 3]
 
-def _sum_blocks(rows: pa.Table) -> pa.Table:
-    """Adds up the packed counts of one block."""
-    total = sum(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist())
-    return rows.slice(0, 1).set_column(rows.schema.get_field_index("counts"), "counts", pa.array([total.tobytes()], pa.binary()))
 
+def _table(rows: list, names: list[str], types: list) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-def count_pairs(docs: DataFrame, trusted: DataFrame, words: Shared, bits: int = PAIR_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Unigram and bigram counts of (background, target): arrays of shape (2, words + 1) and (2, 2^bits).
 
-    A task counts its rows into arrays and hands them on in packed blocks; blocks are added up on
-    the executors, first within salted groups.
-    """
-    block = 1 << min(BLOCK_BITS, bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = words.built(numbered)
-        singles, pairs = np.zeros((2, len(index) + 1), np.int64), np.zeros((2, 1 << bits), np.int32)
-        salt = 0
-        for batch in batches:
-            for text, good in zip(batch["text"].to_pylist(), batch["_trusted"].to_pylist(), strict=True):
-                ids = token_ids(words_of(text), index)
-                if len(ids):
-                    at = pair_buckets(ids, bits)
-                    salt = int(at[-1])
-                    for side in (0, 1) if good else (0,):
-                        np.add.at(singles[side], ids, 1)
-                        np.add.at(pairs[side], at, 1)
-        for kind, side, counts in ((k, s, a[s]) for k, a in ((0, singles), (1, pairs)) for s in (0, 1)):
-            at = [x for x in range(0, len(counts), block) if counts[x : x + block].any()]
-            packed = [counts[x : x + block].astype(np.int64).tobytes() for x in at]
-            names = ["kind", "side", "start", "salt", "counts"]
-            columns = [[kind] * len(at), [side] * len(at), at, [salt % SALTS] * len(at)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(packed, pa.binary())], names)
-
-    schema = "kind int, side int, start int, salt int, counts binary"
-    marked = flagged(docs.select("doc_id", "text"), trusted, "_trusted").select("text", "_trusted")
-    partial = marked.mapInArrow(count, schema)
-    for keys in (["kind", "side", "start", "salt"], ["kind", "side", "start"]):
-        partial = partial.groupBy(*keys).applyInArrow(_sum_blocks, schema)
-    singles, pairs = np.zeros((2, len(words.value) + 1), np.int64), np.zeros((2, 1 << bits), np.int64)
-    for r in partial.toLocalIterator():
-        counts = np.frombuffer(r.counts, np.int64)
-        (singles, pairs)[r.kind][r.side, r.start : r.start + len(counts)] = counts
-    return singles, pairs
-
-
-def numbered(words: list[bytes]) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(words)}
-
-
-def token_losses(ids: np.ndarray, singles: np.ndarray, pairs: np.ndarray, total: float, share: float, bits: int) -> np.ndarray:
+def token_losses(tokens: Tokens, words: np.ndarray, pairs: np.ndarray, total: int, vocabulary: int, share: float) -> np.ndarray:
     """Loss of each token, in nats, under one model with ``total`` counted tokens."""
-    unigram = (singles[ids] + 1.0) / (total + len(singles))
-    before = np.concatenate([[0], singles[ids[:-1]]])  # how often the context occurs; the start has none
-    bigram = np.minimum(pairs[pair_buckets(ids, bits)], before) / np.maximum(before, 1)
+    count = words[tokens.of[WORD]]
+    unigram = (count + 1.0) / (total + vocabulary)
+    before, pair = np.zeros(len(count), np.int64), np.zeros(len(count), np.int64)
+    before[tokens.follows] = count[np.flatnonzero(tokens.follows) - 1]  # how often the context occurs; the start has none
+    pair[tokens.follows] = pairs[tokens.of[PAIR]]
     weight = np.where(before > 0, share, 0.0)
-    return -np.log(weight * bigram + (1 - weight) * unigram)
+    return -np.log(weight * (pair / np.maximum(before, 1)) + (1 - weight) * unigram)
+
+
+def scores(rows: pa.Table, sums: pa.Table, buckets: int, totals: tuple[int, int], vocabulary: int, share: float) -> pa.Table:
+    """Of a shard: each document's tokens and mean losses."""
+    tokens = Tokens(rows["text"], buckets)
+    sums = sums.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    cut, owner, loss = len(tokens.names[WORD]), np.repeat(np.arange(len(tokens.size)), tokens.size), []
+    for side, total in zip(("every", "good"), totals, strict=True):
+        counts = unpacked(sums[side])
+        if len(counts) != cut + len(tokens.names[PAIR]):
+            raise RuntimeError("a shard's rows changed between two readings")
+        each = token_losses(tokens, counts[:cut], counts[cut:], total, vocabulary, share)
+        loss.append(np.bincount(owner, each, len(tokens.size)) / np.maximum(tokens.size, 1))
+    return pa.table([rows["doc_id"], pa.array(tokens.size), pa.array(loss[1]), pa.array(loss[0])], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
 
 def cross_entropy_difference(
-    docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, bits: int = PAIR_BITS, share: float = BIGRAM_SHARE
+    docs: DataFrame, trusted: DataFrame, size: int | None = None, bits: int | None = None, share: float = BIGRAM_SHARE, shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, target_loss, background_loss (nats per token), difference.
 
     ``trusted`` has the ids (doc_id) of the target; all rows make up the background. Tokens are
-    lower-cased words between ASCII white space. A null or empty text has no tokens and losses 0.0.
+    lower-cased words between ASCII white space. The vocabulary is all words of ``docs`` and one unknown word, which
+    only smooths. A null or empty text has no tokens and losses 0.0.
     Without trusted documents the target model is uniform. Repeated rows count as often as they
-    occur; extra columns are neither read nor returned.
+    occur; extra columns are neither read nor returned. Words and pairs count as equal when their
+    64-bit hashes are. ``size`` and ``bits`` once bounded the words and pairs told apart; they have no effect.
     """
-    sc = docs.sparkSession.sparkContext
-    words = Shared(docs.sparkSession, vocabulary(docs, size))
-    singles, pairs = count_pairs(docs, trusted, words, bits)
-    models = sc.broadcast((singles.astype(np.float32), pairs.astype(np.float32), singles.sum(1).tolist()))
-
-    @F.arrow_udf("struct<n_tokens:bigint,target_loss:double,background_loss:double>")
-    def losses(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = words.built(numbered)
-        one, two, total = models.value
-        kind = pa.struct([("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64())])
-        for texts in batches:
-            out = []
-            for text in texts.to_pylist():
-                ids = token_ids(words_of(text), index)
-                loss = [float(token_losses(ids, one[s], two[s], total[s], share, bits).mean()) if len(ids) else 0.0 for s in (0, 1)]
-                out.append({"n_tokens": len(ids), "target_loss": loss[1], "background_loss": loss[0]})
-            yield pa.array(out, kind)
-
-    scored = docs.select("doc_id", losses("text").alias("_l")).select("doc_id", "_l.*")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-total // shard_bytes))
+    shard = F.pmod(F.xxhash64("doc_id", text_key()), F.lit(groups)).cast("int").alias("shard")
+    marked = flagged(docs.select("doc_id", "text"), trusted, "_trusted").select(shard, "text", "_trusted")
+    sent = marked.groupBy("shard").applyInArrow(
+        lambda t: shard_counts(t, groups), "kind int, bucket int, shard int, names binary, every binary, good binary"
+    )
+    answers = "shard int, kind int, bucket int, every binary, good binary, distinct long, n_every long, n_good long"
+    sums = stage(sent.groupBy("kind", "bucket").applyInArrow(bucket_sums, answers), "word-and-pair-counts")
+    found = sums.where(F.col("kind") == WORD).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "n_every", "n_good"))).first()
+    vocabulary, totals = found[0] + 1, (found[1], found[2])
+    back = sums.select("shard", "kind", "bucket", "every", "good").groupBy("shard")
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text", shard).groupBy("shard").cogroup(back).applyInArrow(
+        lambda t, s: scores(t, s, groups, totals, vocabulary, share),
+        f"doc_id {doc_id}, n_tokens long, target_loss double, background_loss double",
+    )
     return scored.withColumn("difference", F.col("target_loss") - F.col("background_loss"))

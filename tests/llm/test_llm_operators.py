@@ -380,6 +380,30 @@ def test_domain_lm_against_counting(spark, docs):
     assert domain_lm.cross_entropy_difference(cases.empty(spark), trusted, bits=12).count() == 0
 
 
+def test_domain_lm_tells_all_words_and_pairs_apart(spark):
+    """More distinct words than any fixed vocabulary held, all as rare, over many shards."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(300)) for i in range(200)] + ["w1x2 w1x1 w1x0", "common common"]
+    rows = cases.documents(spark, [(i, t, "en", "s", 1, *["c"] * 10) for i, t in enumerate(texts)])
+    trusted = spark.createDataFrame([(1,)], "doc_id long")
+    got = {r.doc_id: r for r in domain_lm.cross_entropy_difference(rows, trusted, shard_bytes=50_000).collect()}
+    one, two = Counter(w for t in texts for w in t.split()), Counter(p for t in texts for p in zip(t.split(), t.split()[1:], strict=False))
+    good, good_two = Counter(texts[1].split()), Counter(zip(texts[1].split(), texts[1].split()[1:], strict=False))
+
+    def loss(text, singles, pairs):
+        words = text.split()
+        p1 = [(singles[w] + 1) / (singles.total() + len(one) + 1) for w in words]
+        seen = [0, *(singles[w] for w in words[:-1])]
+        pair = [0, *(pairs[p] for p in zip(words, words[1:], strict=False))]
+        return -sum(np.log(0.6 * c / b + 0.4 * p if b else p) for c, b, p in zip(pair, seen, p1, strict=True)) / len(words)
+
+    assert len(one) == 60_001 and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].n_tokens == len(t.split())
+        assert got[i].background_loss == pytest.approx(loss(t, one, two))
+        assert got[i].target_loss == pytest.approx(loss(t, good, good_two))
+    assert got[1].difference < 0 < got[2].difference
+
+
 # 9 substrings
 
 
