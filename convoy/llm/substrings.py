@@ -5,8 +5,10 @@ equal strings have equal anchors at equal places. Anchors are the sampled suffix
 bytes. Shards of documents send them, packed, to buckets that tell which occur in several documents;
 for those alone the bytes around them are sent, once per shard and content, to the bucket of the anchor. There
 the strings they stand in are ordered, the least doc_id of each distinct string is found, and the
-answer goes back as runs of strings, from which each shard induces the bytes to remove. Shards and
-buckets are groups of a Spark shuffle, sized in bytes, so any number of them fits bounded tasks.
+answer goes back as runs of strings, from which each shard induces the bytes to remove. An anchor that
+occurs more than HOT times may have as many contents; its strings are sent singly, each to the bucket of its
+own hash, once per shard. Shards and buckets are groups of a Spark shuffle, sized in bytes, so any number
+of them fits bounded tasks.
 
 This replaces the induced sorting of all suffixes through disk-backed queues; see the README.
 """
@@ -25,6 +27,8 @@ from convoy.llm.common import mix, text_key
 LENGTH, GRAM = 50, 24
 #: Bytes of documents in a shard, and bytes hashed at a time.
 SHARD_BYTES, CHUNK = 8 << 20, 1 << 18
+#: Occurrences up to which an anchor's contents meet in its bucket; they are rounded up to powers of two per shard.
+HOT = 4096
 #: Order of a null doc_id: after all others.
 LAST = (1 << 63) - 1
 
@@ -79,6 +83,7 @@ class Chunk:
 
     An anchor's run is ``first`` to ``last``, the places where its strings begin; ``gram`` is its
     hash, and ``content`` names the bytes from the first string to the end of the last.
+    After ``split`` the strings of hot anchors are runs of their own.
     """
 
     def __init__(self, pieces: list[tuple[int, int, bytes]], named: bool = True):
@@ -99,12 +104,30 @@ class Chunk:
         self.last = begins[np.append(at[1:], len(begins)) - 1] if len(at) else at
         self.gram = gram[anchor[at]]
         if named:
-            whole = whole_hashes(power, len(place))
-            with np.errstate(over="ignore"):
-                edge = whole[self.first] * _ODD[0] + whole[self.last] * _ODD[4]
-            self.content = mix(edge + (self.last - self.first).astype(np.uint64)).view(np.int64)
+            self.whole = whole_hashes(power, len(place))
+            self._name()
         self.owner = np.repeat(np.array([p[0] for p in pieces], np.int64), size)[self.first]
 
+    def _name(self) -> None:
+        with np.errstate(over="ignore"):
+            edge = self.whole[self.first] * _ODD[0] + self.whole[self.last] * _ODD[4]
+            self.content = mix(edge + (self.last - self.first).astype(np.uint64)).view(np.int64)
+
+    def split(self, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts the runs of ``hot`` anchors (sorted keys) into single strings; the bucket and the anchor's key of each run."""
+        bucket, name = _place(self.gram, buckets)
+        key = bucket << 32 | name
+        if not len(hot):
+            return bucket, key
+        many = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        n = np.where(many, self.last - self.first + 1, 1)
+        run = np.repeat(np.arange(len(n)), n)
+        first = self.first[run] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        single = many[run]
+        self.first, self.last, self.owner = first, np.where(single, first, self.last[run]), self.owner[run]
+        self._name()
+        return np.where(single, _place(self.whole[first], buckets)[0], bucket[run]), key[run]
+
 
 def chunks_of(texts: list[bytes], named: bool = True) -> Iterator[Chunk]:
     """Documents in order, cut where they are long; a piece repeats the bytes a string across the cut needs."""
@@ -153,7 +176,10 @@ def _table(rows: list, names: list[str], types: list) -> pa.Table:
 
 
 def anchor_names(rows: pa.Table, buckets: int) -> pa.Table:
-    """Of a shard: for each bucket the names of anchors in one document, and in several."""
+    """Of a shard: for each bucket the names of its anchors, and a byte that tells how often each occurs.
+
+    The byte's high bit says in several documents; the others are the power of two that the occurrences do not exceed.
+    """
     texts, order = _shard(rows)
     found = [(np.int64(1 << 32) * bucket + name, order[c.owner]) for c in chunks_of(texts, False) for bucket, name in [_place(c.gram, buckets)]]
     key = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
@@ -163,40 +189,46 @@ def anchor_names(rows: pa.Table, buckets: int) -> pa.Table:
     key, doc = key[by], doc[by]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else by
     several = doc[at] != doc[np.append(at[1:], len(doc)) - 1] if len(at) else np.zeros(0, bool)
+    times = np.ceil(np.log2(np.diff(np.append(at, len(key))))).astype(np.uint8)
     bucket, name = key[at] >> 32, (key[at] & 0xFFFFFFFF).astype(np.uint32)
     shard = rows["shard"][0].as_py()
-    out = [(b, shard, *blobs) for b, blobs in _blobs(bucket, name, several.astype(np.uint8))]
-    return _table(out, ["bucket", "shard", "names", "several"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+    out = [(b, shard, *blobs) for b, blobs in _blobs(bucket, name, several.astype(np.uint8) << 7 | times)]
+    return _table(out, ["bucket", "shard", "names", "times"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
 
 def repeated_names(rows: pa.Table) -> pa.Table:
-    """Of a bucket: for each shard its anchors that occur in several documents, here or elsewhere."""
+    """Of a bucket: for each shard its anchors that occur in several documents, here or elsewhere, and which are hot."""
     names, size = _joined(rows["names"], np.uint32)
-    several, _ = _joined(rows["several"], np.uint8)
+    times, _ = _joined(rows["times"], np.uint8)
     value, place, count = np.unique(names, return_inverse=True, return_counts=True)
     many = count > 1
-    many[place[several == 1]] = True
+    many[place[times >= 128]] = True
+    hot = np.bincount(place, np.exp2(times & 127), len(value)) > HOT
     chosen = many[place]
     out = []
     bucket, end = rows["bucket"][0].as_py(), np.cumsum(size)
     for shard, b, n in zip(rows["shard"].to_pylist(), end.tolist(), size.tolist(), strict=True):
-        mine = names[b - n : b][chosen[b - n : b]]
+        mine = np.flatnonzero(chosen[b - n : b]) + b - n
         if len(mine):
-            out.append((shard, bucket, mine.tobytes()))
-    return _table(out, ["shard", "bucket", "names"], [pa.int32(), pa.int32(), pa.binary()])
+            out.append((shard, bucket, names[mine].tobytes(), hot[place[mine]].astype(np.uint8).tobytes()))
+    return _table(out, ["shard", "bucket", "names", "hot"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
 
 def contents(rows: pa.Table, repeated: pa.Table, buckets: int) -> pa.Table:
-    """Of a shard: the bytes around its repeated anchors, each content once with its least document."""
+    """Of a shard: the bytes around its repeated anchors, each content once with its least document.
+
+    The keys of its hot anchors go to the bucket with the shard's number, which hands them back for ``cut``.
+    """
     if not rows.num_rows or not repeated.num_rows:
         return _table([], CONTENT_NAMES, CONTENT_TYPES)
     texts, order = _shard(rows)
     names, size = _joined(repeated["names"], np.uint32)
-    wanted = np.sort(np.repeat(np.array(repeated["bucket"].to_pylist(), np.int64), size) << 32 | names)
+    wanted = np.repeat(np.array(repeated["bucket"].to_pylist(), np.int64), size) << 32 | names
+    hot = np.sort(wanted[_joined(repeated["hot"], np.uint8)[0] == 1])
+    wanted = np.sort(wanted)
     parts = []
     for c in chunks_of(texts):
-        bucket, name = _place(c.gram, buckets)
-        key = bucket << 32 | name
+        bucket, key = c.split(hot, buckets)
         at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
         # within the chunk each content once already, with its first and last document
         by = at[np.argsort(c.content[at], kind="stable")]
@@ -224,20 +256,24 @@ def contents(rows: pa.Table, repeated: pa.Table, buckets: int) -> pa.Table:
     for b, blobs in _blobs(bucket[one], content[one], low[one], several, (length - LENGTH).astype(np.uint8)):
         n = len(blobs[3])
         stop = int(length[at : at + n].sum()) + int(place[at])
-        out.append((b, shard, *blobs, body[int(place[at]) : stop].tobytes()))
+        out.append((b, shard, *blobs, body[int(place[at]) : stop].tobytes(), b""))
         at += n
+    if len(hot):
+        out.append((shard, shard, *[b""] * 5, hot.tobytes()))
     return _table(out, CONTENT_NAMES, CONTENT_TYPES)
 
 
-CONTENT_NAMES = ["bucket", "shard", "content", "doc", "several", "more", "body"]
-CONTENT_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+CONTENT_NAMES = ["bucket", "shard", "content", "doc", "several", "more", "body", "hot"]
+CONTENT_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
 
 
 def earliest(rows: pa.Table) -> pa.Table:
     """Of a bucket: runs of strings in contents with the least document that has them.
 
     Left out are runs for which the shard that sent the content has no later document.
+    Keys of hot anchors go back as they came.
     """
+    back = [(s, *[b""] * 4, hot) for s, hot in zip(rows["shard"].to_pylist(), rows["hot"].to_pylist(), strict=True) if hot]
     content, size = _joined(rows["content"], np.int64)
     doc, _ = _joined(rows["doc"], np.int64)
     several, _ = _joined(rows["several"], np.uint8)
@@ -263,7 +299,7 @@ def earliest(rows: pa.Table) -> pa.Table:
         least[by] = np.repeat(np.minimum.reduceat(doc[owner[by]], new), np.diff(np.append(new, len(by))))
     use = np.flatnonzero((least < doc[owner]) | (several[owner] == 1))
     if not len(use):
-        return _table([], RUN_NAMES, RUN_TYPES)
+        return _table(back, RUN_NAMES, RUN_TYPES)
     # neighbours in one content with one least document are a run
     cut = (use[1:] != use[:-1] + 1) | (owner[use[1:]] != owner[use[:-1]]) | (least[use[1:]] != least[use[:-1]])
     a = np.flatnonzero(np.concatenate([[True], cut]))
@@ -272,24 +308,26 @@ def earliest(rows: pa.Table) -> pa.Table:
     shard = np.repeat(np.array(rows["shard"].to_pylist(), np.int64), size)[owner[head]]
     by = np.argsort(shard, kind="stable")
     arrays = (content[owner[head]], offset[head].astype(np.uint8), offset[tail].astype(np.uint8), least[head])
-    out = [(s, *blobs) for s, blobs in _blobs(shard[by], *(x[by] for x in arrays))]
-    return _table(out, RUN_NAMES, RUN_TYPES)
+    out = [(s, *blobs, b"") for s, blobs in _blobs(shard[by], *(x[by] for x in arrays))]
+    return _table(back + out, RUN_NAMES, RUN_TYPES)
 
 
-RUN_NAMES = ["shard", "content", "from", "to", "doc"]
-RUN_TYPES = [pa.int32(), *[pa.binary()] * 4]
+RUN_NAMES = ["shard", "content", "from", "to", "doc", "hot"]
+RUN_TYPES = [pa.int32(), *[pa.binary()] * 5]
 
 
-def cut(rows: pa.Table, runs: pa.Table) -> pa.Table:
+def cut(rows: pa.Table, runs: pa.Table, buckets: int) -> pa.Table:
     """Of a shard: every document without the bytes of strings that begin in an earlier document."""
     if not rows.num_rows:
         return _table([], CUT_NAMES, CUT_TYPES)
     texts, order = _shard(rows)
-    content, start, stop, doc = (_joined(runs[c], t)[0] for c, t in zip(RUN_NAMES[1:], (np.int64, np.uint8, np.uint8, np.int64), strict=True))
+    content, start, stop, doc = (_joined(runs[c], t)[0] for c, t in zip(RUN_NAMES[1:5], (np.int64, np.uint8, np.uint8, np.int64), strict=True))
     by = np.argsort(content, kind="stable")
     content, start, stop, doc = content[by], start[by].astype(np.int64), stop[by].astype(np.int64), doc[by]
+    hot = np.sort(_joined(runs["hot"], np.int64)[0])
     gone: dict[int, np.ndarray] = {}
     for c in chunks_of(texts) if len(content) else ():
+        c.split(hot, buckets)
         a, b = np.searchsorted(content, c.content), np.searchsorted(content, c.content, "right")
         n = b - a
         anchor = np.repeat(np.arange(len(n)), n)
@@ -336,12 +374,13 @@ def drop_repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Da
     shard = F.pmod(F.xxhash64("doc_id", text_key()), F.lit(groups)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), "text", shard.alias("shard"))
     by_shard = rows.groupBy("shard")
-    names = by_shard.applyInArrow(lambda t: anchor_names(t, groups), "bucket int, shard int, names binary, several binary")
-    repeated = names.groupBy("bucket").applyInArrow(repeated_names, "shard int, bucket int, names binary")
+    names = by_shard.applyInArrow(lambda t: anchor_names(t, groups), "bucket int, shard int, names binary, times binary")
+    repeated = names.groupBy("bucket").applyInArrow(repeated_names, "shard int, bucket int, names binary, hot binary")
     sent = by_shard.cogroup(repeated.groupBy("shard")).applyInArrow(
-        lambda t, r: contents(t, r, groups), "bucket int, shard int, content binary, doc binary, several binary, more binary, body binary"
+        lambda t, r: contents(t, r, groups),
+        "bucket int, shard int, content binary, doc binary, several binary, more binary, body binary, hot binary",
     )
-    runs = sent.groupBy("bucket").applyInArrow(earliest, "shard int, content binary, from binary, to binary, doc binary")
+    runs = sent.groupBy("bucket").applyInArrow(earliest, "shard int, content binary, from binary, to binary, doc binary, hot binary")
     return by_shard.cogroup(runs.groupBy("shard")).applyInArrow(
-        cut, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary"
+        lambda t, r: cut(t, r, groups), "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary"
     )

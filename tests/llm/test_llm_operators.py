@@ -437,6 +437,48 @@ def test_repeated_strings_against_all_strings(spark, monkeypatch, shard, chunk):
     assert plain((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain(slow_cut(some))
 
 
+def shared_phrase(n: int) -> list[tuple]:
+    """Documents with one phrase of under 50 bytes in texts of their own; every tenth also repeats the text before it."""
+    phrase = " All rights reserved under this notice. "
+    return [(i, cases.prose(500 + (i if i % 10 else 0), 12, 1000) + phrase + cases.prose(9000 + i, 12, 1000)) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_repeated_strings_around_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    some = shared_phrase(200) + [(None, shared_phrase(1)[0][1]), (1000, cases.prose(500, 12, 1000))]
+    rows = [(i, t, "en", "s", 1, *["c"] * 10) for i, t in some]
+    got = substrings.drop_repeated_strings(cases.documents(spark, rows), 4000).collect()
+    assert plain((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == plain(slow_cut(some))
+
+
+def test_contents_of_a_hot_anchor_do_not_meet_in_one_bucket(monkeypatch):
+    own = lambda x: hashlib.sha256(str(x).encode()).hexdigest()
+    some = [(i, own(i) + " All rights reserved under this notice, as is " + own(-i)) for i in range(1, 800)]
+    buckets, table = 16, substrings.pa.table
+    shards = []
+    for k in range(buckets):
+        ids, texts = zip(*some[k::buckets], strict=True)
+        shards.append(table({"doc_id": ids, "key": [0] * len(ids), "text": texts, "shard": [k] * len(ids)}))
+    of = lambda t, c, k: t.filter(substrings.pa.array([x == k for x in t[c].to_pylist()]))
+    names = substrings.pa.concat_tables([substrings.anchor_names(s, buckets) for s in shards])
+
+    def strings(hot):
+        """Strings that meet in each bucket."""
+        monkeypatch.setattr(substrings, "HOT", hot)
+        repeated = substrings.pa.concat_tables([substrings.repeated_names(of(names, "bucket", b)) for b in range(buckets)])
+        sent = Counter()
+        for k, s in enumerate(shards):
+            rows = substrings.contents(s, of(repeated, "shard", k), buckets)
+            for b, more in zip(rows["bucket"].to_pylist(), rows["more"].to_pylist(), strict=True):
+                sent[b] += len(more) + sum(more)
+        return sent
+
+    met, spread = strings(1 << 40), strings(8)
+    assert max(met.values()) > met.total() / 3  # one anchor's contents in one bucket
+    assert len(spread) == buckets and max(spread.values()) < 2 * spread.total() / buckets
+
+
 def test_repeated_strings_of_long_and_no_texts(spark, docs):
     got = substrings.drop_repeated_strings(docs).collect()
     assert len(got) == docs.count() and next(r for r in got if r.doc_id == 10).n_removed == 0
