@@ -104,6 +104,20 @@ def brute_components(texts: list[tuple], width: int, percent: int = 80):
     return sets, group
 
 
+def test_candidates_are_verified_down_to_the_shared_bound(spark):
+    """Sketches that share 55 to 60 of the 96 least values of their union."""
+    rows, pairs = [], []
+    for k in range(55, 61):
+        rest = range(k, 96)
+        for side in (0, 1):
+            own = [v for v in rest if v % 2 == side]
+            rows.append((2 * k + side, [*range(k), *own, *range(1000 * (side + 1), 1000 * (side + 1) + 96 - k - len(own))]))
+        pairs.append((2 * k, 2 * k + 1))
+    classes = spark.createDataFrame(rows, "rep long, sketch array<long>")
+    got = minhash.estimated(spark.createDataFrame(pairs, "a long, b long"), classes).collect()
+    assert sorted(r.a // 2 for r in got) == [56, 57, 58, 59, 60]
+
+
 @pytest.mark.parametrize("width", [2, 5])
 @pytest.mark.parametrize("short", [32, 2])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, width, short):
