@@ -44,7 +44,7 @@ _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NUMBERS = re.compile(
     rf"(?P<IP>(?<![\d.]){_BYTE}(?:\.{_BYTE}){{3}}(?![\d]|\.\d))"
     r"|(?P<IBAN>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
-    r"|(?P<TOKEN>(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{24,128}(?![0-9A-Za-z]))"
+    r"|(?P<TOKEN>(?<![0-9A-Za-z])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{24,}(?![0-9A-Za-z]))"
     r"|(?P<CARD>(?<![\d+])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))"
     r"|(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<PHONE>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+])\d{3}(?P<q>[ .-])\d{3}(?P=q)\d{4}(?!\d))"
@@ -55,7 +55,7 @@ NAMES = re.compile(
 #: Words without which NAMES finds nothing.
 _WORDS = re.compile(r"\w+").findall
 _TRIGGERS = frozenset(w for names in (TITLES, GIVEN, GIVEN_CYRILLIC) for ns in names.values() for n in ns for w in _WORDS(n)[:1])
-LOCAL = re.compile(r"[\w.+%-]+\Z")
+LOCAL = re.compile(r"[\w.+%-]").match
 DOMAIN = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})+")
 
 
@@ -80,10 +80,12 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        local = LOCAL.search(text, max(0, at - 64), at)
         domain = DOMAIN.match(text, at + 1)
-        if local and domain:
-            start = local.start() + len(local[0]) - len(local[0].lstrip(".+-%"))
+        if domain:
+            start = at  # the walk ends at the @ before at the latest, so no character is passed twice
+            while start and LOCAL(text[start - 1]):
+                start -= 1
+            start = at - len(text[start:at].lstrip(".+-%"))
             if start < at:
                 found.append((start, domain.end(), "EMAIL", text[start : domain.end()].lower()))
         at = text.find("@", at + 1)

@@ -50,6 +50,14 @@ def test_surrogates_keep_type_gender_script_and_format():
         surrogates.mentions(long)
 
 
+def test_surrogates_of_any_length():
+    key, address = "0f" * 100, "x." * 60 + "y@mail.org"
+    text = f"key {key}, mail {address}."
+    assert [(text[a:b], k) for a, b, k, _ in surrogates.mentions(text)] == [(key, "TOKEN"), (address, "EMAIL")]
+    long = "a" * 200_000 + "@m.org"
+    assert [(a, b) for a, b, *_ in surrogates.mentions(long)] == [(0, len(long))]
+
+
 def test_surrogates_over_a_corpus(spark, docs):
     mails = [f"u{i}@m.org" for i in range(40)]
     texts = [(100 + i, f"Write to {m.upper() if i % 2 else m} or 159.210.220.{i}.") for i, m in enumerate(mails * 2)]
