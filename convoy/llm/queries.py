@@ -12,6 +12,7 @@ from convoy.llm.byte_cnn import quality_scores
 from convoy.llm.common import held_out, table, trusted_ids
 from convoy.llm.decontaminate import find_items
 from convoy.llm.domain_lm import cross_entropy_difference
+from convoy.llm.fill_in_middle import fill_in_middle, restored
 from convoy.llm.line_runs import drop_repeated_runs
 from convoy.llm.minhash import near_duplicates
 from convoy.llm.quality_ratio import quality_rules
@@ -88,6 +89,24 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+FILL_IN_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w FROM documents
+), h AS (
+  SELECT doc_id, t, w, len(w) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(w) + 1) AS x, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(w) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT doc_id, t, n, form, array_to_string(list_slice(w, 1, least(x, y)), '') AS a,
+    array_to_string(list_slice(w, least(x, y) + 1, greatest(x, y)), '') AS b, array_to_string(list_slice(w, greatest(x, y) + 1, n), '') AS c FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     predicted = (F.col("score") >= threshold).cast("int")
@@ -155,3 +174,12 @@ def op10_decontaminate(spark, sf_dir):
         F.sha2(F.array_join(F.col("items").cast("array<string>"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(sql=FILL_IN_MIDDLE_SQL)
+def op12_fill_in_middle(spark, sf_dir):
+    made = restored(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
