@@ -19,6 +19,7 @@ from convoy.llm.quality_ratio import quality_rules
 from convoy.llm.substrings import drop_repeated_strings
 from convoy.llm.surrogates import surrogates
 from convoy.llm.toxicity import toxicity_scores
+from convoy.llm.vector_codes import codebook_digest, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,6 +109,36 @@ FROM p
 """
 
 
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """A round is two tables: the nearest entry of every part (least distance, then index), and the new entries."""
+    far = "list_sum(list_transform(range(1, len(p.x) + 1), lambda j: (list_extract(p.x, j) - list_extract(k.x, j)) * (list_extract(p.x, j) - list_extract(k.x, j))))"
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f""", a{r} AS MATERIALIZED (
+  SELECT vec_id, p.part, any_value(p.x) AS x, min({far} * {entries} + entry) AS best FROM p JOIN k{r} k USING (part) GROUP BY vec_id, p.part
+)"""
+        if r < rounds:
+            steps += f""", s{r} AS (
+  SELECT part, best % {entries} AS entry, j, CAST(floor(sum(list_extract(x, j)) / count(*)) AS BIGINT) AS m
+  FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS j FROM a{r}) GROUP BY ALL
+), k{r + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(n.x, k.x) AS x FROM k{r} k LEFT JOIN (SELECT part, entry, list(m ORDER BY j) AS x FROM s{r} GROUP BY ALL) n USING (part, entry)
+)"""
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS MATERIALIZED (
+  SELECT vec_id, part, list_slice(q, part * len(q) // {parts} + 1, (part + 1) * len(q) // {parts}) AS x FROM (SELECT vec_id, q, unnest(range({parts})) AS part FROM v)
+), k0 AS MATERIALIZED (
+  SELECT part, entry, x FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id)
+){steps}, c AS (
+  SELECT vec_id, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM k{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), b
+"""
+
+
 def _judged(scores: DataFrame, threshold: float) -> DataFrame:
     predicted = (F.col("score") >= threshold).cast("int")
     return scores.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"))
@@ -183,3 +214,9 @@ def op12_fill_in_middle(spark, sf_dir):
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+@query(sql=_vector_codes_sql())
+def op11_vector_codes(spark, sf_dir):
+    codes, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(codebook_digest(books)).alias("codebooks_sha256"))
