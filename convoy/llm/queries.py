@@ -12,6 +12,7 @@ from convoy.llm.byte_cnn import quality_scores
 from convoy.llm.common import held_out, table, trusted_ids
 from convoy.llm.decontaminate import find_items
 from convoy.llm.domain_lm import cross_entropy_difference
+from convoy.llm.embedding_near import near_vectors
 from convoy.llm.fill_in_middle import fill_in_middle, restored
 from convoy.llm.line_runs import drop_repeated_runs
 from convoy.llm.minhash import near_duplicates
@@ -220,3 +221,8 @@ def op12_fill_in_middle(spark, sf_dir):
 def op11_vector_codes(spark, sf_dir):
     codes, books = vector_codes(table(spark, sf_dir, "embeddings"))
     return codes.select("vec_id", "code", "error", "label_error", F.lit(codebook_digest(books)).alias("codebooks_sha256"))
+
+
+@query
+def op13_embedding_near(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
