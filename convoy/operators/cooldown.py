@@ -123,17 +123,21 @@ def _walk(cooldown: int):
 
 
 def apply_cooldown(
-    hits: DataFrame, minutes: float = 15, keys: tuple[str, ...] = ("vin", "code")
+    hits: DataFrame,
+    minutes: float = 15,
+    keys: tuple[str, ...] = ("vin", "code"),
+    time_col: str = "ts",
+    ties: tuple[str, ...] = ("seq", "pos"),
 ) -> DataFrame:
-    """The hits that survive the cooldown, greedily in (ts, seq, pos) order."""
+    """The hits that survive the cooldown, greedily in order of time, then of ``ties``."""
     cooldown = int(minutes * 60000)
     if cooldown <= 0:
         return hits
     width = 4 * cooldown
     rest = [c for c in hits.columns if c not in keys]
-    tie = [c for c in ("seq", "pos") if c in hits.columns]
+    tie = [c for c in ties if c in rest]
     first = (
-        hits.withColumn("_t", F.unix_millis("ts"))
+        hits.withColumn("_t", F.unix_millis(time_col))
         .groupBy(*keys, "_t")
         .agg(F.min_by(F.struct(*rest), F.struct(*tie)).alias("_hit"))
         .withColumn("_key", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))

@@ -11,13 +11,14 @@ BLOCK_BITS = 32768  # bits per bitmap bucket in Spark's bitmap functions
 
 
 def dedup_exact(
-    df: DataFrame, keys: tuple[str, ...] = EVENT_KEYS, order: str = "arrival"
+    df: DataFrame, keys: tuple[str, ...] = EVENT_KEYS, order: str | tuple[str, ...] = "arrival"
 ) -> DataFrame:
-    """The first arrival of every key. Copies collapse before the shuffle."""
+    """The first arrival of every key, by one or several columns. Copies collapse before the shuffle."""
+    by = F.col(order) if isinstance(order, str) else F.struct(*order)
     rest = [c for c in df.columns if c not in keys]
     return (
         df.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+        .agg(F.min_by(F.struct(*rest), by).alias("_first"))
         .select(*keys, "_first.*")
         .select(*df.columns)
     )

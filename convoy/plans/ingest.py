@@ -11,7 +11,7 @@ from convoy.plans.fixtures import duck, view
 from convoy.plans.registry import AS_OF, ms, query
 from convoy.schemas import VENDOR_MAPPINGS
 from convoy.session import shared_dir
-from convoy.sources import ndjson, sinks
+from convoy.sources import batches, ndjson, sinks
 
 LINE_REASON = (
     "CASE WHEN NOT json_valid(line) THEN 'bad_json' WHEN json_type(line) <> 'OBJECT' THEN 'not_object' END"
@@ -158,14 +158,36 @@ def replayed_batches(spark, sf):
     path = shared_dir(spark, "batches")
     rows = view(spark, sf, "arrivals").drop("dtc")
     for batch in (0, 1, 0, 1):  # the second pass is the replay
-        sinks.write_batch_idempotent(rows.filter(F.col("copy") == batch), batch, path)
+        batches.write_batch(rows.filter(F.col("copy") == batch), batch, path)
     return (
-        spark.read.parquet(path)
-        .groupBy("batch_id", "oem")
+        batches.read_batches(spark, path)
+        .groupBy(F.col("batch_id").cast("int").alias("batch_id"), "oem")
         .agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum"))
     )
 
 
+@query(
+    "expired_days",
+    duck(
+        "telemetry",
+        then="""SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN strftime(ts, '%Y-%m-%d') < '2024-01-24' THEN 'deleted' ELSE 'kept' END AS fate,
+            count(*) AS n, true AS has_bytes FROM telemetry GROUP BY ALL""",
+    ),
+)
+def expired_days(spark, sf):
+    """Telemetry of two runs with the same batch numbers, then the days deleted by age and those left on disk."""
+    path = shared_dir(spark, "expiring")
+    rows = view(spark, sf, "telemetry")
+    for run in ("first", "second"):
+        for batch in (0, 1):
+            part = rows.filter((F.col("event_id") % 4) == 2 * (run == "second") + batch)
+            sinks.write_telemetry_batch(part, batch, path, run)
+    gone = sinks.expire(spark, path, sinks.RETENTION_DAYS["raw_archive"], AS_OF)
+    left = batches.read_batches(spark, path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+    deleted = gone.select("day", F.lit("deleted").alias("fate"), F.col("rows").alias("n"), (F.col("bytes") > 0).alias("has_bytes"))
+    return deleted.unionByName(left.select("day", F.lit("kept").alias("fate"), "n", F.lit(True).alias("has_bytes")))
+
+
 @query(
     "retained_raw",
     duck(

@@ -14,6 +14,7 @@ from convoy.plans.registry import ms, query
 from convoy.plans.rule_checks import BRAKES, CODES, EWMA, HITS, IDLE, IDLE_MINUTES, _cooled
 from convoy.session import shared_dir
 from convoy.sources import streams
+from convoy.sources.batches import read_batches
 from convoy.streaming import pipeline, rules, state
 
 RAW = ("oem", "received_at", "line", "arrival")
@@ -64,7 +65,42 @@ def dedup_stream(spark, sf):
         ),
         parts=6, swapped=True,
     )
-    return spark.read.parquet(f"{sink}/rows").select("vin", "seq", ms("ts", "ts_ms"))
+    return read_batches(spark, f"{sink}/rows").select("vin", "seq", ms("ts", "ts_ms"))
+
+
+#: Milliseconds after a row at which further copies of it arrive, in the horizon test.
+AGAIN = (0, 1_800_000, 3_599_000, 3_600_000, 5_400_000, 7_300_000, 18_000_000)
+
+
+@query(
+    "dedup_horizon_stream",
+    duck(
+        "arrivals",
+        then=f"""+ again AS (SELECT a.vin, a.seq, a.ts_ms, a.received_ms + d.after AS received_ms
+            FROM arrivals a JOIN (VALUES {', '.join(f'({x})' for x in AGAIN)}) d(after) ON d.after = 0 OR a.event_id % 10 = 3),
+        queue AS (SELECT *, row_number() OVER (PARTITION BY vin, seq, ts_ms ORDER BY received_ms) AS rn FROM again),
+        walk AS (SELECT vin, seq, ts_ms, rn, received_ms, true AS kept, received_ms AS stored FROM queue WHERE rn = 1
+          UNION ALL
+          SELECT q.vin, q.seq, q.ts_ms, q.rn, q.received_ms, q.received_ms - w.stored >= 3600000,
+            CASE WHEN q.received_ms - w.stored >= 3600000 THEN q.received_ms ELSE w.stored END
+          FROM walk w JOIN queue q ON q.vin = w.vin AND q.seq = w.seq AND q.ts_ms = w.ts_ms AND q.rn = w.rn + 1)
+        SELECT vin, seq, ts_ms, received_ms FROM walk WHERE kept""",
+    ),
+)
+def dedup_horizon_stream(spark, sf):
+    """Copies up to five hours apart, in order of arrival, in six batches: the memory follows each key's first store."""
+    rows = view(spark, sf, "arrivals").select("event_id", "vin", "seq", "ts", "received_ms")
+    after = F.explode(F.when(F.col("event_id") % 10 == 3, F.array(*[F.lit(x) for x in AGAIN])).otherwise(F.array(F.lit(0))))
+    rows = rows.select("vin", "seq", "ts", "received_ms", after.alias("after")).withColumn("received_ms", F.col("received_ms") + F.col("after"))
+    rows = rows.select("vin", "seq", "ts", F.timestamp_millis("received_ms").alias("received_at"), F.col("received_ms").alias("arrival"))
+    sink = replayed(
+        spark, rows, "arrival", "horizon",
+        lambda stream, checkpoint, sink: streams.run_available(
+            stream, checkpoint, each_batch=state.dedup_batches(sink)
+        ),
+        parts=6,
+    )
+    return read_batches(spark, f"{sink}/rows").select("vin", "seq", ms("ts", "ts_ms"), ms("received_at", "received_ms"))
 
 
 @query("latest_stream", duck("arrivals", then="SELECT vin, event_id, ts_ms FROM arrivals QUALIFY row_number() OVER (PARTITION BY vin ORDER BY ts DESC, arrival) = 1"))
@@ -174,7 +210,7 @@ def hot_reload_stream(spark, sf):
         stream = streams.read_raw_stream(spark, source, rows.schema, max_files_per_trigger=100)
         streams.run_available(stream, checkpoint, each_batch=pipeline.normalise_stream(sink, registry))
     return (
-        spark.read.parquet(sink)
+        read_batches(spark, sink)
         .groupBy("oem", F.coalesce("reason", F.lit("ok")).alias("outcome"))
         .agg(F.count("*").alias("n"))
     )
@@ -203,7 +239,7 @@ def ingest_stream(spark, sf):
         lambda stream, checkpoint, _: streams.run_available(stream, checkpoint, each_batch=body),
     )
     counts = [
-        spark.read.parquet(path).groupBy("oem").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "oem", "n")
+        read_batches(spark, path).groupBy("oem").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "oem", "n")
         for part, path in (("telemetry", tables.path("telemetry")), ("dead", tables.path("dead")))
     ]
     return counts[0].unionByName(counts[1])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from convoy.sources.batches import take_out, write_batch
 
 
 def to_storage_rows(df: DataFrame) -> DataFrame:
@@ -45,20 +47,11 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def write_batch_idempotent(df: DataFrame, batch_id: int, path: str, by: tuple[str, ...] = ()) -> None:
-    """Write one micro-batch under its own partition; a replay replaces it and adds nothing.
-
-    ``by`` names columns that partition the batch further.
-    """
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/batch_id={batch_id}")
-
-
-def write_telemetry_batch(df: DataFrame, batch_id: int, path: str) -> None:
+def write_telemetry_batch(df: DataFrame, batch_id: int, path: str, run: str | None = None) -> DataFrame:
     """A micro-batch's storage rows by day, clustered by (fleet, vin, ts) within it."""
     order = ["day", "fleet_id", "vin", "ts"]
     rows = to_storage_rows(df).withColumn("day", F.to_date("ts"))
-    write_batch_idempotent(rows.repartitionByRange(*order).sortWithinPartitions(*order), batch_id, path, ("day",))
+    return write_batch(rows.repartitionByRange(*order).sortWithinPartitions(*order), batch_id, path, "day", run)
 
 
 def since(df: DataFrame, ts_col: str, start: dt.datetime, after: bool = False) -> DataFrame:
@@ -77,6 +70,17 @@ def retain(df: DataFrame, ts_col: str, days: int, as_of: dt.datetime) -> DataFra
     return since(df, ts_col, as_of - dt.timedelta(days=days), after=True)
 
 
+def expire(spark: SparkSession, path: str, days: int, as_of: dt.datetime) -> DataFrame:
+    """Deletes the days of a table written by day of which no row is younger than ``days``; returns day, rows, bytes of each.
+
+    Rows of the day on which the bound falls stay until the day has passed; :func:`retain` leaves them out of a reading.
+    A second run finds nothing.
+    """
+    first = (as_of - dt.timedelta(days=days)).date().isoformat()
+    gone = take_out(spark, path, lambda e: e.part is not None and e.part < first, "retention")
+    return gone.groupBy(F.col("part").alias("day")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
 # Days kept per table.
 RETENTION_DAYS = {"telemetry": 365, "dead_letter": 3, "raw_archive": 7}
 

@@ -13,9 +13,10 @@ from convoy.operators.routing import route
 from convoy.operators.rollup import hourly_rollup
 from convoy.operators.state import latest_state
 from convoy.sources.ndjson import classify_lines
-from convoy.sources.sinks import write_batch_idempotent, write_telemetry_batch
+from convoy.sources.batches import write_batch
+from convoy.sources.sinks import write_telemetry_batch
 from convoy.streaming.rules import evaluate_rules_stream
-from convoy.streaming.state import HORIZON, remember, unseen
+from convoy.streaming.state import HORIZON, LATENESS, forget, remember, unseen
 
 
 @dataclass(frozen=True)
@@ -29,32 +30,32 @@ class Tables:
 
 
 def ingest_batch(
-    tables: Tables, registry_path: str, vehicle_path: str, fleet_path: str, horizon: dt.timedelta = HORIZON
-):
+    tables: Tables, registry_path: str, vehicle_path: str, fleet_path: str,
+    horizon: dt.timedelta = HORIZON, lateness: dt.timedelta = LATENESS,
+):
     """Micro-batch body of the write path.
 
     Registry, vehicles and fleets are read anew for every micro-batch, so an activated mapping or
     a new vehicle takes effect without a restart. A batch is routed once; accepted events lose the copies inside the
     batch and those of events stored within ``horizon`` of their arrival; then telemetry (by day,
-    clustered), latest state and rollup partials are written, all replaced as a whole should the
-    batch be replayed. ``alert_stream`` reads the stored events.
+    clustered), latest state and rollup partials are written. Every table has its own commit: a replayed batch
+    goes on where it broke off. ``alert_stream`` reads the stored events.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         registry, vehicle, fleet = (spark.read.parquet(p) for p in (registry_path, vehicle_path, fleet_path))
         routed = route(classify_lines(batch), registry, vehicle, fleet).drop("payload")
-        write_batch_idempotent(routed, batch_id, tables.path("routed"))
-        done = spark.read.schema(routed.schema).parquet(f"{tables.path('routed')}/batch_id={batch_id}")
-        write_batch_idempotent(done.filter(F.col("reason").isNotNull()), batch_id, tables.path("dead"))
+        done = write_batch(routed, batch_id, tables.path("routed"))
+        write_batch(done.filter(F.col("reason").isNotNull()), batch_id, tables.path("dead"))
         accepted = done.filter(F.col("reason").isNull()).drop("reason")
-        events = unseen(accepted, tables.path("seen"), batch_id, horizon=horizon)
-        write_batch_idempotent(events, batch_id, tables.path("events"))
-        stored = spark.read.schema(events.schema).parquet(f"{tables.path('events')}/batch_id={batch_id}")
-        remember(stored, tables.path("seen"), batch_id)
+        forget(spark, tables.path("seen"), batch_id, horizon, lateness)
+        events = unseen(accepted, tables.path("seen"), batch_id, horizon=horizon, lateness=lateness)
+        stored = write_batch(events, batch_id, tables.path("events"))
+        remember(stored, tables.path("seen"), batch_id, horizon=horizon, lateness=lateness)
         write_telemetry_batch(stored, batch_id, tables.path("telemetry"))
-        write_batch_idempotent(latest_state(stored), batch_id, tables.path("latest"))
-        write_batch_idempotent(hourly_rollup(stored), batch_id, tables.path("rollup"))
+        write_batch(latest_state(stored), batch_id, tables.path("latest"))
+        write_batch(hourly_rollup(stored), batch_id, tables.path("rollup"))
 
     return write
 
@@ -70,7 +71,7 @@ def write_alerts(tables: Tables, vehicle_path: str, alert_type_path: str):
 
     def write(hits: DataFrame, batch_id: int) -> None:
         read = hits.sparkSession.read.parquet
-        write_batch_idempotent(build_alerts(hits, read(vehicle_path), read(alert_type_path)), batch_id, tables.path("alerts"))
+        write_batch(build_alerts(hits, read(vehicle_path), read(alert_type_path)), batch_id, tables.path("alerts"))
 
     return write
 
@@ -83,7 +84,7 @@ def normalise_stream(batch_sink_path: str, registry_path: str):
 
         registry = batch.sparkSession.read.parquet(registry_path)
         out = normalise(classify_lines(batch), registry).drop("payload")
-        write_batch_idempotent(out, batch_id, batch_sink_path)
+        write_batch(out, batch_id, batch_sink_path)
 
     return write
 

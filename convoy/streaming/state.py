@@ -3,25 +3,45 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from convoy.operators.cooldown import apply_cooldown
 from convoy.operators.dedup import EVENT_KEYS, dedup_exact
 from convoy.operators.rollup import ROLLUP_KEYS, hourly_rollup, merge_rollups, rollup_aggregates
 from convoy.operators.state import latest_state
-from convoy.sources.sinks import write_batch_idempotent
+from convoy.sources.batches import current_run, live, read_batches, take_out, write_batch
 
 
 HORIZON = dt.timedelta(hours=1)
+#: How far behind the newest stored arrival a copy may still come and be known as one.
+LATENESS = dt.timedelta(days=2)
 
 
-DAY = 86_400
+def _ms(span: dt.timedelta) -> int:
+    return int(span.total_seconds() * 1000)
 
 
-def _day(time_col: str) -> Column:
-    return F.floor(F.unix_seconds(time_col) / DAY).cast("int")
+def first_in_horizon(
+    df: DataFrame, keys: tuple[str, ...] = EVENT_KEYS, horizon: dt.timedelta = HORIZON, time_col: str = "received_at", order: str = "arrival"
+) -> DataFrame:
+    """The rows that a memory of ``horizon`` lets through: a key's first arrival, then the first one at least a horizon
+    after the row let through before it, and so on.
+
+    Copies collapse before the shuffle; only keys whose copies lie a horizon or more apart go through the chain, which
+    works in slices of time, however many copies a key has.
+    """
+    at = F.unix_millis(time_col)
+    rest = [c for c in df.columns if c not in keys]
+    firsts = df.groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), F.struct(time_col, order)).alias("_first"), (F.max(at) - F.min(at) >= _ms(horizon)).alias("_wide")
+    )
+    one = firsts.where(~F.col("_wide")).select(*keys, "_first.*").select(*df.columns)
+    wide = firsts.where("_wide").select(*[F.col(k).alias(f"_of_{k}") for k in keys])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    several = df.join(wide, same, "left_semi")
+    return one.unionByName(apply_cooldown(several, _ms(horizon) / 60_000, keys, time_col, (order,)))
 
 
 def unseen(
@@ -32,41 +52,61 @@ def unseen(
     horizon: dt.timedelta = HORIZON,
     time_col: str = "received_at",
     order: str = "arrival",
+    lateness: dt.timedelta = LATENESS,
+    run: str | None = None,
 ) -> DataFrame:
-    """The first row of every key of a micro-batch that no other batch stored within ``horizon`` of it.
+    """The rows of a micro-batch that are no copies: none of the key was stored within ``horizon``, here or in another batch.
 
-    The horizon runs on the rows' own arrival times, whatever the trigger and in either direction, so an
-    unseen key is kept however late or out of order it comes. Remembered keys lie in folders by
-    day of arrival; only days within reach of the batch's times are read, and of those the files that
-    the time filter does not rule out.
+    The horizon runs from a key's stored arrival and is not renewed by the copies that it silences, so for rows that
+    come in order of arrival the result is that of one pass over all of them, however they are cut into batches. A row
+    that comes out of order is a copy if a stored one lies within the horizon on either side; an unseen key is kept however late.
+    Stored arrivals lie in folders by stretches of time, and only those within reach of the batch are read.
     """
-    first = dedup_exact(batch, keys, order)
-    seconds = F.unix_seconds(time_col)
-    low, high = batch.agg(F.min(seconds), F.max(seconds)).first()
-    if batch_id == 0 or low is None:
-        return first
-    reach = int(horizon.total_seconds()) + 1
-    schema = T.StructType([*[first.schema[k] for k in keys], first.schema[time_col]])
-    schema = schema.add("day", T.IntegerType()).add("batch_id", T.IntegerType())
-    seen = batch.sparkSession.read.schema(schema).parquet(seen_path)
-    seen = seen.filter(F.col("day").between((low - reach) // DAY, (high + reach) // DAY) & (F.col("batch_id") != batch_id))
-    seen = seen.filter(F.col(time_col).between(F.timestamp_seconds(F.lit(low - reach)), F.timestamp_seconds(F.lit(high + reach))))
-    near = F.abs(F.unix_millis(f"e.{time_col}") - F.unix_millis(f"s.{time_col}")) <= int(horizon.total_seconds() * 1000)
+    spark = batch.sparkSession
+    reach = _ms(horizon)
+    low, high = batch.agg(F.min(F.unix_millis(time_col)), F.max(F.unix_millis(time_col))).first()
+    if low is None:
+        return batch
+    own, width = (run or current_run(spark), batch_id), slot_ms(horizon, lateness)
+
+    def near(e) -> bool:
+        return (e.run, e.batch_id) != own and (low - reach) // width <= int(e.part) <= (high + reach) // width
+
+    schema = T.StructType([*[batch.schema[k] for k in keys], batch.schema[time_col]]).add("slot", T.LongType())
+    seen = read_batches(spark, seen_path, schema, near)
+    close = F.abs(F.unix_millis(f"e.{time_col}") - F.unix_millis(f"s.{time_col}")) < reach
     same = reduce(lambda x, y: x & y, [F.col(f"e.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
-    return first.alias("e").join(seen.alias("s"), same & near, "left_anti")
+    rest = batch.alias("e").join(seen.alias("s"), same & close, "left_anti")
+    # a batch shorter than the horizon lets a key through once
+    return dedup_exact(rest, keys, (time_col, order)) if high - low < reach else first_in_horizon(rest, keys, horizon, time_col, order)
+
+
+def slot_ms(horizon: dt.timedelta, lateness: dt.timedelta) -> int:
+    """Width of the stretches of arrival time in which remembered arrivals lie: few folders, and little kept too long."""
+    return max(_ms(horizon), _ms(lateness) // 4)
 
 
 def remember(
-    stored: DataFrame, seen_path: str, batch_id: int, keys: tuple[str, ...] = EVENT_KEYS, time_col: str = "received_at"
-) -> None:
-    """Add a batch's stored keys to the remembered ones; a replay replaces them."""
-    (
-        stored.select(*keys, time_col, _day(time_col).alias("day"), F.lit(batch_id).alias("batch_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch_id")
-        .parquet(seen_path)
-    )
+    stored: DataFrame, seen_path: str, batch_id: int, keys: tuple[str, ...] = EVENT_KEYS, horizon: dt.timedelta = HORIZON,
+    time_col: str = "received_at", lateness: dt.timedelta = LATENESS, run: str | None = None,
+) -> None:
+    """Add the arrivals that a batch stored to the remembered ones."""
+    slot = F.floor(F.unix_millis(time_col) / F.lit(slot_ms(horizon, lateness))).alias("slot")
+    write_batch(stored.select(*keys, time_col, slot), batch_id, seen_path, "slot", run)
+
+
+def forget(
+    spark: SparkSession, seen_path: str, batch_id: int, horizon: dt.timedelta = HORIZON, lateness: dt.timedelta = LATENESS, run: str | None = None
+) -> DataFrame:
+    """Deletes stretches of remembered arrivals that end horizon and lateness before the newest one; returns what went.
+
+    The batch that is being worked on does not count, so its replay forgets the same.
+    """
+    own, width = (run or current_run(spark), batch_id), slot_ms(horizon, lateness)
+    slots = [int(e.part) for e in live(spark, seen_path) if (e.run, e.batch_id) != own]
+    # the newest arrival is as late as the begin of its stretch, or later; a stretch ends where the next begins
+    bound = max(slots, default=0) * width - _ms(horizon) - _ms(lateness)
+    return take_out(spark, seen_path, lambda e: (e.run, e.batch_id) != own and (int(e.part) + 1) * width <= bound, "forget")
 
 
 def dedup_batches(
@@ -75,49 +115,34 @@ def dedup_batches(
     horizon: dt.timedelta = HORIZON,
     time_col: str = "received_at",
     order: str = "arrival",
+    lateness: dt.timedelta = LATENESS,
 ):
-    """Micro-batch sink that drops repeats of a key within the horizon of its first arrival.
+    """Micro-batch sink that drops copies of a key within the horizon of its stored arrival.
 
-    Rows go to ``path/rows``, keys to ``path/seen``; both are replaced should a batch be replayed.
+    Rows go to ``path/rows``, arrivals to ``path/seen``, where those beyond horizon and lateness are deleted.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = unseen(batch, f"{path}/seen", batch_id, keys, horizon, time_col, order)
-        write_batch_idempotent(kept, batch_id, f"{path}/rows")
-        stored = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/rows/batch_id={batch_id}")
-        remember(stored, f"{path}/seen", batch_id, keys, time_col)
+        seen = f"{path}/seen"
+        forget(batch.sparkSession, seen, batch_id, horizon, lateness)
+        kept = unseen(batch, seen, batch_id, keys, horizon, time_col, order, lateness)
+        stored = write_batch(kept, batch_id, f"{path}/rows")
+        remember(stored, seen, batch_id, keys, horizon, time_col, lateness)
 
     return write
 
 
 def rollup_partials(path: str):
-    """Micro-batch sink: the batch's own rollup. Replays replace it; readers merge."""
+    """Micro-batch sink: the batch's own rollup. Readers merge."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch_idempotent(hourly_rollup(batch), batch_id, path)
+        write_batch(hourly_rollup(batch), batch_id, path)
 
     return write
 
 
-def _partials(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.parquet(*([path] if isinstance(path, str) else path)).drop("batch_id")
-
-
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return merge_rollups(_partials(spark, path))
-
-
-def compact(spark: SparkSession, path: str, merge: Callable[[SparkSession, str], DataFrame], upto: int, into: str) -> None:
-    """Merge the partials of batches up to ``upto`` into one folder of the new table ``into``, copying the later ones.
-
-    Run it between runs of the stream and go on with ``into``; ``merge`` is the table's reader.
-    """
-    rows = spark.read.parquet(path)
-    later = rows.filter(F.col("batch_id") > upto)
-    later.write.partitionBy("batch_id").parquet(into)
-    names = [f"{path}/batch_id={r.batch_id}" for r in rows.filter(F.col("batch_id") <= upto).select("batch_id").distinct().collect()]
-    if names:
-        write_batch_idempotent(merge(spark, names).select(*[c for c in rows.columns if c != "batch_id"]), upto, into)
+    return merge_rollups(read_batches(spark, path).drop("run", "batch_id"))
 
 
 def hourly_rollup_stream(stream: DataFrame, late: str | None = None, **limits) -> DataFrame:
@@ -141,15 +166,15 @@ def updated_rows(path: str):
     """Micro-batch sink for update mode: every batch's changed rows under its number."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch_idempotent(batch, batch_id, path)
+        write_batch(batch, batch_id, path)
 
     return write
 
 
 def read_updated(spark: SparkSession, path: str, keys: tuple[str, ...] = ROLLUP_KEYS) -> DataFrame:
     """The newest version of every row written by :func:`updated_rows`."""
-    rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    rows = read_batches(spark, path)
+    rest = [c for c in rows.columns if c not in (*keys, "run", "batch_id")]
     return (
         rows.groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_row"))
@@ -161,13 +186,13 @@ def latest_partials(path: str):
     """Micro-batch sink: the batch's latest row per vehicle. Readers merge."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch_idempotent(latest_state(batch), batch_id, path)
+        write_batch(latest_state(batch), batch_id, path)
 
     return write
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    return latest_state(_partials(spark, path))
+    return latest_state(read_batches(spark, path).drop("run", "batch_id"))
 
 
 def alert_feed(stream: DataFrame, tenant_id: int) -> DataFrame:

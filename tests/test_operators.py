@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from convoy.operators import dedup, geospatial, insights, numbering, observe, risk, rollup, state
-from convoy.sources import sinks, streams
+from convoy.sources import batches, sinks, streams
 from convoy.streaming import state as live
 
 START = dt.datetime(2024, 1, 1)
@@ -150,12 +151,42 @@ def test_radius_against_all_pairs(spark):
         assert got == {(i, j) for i, a in enumerate(spots) for j, b in enumerate(spots) if km(a, b) <= radius}
 
 
-def test_batches_are_replaced_on_replay(spark):
+def test_a_replayed_batch_adds_nothing(spark):
     path, _ = streams.scratch(spark, "replay-test")
-    df = spark.range(10)
     for _ in range(2):
-        sinks.write_batch_idempotent(df, 3, path)
-    assert spark.read.parquet(path).count() == 10
+        assert batches.write_batch(spark.range(10), 3, path).count() == 10
+    # a crash before the commit: rows without one are not read, and the replay writes them anew
+    spark.range(99).write.parquet(f"{path}/data/run=batch/batch_id=4")
+    assert batches.read_batches(spark, path).count() == 10
+    batches.write_batch(spark.range(5), 4, path)
+    assert batches.read_batches(spark, path).count() == 15
+
+
+def test_a_new_run_on_old_tables_loses_nothing(spark):
+    """Another checkpoint starts at batch 0 again."""
+    data, first = streams.scratch(spark, "runs-test")
+    _, second = streams.scratch(spark, "runs-test")
+    spark.range(10).coalesce(1).write.parquet(f"{data}/a")
+    spark.range(10, 17).coalesce(1).write.parquet(f"{data}/b")
+    for folder, checkpoint in (("a", first), ("b", second), ("a", first)):
+        stream = streams.read_raw_stream(spark, f"{data}/{folder}", "id long")
+        streams.run_available(stream, checkpoint, each_batch=lambda df, i: batches.write_batch(df, i, f"{data}/out"))
+    rows = batches.read_batches(spark, f"{data}/out")
+    assert sorted(r.id for r in rows.collect()) == list(range(17))
+    assert {r.batch_id for r in rows.collect()} == {0} and rows.select("run").distinct().count() == 2
+
+
+def test_expired_days_leave_the_disk(spark):
+    path, _ = streams.scratch(spark, "expire-test")
+    rows = spark.range(40).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 21600).alias("ts"), "id")
+    for i in range(2):
+        batches.write_batch(rows.filter(F.col("id") % 2 == i).withColumn("day", F.to_date("ts")), i, path, "day")
+    gone = sinks.expire(spark, path, 2, dt.datetime(2024, 1, 8))
+    assert [(r.day, r.rows) for r in gone.orderBy("day").collect()] == [(f"2024-01-0{d}", 4) for d in range(1, 6)]
+    assert gone.where("bytes > 0").count() == 5
+    assert sorted(r.id for r in batches.read_batches(spark, path).collect()) == list(range(20, 40))
+    assert not list(pathlib.Path(path).glob("data/*/*/day=2024-01-05")) and list(pathlib.Path(path).glob("data/*/*/day=2024-01-06"))
+    assert sinks.expire(spark, path, 2, dt.datetime(2024, 1, 8)).count() == 0
 
 
 def test_kept_checkpoint_adds_no_rows(spark):
@@ -166,16 +197,16 @@ def test_kept_checkpoint_adds_no_rows(spark):
     assert spark.read.parquet(f"{data}/out").count() == 10
 
 
-def run_dedup(spark, batches):
+def run_dedup(spark, parts):
     """Batches of (seq, seconds of arrival) through the streaming dedup; what it keeps."""
     data, checkpoint = streams.scratch(spark, "dedup-test")
     schema = "vin string, seq long, ts timestamp, received_at timestamp, arrival long"
-    for batch in batches:
+    for batch in parts:
         rows = [("V", s, at(s), at(r), r) for s, r in batch]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{data}/in")
         stream = streams.read_raw_stream(spark, f"{data}/in", schema, max_files_per_trigger=100)
         streams.run_available(stream, checkpoint, each_batch=live.dedup_batches(f"{data}/out"))
-    return sorted((r["seq"], r["arrival"]) for r in spark.read.parquet(f"{data}/out/rows").collect())
+    return sorted((r["seq"], r["arrival"]) for r in batches.read_batches(spark, f"{data}/out/rows").collect())
 
 
 def test_stream_dedup_holds_across_batches(spark):
@@ -197,15 +228,51 @@ def test_stream_dedup_keeps_unseen_keys_however_late(spark):
     assert kept == [(1, 12 * hour), (1, 14 * hour), (2, 17 * hour), (3, 18 * hour), (4, 13 * hour)]
 
 
-def test_compacted_partials_read_the_same(spark):
+def chain(arrivals, horizon):
+    """(seq, arrival) that a memory of each key's stored arrival lets through, one by one."""
+    stored, out = {}, []
+    for seq, r in sorted(arrivals, key=lambda x: x[1]):
+        if seq not in stored or r - stored[seq] >= horizon:
+            stored[seq] = r
+            out.append((seq, r))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 6, 20])
+def test_the_horizon_does_not_depend_on_the_cut(spark, parts):
+    """One crowded key and many others over half a day, cut into so many batches; old arrivals are gone from disk."""
+    rnd = random.Random(11)
+    rows = sorted({(7 if rnd.random() < 0.4 else rnd.randrange(20, 120), rnd.randrange(50_000)) for _ in range(700)}, key=lambda x: x[1])
+    path, _ = streams.scratch(spark, "cut-test")
+    schema = "vin string, seq long, ts timestamp, received_at timestamp, arrival long"
+    body = live.dedup_batches(path, lateness=dt.timedelta(hours=2))
+    for i in range(parts):
+        cut = rows[len(rows) * i // parts : len(rows) * (i + 1) // parts]
+        batch = spark.createDataFrame([("V", s, at(s), at(r), r) for s, r in cut], schema)
+        body(batch, i)
+        if i % 5 == 4:
+            body(batch, i)  # a replay
+    got = sorted((r.seq, r.arrival) for r in batches.read_batches(spark, f"{path}/rows").collect())
+    assert got == chain(rows, 3600)
+    if parts == 20:
+        slots = sorted(int(p.name.split("=")[1]) for p in pathlib.Path(path).glob("seen/data/*/*/slot=*"))
+        assert slots[-1] - slots[0] <= 6 and len(slots) > 3
+
+
+def test_compaction_while_the_stream_runs(spark):
     path, _ = streams.scratch(spark, "compact-test")
     df = spark.range(60).select(F.concat(F.lit("v"), F.col("id") % 7).alias("vin"), F.timestamp_seconds(F.col("id") * 37 % 50).alias("ts"), F.col("id").alias("arrival"))
     for i in range(6):
-        live.latest_partials(f"{path}/a")(df.filter(F.col("arrival") % 6 == i), i)
-    live.compact(spark, f"{path}/a", live.read_latest, 4, f"{path}/b")
-    before, after = (live.read_latest(spark, f"{path}/{x}") for x in "ab")
-    assert sorted(before.collect()) == sorted(after.select(before.columns).collect())
-    assert {r.batch_id for r in spark.read.parquet(f"{path}/b").select("batch_id").distinct().collect()} == {4, 5}
+        live.latest_partials(path)(df.filter(F.col("arrival") % 8 == i), i)
+    before = sorted(live.read_latest(spark, path).collect())
+    batches.compact(spark, path, state.latest_state)
+    assert sorted(live.read_latest(spark, path).collect()) == before
+    live.latest_partials(path)(df.filter(F.col("arrival") % 8 == 5), 5)  # the newest batch is replayed
+    for i in (6, 7):
+        live.latest_partials(path)(df.filter(F.col("arrival") % 8 == i), i)
+    assert sorted(live.read_latest(spark, path).collect()) == sorted(state.latest_state(df).collect())
+    assert {(r.run, r.batch_id < 10) for r in batches.manifest(spark, path).collect()} == {("merged", False), ("batch", True)}
+    assert batches.manifest(spark, path).count() == 4 and len(list(pathlib.Path(path).glob("data/*/*"))) == 4
 
 
 def test_retention_reads_only_younger_days(spark):
