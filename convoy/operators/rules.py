@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from convoy.functions.plan import join_back
 from convoy.operators.cooldown import apply_cooldown
 from convoy.operators.ewma import ewma_z
+from convoy.operators.rule_columns import MINUTE
+from convoy.operators.rule_pass import rule_hits
 from convoy.schemas import RULE_SEVERITY
 from convoy.session import staged
 
-MINUTE = 60_000
-
 
 def sliding_count(
     df: DataFrame,
@@ -196,10 +196,30 @@ def rule_candidates(
     )
 
 
-def evaluate_rules(df: DataFrame, cooldown_minutes: float = 15, **params) -> DataFrame:
+def evaluate_rules(
+    df: DataFrame,
+    idle_minutes: float = 10,
+    cooldown_minutes: float = 15,
+    moving_kmh: float = 1.0,
+    brake_n: int = 3,
+    brake_minutes: float = 10,
+    code_n: int = 3,
+    code_minutes: float = 60,
+    z: float = 4,
+    min_kmh: float = 100,
+    alpha: float = 0.05,
+    warmup: int = 30,
+    low_pct: float = 10,
+    slice_ms: int = 60 * MINUTE,
+) -> DataFrame:
     """Alerts of all five rules: ``vin, code, severity, ts, seq, pos, detail``.
 
-    The cooldown is per vehicle and rule; an idle episode silenced by it stays silent. It reads the
-    hits three times, so these, far fewer than the events, are staged first.
+    The events are shuffled once for all rules, and equal what the five functions above give one by one. The cooldown is per
+    vehicle and rule; an idle episode silenced by it stays silent. It reads the hits three times, so these,
+    far fewer than the events, are staged first.
     """
-    return apply_cooldown(staged(rule_candidates(df, **params)), cooldown_minutes)
+    params = {
+        "idle_ms": int(idle_minutes * MINUTE), "moving_kmh": moving_kmh, "brake_n": brake_n, "brake_ms": int(brake_minutes * MINUTE),
+        "code_n": code_n, "code_ms": int(code_minutes * MINUTE), "z": z, "min_kmh": min_kmh, "alpha": alpha, "warmup": warmup, "low_pct": low_pct,
+    }
+    return apply_cooldown(staged(rule_hits(df, params, slice_ms)), cooldown_minutes)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.operators import rules
+from convoy.operators import rule_pass, rules
 from convoy.operators.cooldown import apply_cooldown
 from convoy.operators.ewma import ewma_z
 from convoy.sources import streams
@@ -205,3 +205,45 @@ def test_summary_and_replay_share_one_shuffle(spark, operator):
     df = operator(rows)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def mixed(n, seed, vins="VVVW"):
+    rnd = random.Random(seed)
+    rows, t = [], 0
+    for i in range(n):
+        t += rnd.choice((0, 900, 5_000, 40_000, 700_000 if rnd.random() < 0.02 else 0))
+        still = rnd.random() < 0.5 if i % 90 else False
+        speed = 0.0 if 20 < i % 90 < 60 else (0.5 if still else rnd.choice((60.0, 61.0, 150.0 if rnd.random() < 0.05 else 62.0)))
+        codes = rnd.choice(([], [], [], ["P0301"], ["P0420", "P0420", "B1234"]))
+        rows.append(event(t, i, rnd.choice(vins), rnd.random() < 0.97, speed, rnd.choice((None, None, "HARSH_BRAKE")), codes, rnd.choice((None, 5.0, 50.0))))
+    return rows
+
+
+@pytest.mark.parametrize("batch_rows", ["10000", "7"])
+def test_one_pass_equals_the_sequence_however_rows_are_batched(spark, batch_rows):
+    """A vehicle with most rows over several slices; slices that end inside idlings and inside Arrow batches."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        rows = mixed(1500, 21)
+        assert run(spark, rows, idle_minutes=2) == sorted(sequential(rows, idle_ms=120_000))
+        short = {"code_minutes": 2, "brake_minutes": 1, "slice_ms": 60_000, "idle_minutes": 2}
+        df = spark.createDataFrame(rows, SCHEMA)
+        one = found(rules.evaluate_rules(df, **short))
+        short.pop("slice_ms")
+        assert one == found(apply_cooldown(rules.rule_candidates(df, **short))) and {a[1] for a in one} == set(KEYS)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_events_are_shuffled_once(spark, tmp_path):
+    """The scan of the events stands below one exchange; everything else reads that one again."""
+    spark.createDataFrame(mixed(200, 3), SCHEMA).write.parquet(str(tmp_path / "events"))
+    params = dict(idle_ms=60_000, moving_kmh=1, brake_n=3, brake_ms=600_000, code_n=3, code_ms=3_600_000, z=4, min_kmh=100, alpha=0.05, warmup=30, low_pct=10)
+    hits = rule_pass.rule_hits(spark.read.parquet(str(tmp_path / "events")), params, 3_600_000)
+    hits.write.format("noop").mode("overwrite").save()
+    plan = hits._jdf.queryExecution()
+    hits.collect()
+    text = plan.executedPlan().toString()
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
