@@ -147,10 +147,8 @@ def _hits(params: dict):
         for pdf in batches:
             own, t, speed = pdf["own"].to_numpy(bool), pdf["t"].to_numpy(np.int64), pdf["speed_kmh"].to_numpy(np.float64)
             still, brake = pdf["engine_on"].to_numpy(bool) & (speed < moving), pdf["brake"].to_numpy(bool)
-            size = pdf["codes"].map(len, na_action="ignore").fillna(0).to_numpy(np.int64)
-            # a slice may hold rows of the one before only; it has no start
-            n0, mean0, var0 = (pdf[c].fillna(0).to_numpy(np.float64) for c in ("n0", "mean0", "var0"))
-            since0, told0 = pdf["since0"].fillna(NONE).to_numpy(np.int64), pdf["told0"].fillna(False).to_numpy(bool)
+            size = np.array([0 if c is None else len(c) for c in pdf["codes"]], np.int64)
+            n0, mean0, var0, since0, told0 = (pdf[c].to_numpy() for c in _names(START)[2:])
             found: list[tuple[str, np.ndarray, object, object, object, object]] = []
             z_all = np.zeros(len(pdf))
             for this, rows in _groups(pdf):
@@ -192,7 +190,7 @@ def _hits(params: dict):
 def _table(pdf: pd.DataFrame, t: np.ndarray, speed: np.ndarray, found: list) -> pd.DataFrame:
     found = [f for f in found if len(f[1])]
     row = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    spread = lambda k, dtype: np.concatenate([np.broadcast_to(np.asarray(f[k], dtype), len(f[1])) for f in found]) if found else np.zeros(0, dtype)
+    spread = lambda k, dtype: np.concatenate([np.full(len(f[1]), f[k], dtype) for f in found]) if found else np.zeros(0, dtype)
     return pd.DataFrame(
         {
             "vin": pdf["vin"].to_numpy()[row], "code": spread(0, object), "t": t[row], "seq": pdf["seq"].to_numpy()[row],
@@ -217,7 +215,8 @@ def rule_hits(df: DataFrame, params: dict, slice_ms: int) -> DataFrame:
         F.coalesce("engine_on", F.lit(False)).alias("engine_on"), F.col("speed_kmh").cast("double").alias("speed_kmh"),
         F.col("fuel_pct").cast("double").alias("fuel_pct"), brake.alias("brake"), codes.alias("codes"), F.explode(shown).alias("_slice"),
     ).withColumn("own", F.col("_slot") == F.col("_slice")).drop("_slot")
-    dealt = rows.repartition("vin", "_slice")  # the only shuffle of the events
+    # the only shuffle of the events; a row costs far more than its bytes tell, so partitions are not put together by size
+    dealt = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vin", "_slice")
     order = ("vin", "_slice", "t", "seq")
     starts = (
         dealt.sortWithinPartitions(*order)
@@ -231,6 +230,7 @@ def rule_hits(df: DataFrame, params: dict, slice_ms: int) -> DataFrame:
     side = starts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in _names(START) if c not in keys])
     same = F.col("vin").eqNullSafe(F.col("_of_vin")) & F.col("_slice").eqNullSafe(F.col("_of__slice"))
     joined = dealt.join(side, same, "left").drop("_of_vin", "_of__slice")
+    joined = joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in zip(_names(START)[2:], (0, 0.0, 0.0, NONE, False), strict=True)})
     hits = joined.sortWithinPartitions(*order).mapInPandas(_hits(params), HITS + ", speed_kmh double")
     code = F.col("code")
     detail = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +15,8 @@ from convoy.plans.registry import ms, query
 from convoy.plans.rule_checks import BRAKES, CODES, EWMA, HITS, IDLE, IDLE_MINUTES, _cooled
 from convoy.session import shared_dir
 from convoy.sources import streams
-from convoy.sources.batches import read_batches
+from convoy.sources.batches import read_batches, write_batch
+from convoy.sources.finished import read_finished
 from convoy.streaming import pipeline, rules, state
 
 RAW = ("oem", "received_at", "line", "arrival")
@@ -47,8 +49,13 @@ def replayed(
 
 @query("raw_stream", duck("wire_defects", then="SELECT oem, count(*) AS n, min(received_ms) AS first_ms, max(received_ms) AS last_ms FROM wire_defects GROUP BY oem"))
 def raw_stream(spark, sf):
+    """An archive of finished batches followed by its offsets; the stream stops in the middle and goes on."""
     rows = view(spark, sf, "wire_defects").select(*RAW)
-    sink = replayed(spark, rows, "arrival", "raw", streams.run_available)
+    data, checkpoint = streams.scratch(spark, "raw")
+    sink = f"{data}/sink"
+    for i, stretch in enumerate(streams.stretches(rows, "arrival", 2)):
+        write_batch(stretch, i, f"{data}/archive")
+        streams.run_available(read_finished(spark, f"{data}/archive", rows.schema), checkpoint, sink)
     at = F.unix_millis("received_at")
     return spark.read.parquet(sink).groupBy("oem").agg(
         F.count("*").alias("n"), F.min(at).alias("first_ms"), F.max(at).alias("last_ms")
@@ -144,6 +151,24 @@ def rollup_window_stream(spark, sf):
     return shown_rollup(state.read_updated(spark, sink))
 
 
+@query("rollup_bounded_stream", duck("telemetry", then="+ " + ROLLED + " SELECT * FROM rolled"))
+def rollup_bounded_stream(spark, sf):
+    """The window with a watermark of six hours; rows of hours that it has left, 36 hours late or out of order, come from the side table."""
+    rows = view(spark, sf, "arrivals").filter("copy = 0").select(*ROLLUP_INPUT, "arrival")
+    late = dt.timedelta(hours=6)
+    windows, behind = streams.scratch(spark, "bounded")
+
+    def start(stream: DataFrame, checkpoint: str, sink: str) -> None:
+        streams.run_available(stream, checkpoint, each_batch=state.route_late(sink, late))
+        on_time = read_finished(spark, f"{sink}/on_time", rows.schema)
+        streams.run_available(
+            state.hourly_rollup_stream(on_time, "6 hours"), behind, mode="update", each_batch=state.updated_rows(windows)
+        )
+
+    sink = replayed(spark, rows, "arrival", "routed", start, parts=4, swapped=True)
+    return shown_rollup(state.read_window_rollup(spark, windows, f"{sink}/late"))
+
+
 def _alert_sink(spark, sf, shape: Callable[[DataFrame], DataFrame] = lambda alerts: alerts) -> str:
     """Folder of the alerts of the replayed telemetry, each batch of them passed through ``shape``."""
     rules.use_rocksdb(spark)
@@ -227,13 +252,7 @@ def hot_reload_stream(spark, sf):
 )
 def ingest_stream(spark, sf):
     rows = view(spark, sf, "wire_defects").select(*RAW)
-    root = shared_dir(spark, "ingest")
-    registry, tables = f"{root}/registry", pipeline.Tables(f"{root}/tables")
-    pipeline.write_registry(vendor_registry(spark), registry)
-    paths = [f"{root}/vehicle", f"{root}/fleet"]
-    for df, path in zip(directory(spark, sf), paths, strict=True):
-        df.write.parquet(path)
-    body = pipeline.ingest_batch(tables, registry, *paths)
+    tables, body = _write_path(spark, sf)
     replayed(
         spark, rows, "arrival", "ingest",
         lambda stream, checkpoint, _: streams.run_available(stream, checkpoint, each_batch=body),
@@ -243,3 +262,46 @@ def ingest_stream(spark, sf):
         for part, path in (("telemetry", tables.path("telemetry")), ("dead", tables.path("dead")))
     ]
     return counts[0].unionByName(counts[1])
+
+
+def _write_path(spark, sf):
+    """Fresh tables of the write path, and its micro-batch body."""
+    root = shared_dir(spark, "ingest")
+    registry, tables = f"{root}/registry", pipeline.Tables(f"{root}/tables")
+    pipeline.write_registry(vendor_registry(spark), registry)
+    paths = [f"{root}/vehicle", f"{root}/fleet"]
+    for df, path in zip(directory(spark, sf), paths, strict=True):
+        df.write.parquet(path)
+    return tables, pipeline.ingest_batch(tables, registry, *paths)
+
+
+@query(
+    "alerts_from_lines",
+    duck(
+        "wire_defects", "vehicle", "fleet", "alert_type",
+        then=ROUTED + """, telemetry_fast AS (SELECT vin, ts_ms, seq, engine_on, speed_kmh, evt, fuel_pct, coalesce(codes[1], '') AS dtc_code
+            FROM routed WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY vin, seq, ts_ms ORDER BY arrival) = 1), """
+        + ALERT_SQL.lstrip("+ ")
+        + """ SELECT v.vehicle_id, t.alert_type_id, a.severity, a.ts_ms AS raised_ms, 'open' AS status
+            FROM alerts a JOIN vehicle v ON v.vin = a.vin JOIN alert_type t ON t.code = a.code""",
+    ),
+)
+def alerts_from_lines(spark, sf):
+    """From vendor lines to alert rows: the write path, and behind it the rules on the batches that it has finished."""
+    rules.use_rocksdb(spark)
+    # in order of event time: what came late would be judged by what had been seen till then
+    rows = view(spark, sf, "wire_defects").join(view(spark, sf, "telemetry").select("event_id", "ts_ms"), "event_id").select(*RAW, "ts_ms")
+    tables, body = _write_path(spark, sf)
+    _, behind = streams.scratch(spark, "alerts")
+    paths = [f"{tables.root}/{name}" for name in ("vehicle", "alert_type")]
+    for name, path in zip(("vehicle", "alert_type"), paths, strict=True):
+        view(spark, sf, name).write.parquet(path)
+    raise_alerts = pipeline.write_alerts(tables, *paths)
+
+    def start(stream: DataFrame, checkpoint: str, _: str) -> None:
+        streams.run_available(stream.drop("ts_ms"), checkpoint, each_batch=body)
+        streams.run_available(pipeline.alert_stream(spark, tables, idle_minutes=IDLE_MINUTES), behind, each_batch=raise_alerts)
+
+    replayed(spark, rows, "ts_ms", "lines", start)
+    alerts = read_batches(spark, tables.path("alerts"))
+    return alerts.select("vehicle_id", "alert_type_id", "severity", ms("raised_at", "raised_ms"), "status")

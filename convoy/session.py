@@ -45,15 +45,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give ``DataFrame.checkpoint`` a folder when the session has none yet."""
+    """Give Spark's own checkpoints, which model fitting makes, a folder when the session has none yet."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The table written once to the checkpoint folder, for results that several steps read.
+    """The table written once to the shared folder and read back, for results that several steps read.
 
-    Later steps scan the files, also after the loss of an executor.
+    Later steps scan the files, with their columns and sizes, also after the loss of an executor.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    path = shared_dir(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

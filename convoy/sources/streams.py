@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from convoy.session import shared_dir
@@ -57,8 +58,8 @@ def run_available(
     path: str | None = None,
     mode: str = "append",
     each_batch: Callable[[DataFrame, int], None] | None = None,
-) -> None:
-    """Process what the source holds now, then stop. A kept checkpoint continues where it ended."""
+) -> StreamingQuery:
+    """Process what the source holds now, then stop. A kept checkpoint continues where it ended. Returns the ended query."""
     writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -69,6 +70,7 @@ def run_available(
     else:
         running = writer.format("parquet").option("path", path).start()
     running.awaitTermination()
+    return running
 
 
 def scratch(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -6,7 +6,6 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from convoy.operators.alerts import build_alerts
 from convoy.operators.routing import route
@@ -14,6 +13,7 @@ from convoy.operators.rollup import hourly_rollup
 from convoy.operators.state import latest_state
 from convoy.sources.ndjson import classify_lines
 from convoy.sources.batches import write_batch
+from convoy.sources.finished import read_finished
 from convoy.sources.sinks import write_telemetry_batch
 from convoy.streaming.rules import evaluate_rules_stream
 from convoy.streaming.state import HORIZON, LATENESS, forget, remember, unseen
@@ -60,9 +60,18 @@ def ingest_batch(
     return write
 
 
-def alert_stream(spark: SparkSession, tables: Tables, schema: StructType, **limits) -> DataFrame:
-    """Rule hits on the events that the write path keeps, as a stream of its own over their folder."""
-    events = spark.readStream.schema(schema).parquet(f"{tables.path('events')}/*")
+#: What the rules read of an event.
+RULE_INPUT = "vin string, ts timestamp, seq bigint, engine_on boolean, speed_kmh double, evt string, dtc array<string>, fuel_pct double"
+
+
+def alert_stream(
+    spark: SparkSession, tables: Tables, batches_per_trigger: int = 0, progress: str | None = None, **limits
+) -> DataFrame:
+    """Rule hits on the events that the write path keeps, as a stream of its own behind the first one.
+
+    It follows the finished batches of the events, so one that the first stream writes again after a crash is read once.
+    """
+    events = read_finished(spark, tables.path("events"), RULE_INPUT, batches_per_trigger, progress)
     return evaluate_rules_stream(events, **limits)
 
 

@@ -149,8 +149,8 @@ def hourly_rollup_stream(stream: DataFrame, late: str | None = None, **limits) -
     """The rollup as a tumbling window, in update mode.
 
     Every row counts, however late: without ``late`` the state keeps all hours, one row per vehicle and
-    hour. ``late`` bounds the state with a watermark; Spark then leaves out rows that come later
-    still, so use it only where :func:`rollup_partials` is the table of record.
+    hour. ``late`` bounds the state with a watermark; Spark leaves out rows that come later still, so let
+    :func:`route_late` take them to a table of their own first.
     """
     limits = {"idle_kmh": 1.0, "over_kmh": 110.0, "low_pct": 10.0, **limits}
     timed = stream if late is None else stream.withWatermark("ts", late)
@@ -162,6 +162,33 @@ def hourly_rollup_stream(stream: DataFrame, late: str | None = None, **limits) -
     )
 
 
+def route_late(path: str, late: dt.timedelta):
+    """Micro-batch sink in front of :func:`hourly_rollup_stream`: splits a batch by what the window can still take.
+
+    Rows of hours that ended ``late`` before the newest event of earlier batches are rolled up into ``path/late``; the others
+    are stored in ``path/on_time``. A window with that watermark which follows the finished batches of ``path/on_time``
+    has never passed one of them, as its newest event is none newer. ``path/newest`` has each batch's newest event.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = current_run(spark)
+        before = lambda e: (e.run, e.batch_id) != (run, batch_id)
+        newest = read_batches(spark, f"{path}/newest", T.StructType().add("ts", "timestamp"), before).agg(F.max(F.unix_millis("ts"))).first()[0]
+        ended = F.floor(F.unix_millis("ts") / 3_600_000) * 3_600_000 + 3_600_000
+        passed = F.lit(False) if newest is None else ended <= newest - _ms(late)
+        write_batch(hourly_rollup(batch.where(passed)), batch_id, f"{path}/late")
+        write_batch(batch.where(~passed), batch_id, f"{path}/on_time")
+        write_batch(batch.agg(F.max("ts").alias("ts")), batch_id, f"{path}/newest")
+
+    return write
+
+
+def read_window_rollup(spark: SparkSession, windows: str, late: str) -> DataFrame:
+    """Hours of the window's own rows and of the late ones, merged."""
+    return merge_rollups(read_updated(spark, windows), read_batches(spark, late).drop("run", "batch_id"))
+
+
 def updated_rows(path: str):
     """Micro-batch sink for update mode: every batch's changed rows under its number."""
 
