@@ -24,12 +24,12 @@ def _pair(a: Column, b: Column, salt: int) -> Column:
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """One row per line with a word: document, position, two 64-bit ids of the line, number of words."""
+    """One row per line: document, position, two 64-bit ids of the line, number of words."""
     lines = docs.select("doc_id", text_key().alias("key"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    trimmed = F.regexp_replace("line", r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-    counted = lines.withColumn("words", F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t\r\f\x0B]+"))))
-    return counted.where("words > 0").select(
-        "doc_id", "key", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.reverse("line")).alias("b"), "words"
+    # white space at either end leaves an empty part
+    words = F.size(F.array_remove(F.split("line", r"[ \t\r\f\x0B]+"), ""))
+    return lines.select(
+        "doc_id", "key", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), words.alias("words")
     )
 
 
@@ -40,6 +40,8 @@ def sufficient_runs(lines: DataFrame, min_words: int) -> DataFrame:
     """
     # rows equal in doc_id and text are one document
     rows = lines.repartition("doc_id", "key").dropDuplicates(["doc_id", "key", "pos"])
+    # here and not where words are counted: Spark would count them once for the filter and once more for the column
+    rows = rows.where("words > 0")
     doc = Window.partitionBy("doc_id", "key")
     by_pos = doc.orderBy("pos")
     rows = rows.withColumn("stop", F.sum("words").over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
@@ -61,30 +63,30 @@ def sufficient_runs(lines: DataFrame, min_words: int) -> DataFrame:
     back = doc.orderBy("stop").rangeBetween(1 - min_words, 0)
     own = F.struct("pos", "stop", *names)
     tail = F.struct("pos", "stop", *[f"{n}_end" for n in names])
-    forward = rows.select(
-        "doc_id", "key", own.alias("first"), F.last(tail).over(ahead).alias("last"), F.count("*").over(ahead).alias("n"), "start"
-    )
-    backward = rows.select(
-        "doc_id", "key", F.first(own).over(back).alias("first"), tail.alias("last"), F.count("*").over(back).alias("n"), "stop"
-    )
-
-    def named(runs: DataFrame) -> DataFrame:
+    # both runs of a line in one reading: from it on, and up to it
+    rows = rows.select(
+        "doc_id", "key", "start", "stop", own.alias("own"), tail.alias("tail"),
+        F.last(tail).over(ahead).alias("last"), F.count("*").over(ahead).alias("n_ahead"),
+        F.first(own).over(back).alias("first"), F.count("*").over(back).alias("n_back"),
+    )
+
+    def run(first: str, last: str, n: str, enough: Column) -> Column:
         def name(side: str) -> Column:
             out = F.lit(None).cast("long")
             for k in range(levels):
-                both = _pair(F.col(f"first.{side}{k}"), F.col(f"last.{side}{k}_end"), 100)
-                out = F.when(F.col("n").between(1 << k, (2 << k) - 1), both).otherwise(out)
-            return F.xxhash64("n", out)
+                both = _pair(F.col(f"{first}.{side}{k}"), F.col(f"{last}.{side}{k}_end"), 100)
+                out = F.when(F.col(n).between(1 << k, (2 << k) - 1), both).otherwise(out)
+            return F.xxhash64(n, out)
 
-        return runs.select(
-            "doc_id", "key", F.col("first.pos").alias("first_pos"), F.col("last.pos").alias("last_pos"),
-            name("a").alias("name_a"), name("b").alias("name_b"),
-        )
+        named = F.struct(
+            F.col(f"{first}.pos").alias("first_pos"), F.col(f"{last}.pos").alias("last_pos"), name("a").alias("name_a"), name("b").alias("name_b")
+        )
+        return F.when(enough, named)
 
-    enough = forward.where(F.col("last.stop") - F.col("start") >= min_words)
+    forward = run("own", "last", "n_ahead", F.col("last.stop") - F.col("start") >= min_words)
     # a line that is enough by itself is a forward run already
-    others = backward.where((F.col("stop") >= min_words) & (F.col("n") > 1))
-    return named(enough).unionByName(named(others))
+    backward = run("first", "tail", "n_back", (F.col("stop") >= min_words) & (F.col("n_back") > 1))
+    return rows.select("doc_id", "key", F.explode(F.array_compact(F.array(forward, backward))).alias("run")).select("doc_id", "key", "run.*")
 
 
 def later_copies(runs: DataFrame) -> DataFrame:
@@ -113,8 +115,9 @@ def drop_repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     """
     copies = later_copies(sufficient_runs(numbered_lines(docs), min_words))
     removed = copies.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence("first_pos", "last_pos")))).alias("_gone")
+        F.collect_set(F.struct("first_pos", "last_pos")).alias("_runs")
     )
+    removed = removed.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r.first_pos, r.last_pos)))))
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), text_key().alias("_text"))
     joined = rows.join(removed, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), "left")
     lines = F.split("_row.text", "\n", -1)
