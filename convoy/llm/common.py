@@ -110,11 +110,9 @@ def label_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int,
         some = known.where(F.col("y") == y).orderBy("o", "doc_id").limit(per_class)
         ids = some if ids is None else ids.unionAll(some)
     short = docs.where(F.length("text") <= max_chars).select("doc_id", "text")
-    rows = short.join(F.broadcast(ids), "doc_id").select("y", "o", "doc_id", "text").collect()
-    picked: dict[int, tuple[str, int]] = {}
-    for r in sorted(rows, key=lambda r: (r.y, r.o, r.doc_id, r.text)):
-        picked.setdefault(r.doc_id, (r.text, r.y))
-    return list(picked.values())
+    # of several rows of an id the least text counts; they are put together before they are collected
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("y", "o", "doc_id").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.y, r.o, r.doc_id))]
 
 
 #: Rows of ids up to which a side is broadcast (8 bytes each); larger sides are joined by a shuffle.

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from convoy.llm import bpe, byte_cnn, common, decontaminate, domain_lm, line_runs, minhash, quality_ratio, substrings, surrogates, toxicity
 from convoy.llm.components import components
@@ -340,6 +341,11 @@ def test_label_sample_is_bounded(spark):
     sample = common.label_sample(texts, labels, "toxic", 10, 10_000)
     assert Counter(y for _, y in sample) == {0: 10, 1: 10} and sample == common.label_sample(texts, labels, "toxic", 10, 10_000)
     assert common.label_sample(texts, labels, "toxic", 10, 1) == []
+    # one labelled id repeated many times: only its least text is learnt, and the copies meet before the driver
+    known = texts.join(labels.where("toxic = 1"), "doc_id", "left_semi").where(~common.held_out()).select("doc_id", "text").orderBy("doc_id").limit(1)
+    crowd = known.crossJoin(spark.range(50_000)).select("doc_id", F.concat("text", F.lit(" z"), F.col("id").cast("string")).alias("text"))
+    many = common.label_sample(texts.select("doc_id", "text").unionByName(crowd), labels, "toxic", 10**6, 10_000)
+    assert sorted(many) == sorted(common.label_sample(texts, labels, "toxic", 10**6, 10_000))
 
 
 # 7 BPE
