@@ -164,7 +164,7 @@ SIX = "round({0}, 6) AS {0}"
 
 @query(
     "risk_features",
-    duck_risk(" SELECT vin, " + ", ".join(SIX.format(f) for f in risk.RISK_FEATURES) + " FROM features ORDER BY dtc DESC, harsh DESC, vin LIMIT 500"),
+    duck_risk(" SELECT vin, " + ", ".join(SIX.format(f) for f in risk.RISK_FEATURES) + " FROM features"),
 )
 def risk_features(spark, sf):
     return features(spark, sf).select("vin", *[F.round(f, 6).alias(f) for f in risk.RISK_FEATURES])

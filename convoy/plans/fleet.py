@@ -236,7 +236,7 @@ def masked_locations(spark, sf):
     duck(
         "vehicle", "driver",
         then="""SELECT v.vehicle_id, d.driver_id FROM
-            (SELECT vehicle_id, row_number() OVER (ORDER BY vehicle_id) AS rn FROM vehicle ORDER BY vehicle_id LIMIT 2000) v
+            (SELECT vehicle_id, row_number() OVER (ORDER BY vehicle_id) AS rn FROM vehicle) v
             JOIN (SELECT driver_id, row_number() OVER (ORDER BY driver_id) AS rn FROM driver) d USING (rn)""",
     ),
 )
