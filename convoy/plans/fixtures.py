@@ -6,12 +6,14 @@ engines are the fields of :class:`Dialect`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convoy.schemas import VIN_LETTER_DIGITS, VIN_LETTERS, VIN_WEIGHTS
+from convoy.functions.fields import unit_factor
+from convoy.schemas import VENDOR_MAPPINGS, VIN_LETTER_DIGITS, VIN_LETTERS, VIN_WEIGHTS
 from convoy.session import configure, shared_dir
 
 BASE_MS = 1704067200000  # 2024-01-01T00:00:00Z, the start of the events table
@@ -122,77 +124,74 @@ def _arrivals(d: Dialect) -> str:
           WHERE event_id % 20 = 0) a"""
 
 
+#: Decimals of every measured number in the vendors' text.
+WIRE_PLACES = 5
+#: What a spoilt field holds instead of its value, by the row's defect.
+SPOILT = {"lat": (59, "999"), "odo_km": (71, "null"), "speed_kmh": (73, '"fast"'), "ts": (79, '"garbage"')}
+
+
+def _in_quotes(text: str) -> str:
+    return f"'\"' || {text} || '\"'"
+
+
+def _wire_value(d: Dialect, field: str, spec: dict, listless: bool) -> str:
+    """SQL for the JSON text of one field as its mapping would read it back; null leaves the key out.
+
+    ``listless`` vendors write lists as text, and with them the fuel level and an empty event.
+    """
+    if field == "vin":
+        return _in_quotes("w_vin")
+    if field == "ts":
+        return {
+            "epoch_ms": "CAST(ts_ms AS STRING)",
+            "epoch_s": "CAST(CAST(FLOOR(ts_ms/1000.0) AS BIGINT) AS STRING)",
+            "iso": _in_quotes(d.iso("ts_ms")),
+            "ddmmyyyy_hms": _in_quotes(d.dmy("ts_ms")),
+        }[spec["format"]]
+    if field == "engine_on":
+        yes = spec["truthy"][0]
+        no = type(yes)() if not isinstance(yes, str) else f"-{yes}"
+        return f"CASE WHEN engine_on THEN '{json.dumps(yes)}' ELSE '{json.dumps(no)}' END"
+    if field == "dtc":
+        return _in_quotes("w_codes") if listless else f"'[' || CASE WHEN w_codes = '' THEN '' ELSE {_in_quotes('w_codes')} END || ']'"
+    if field == "evt":
+        return _in_quotes("coalesce(evt, '')") if listless else f"coalesce({_in_quotes('evt')}, 'null')"
+    if field in ("seq", "rpm"):
+        return f"CAST({field} AS STRING)"
+    quantity = {"speed_kmh": "speed", "odo_km": "distance"}.get(field)
+    divisor = (unit_factor(quantity, spec.get("unit")) if quantity else 1.0) * spec.get("scale", 1.0)
+    number = _fixed(f"{field}/{divisor}e0", WIRE_PLACES)
+    return _in_quotes(number) if listless and field == "fuel_pct" else number
+
+
+def _wire_node(node: dict | str) -> str:
+    """SQL for the JSON text of a tree of path steps; steps that are numbers make a list."""
+    if isinstance(node, str):
+        return node
+    if all(step.isdigit() for step in node):
+        return "'[' || concat_ws(',', " + ", ".join(_wire_node(node[k]) for k in sorted(node, key=int)) + ") || ']'"
+    members = (f"'\"{step}\":' || {_wire_node(below)}" for step, below in node.items())
+    return "'{' || concat_ws(',', " + ", ".join(members) + ") || '}'"
+
+
+def _wire_document(d: Dialect, mapping: dict[str, dict]) -> str:
+    """SQL for a vendor's document: every mapped field at its path."""
+    tree: dict = {}
+    for field, spec in mapping.items():
+        value = _wire_value(d, field, spec, "split" in mapping["dtc"])
+        if field in SPOILT:
+            value = "CASE WHEN defect = {} THEN '{}' ELSE {} END".format(*SPOILT[field], value)
+        *above, last = spec["path"].split(".")
+        node = tree
+        for step in above:
+            node = node.setdefault(step, {})
+        node[last] = value
+    return _wire_node(tree)
+
+
 def _wire(d: Dialect, source: str) -> str:
     """Vendor JSON of every row; ``defect`` names the part that is spoilt (null for none)."""
-
-    def obj(vin_key: str, *parts: str) -> str:
-        head = f"CASE WHEN w_vin IS NULL THEN '' ELSE '\"{vin_key}\":\"' || w_vin || '\",' END"
-        return "'{' || " + head + " || " + " || ".join(parts) + " || '}'"
-
-    def num(key: str, expr: str, first: bool = False) -> str:
-        return f"'{'' if first else ','}\"{key}\":' || {expr}"
-
-    lat = f"CASE WHEN defect = 59 THEN '999' ELSE {_fixed('lat', 6)} END"
-    lon = _fixed("lon", 6)
-
-    def speed(expr: str, places: int) -> str:
-        return f"CASE WHEN defect = 73 THEN '\"fast\"' ELSE {_fixed(expr, places)} END"
-
-    def odo(expr: str) -> str:
-        return f"CASE WHEN defect = 71 THEN 'null' ELSE {_fixed(expr, 2)} END"
-
-    def fuel(expr: str, places: int, quote: str = "") -> str:
-        return f"CASE WHEN fuel_pct IS NULL THEN 'null' ELSE '{quote}' || {_fixed(expr, places)} || '{quote}' END"
-
-    def ts(expr: str) -> str:
-        return f"CASE WHEN defect = 79 THEN '\"garbage\"' ELSE {expr} END"
-
-    codes = "CASE WHEN w_codes = '' THEN '[]' ELSE '[\"' || w_codes || '\"]' END"
-    evt = "CASE WHEN evt IS NULL THEN 'null' ELSE '\"' || evt || '\"' END"
-    rpm, seq = "CAST(rpm AS STRING)", "CAST(seq AS STRING)"
-    ms = "CAST(ts_ms AS STRING)"
-    mph, mi = "speed_kmh/1.609344e0", "odo_km/1.609344e0"
-
-    def engine(yes: str, no: str) -> str:
-        return f"CASE WHEN engine_on THEN '{yes}' ELSE '{no}' END"
-
-    wires = {
-        "A": obj(
-            "vehicleId", num("timestamp", ts(ms), True),
-            "',\"position\":{\"latitude\":' || " + lat, "',\"longitude\":' || " + lon + " || '}'",
-            num("velocityMph", speed(mph, 1)), num("odometerMiles", odo(mi)),
-            num("fuelLevel", fuel("fuel_pct/100e0", 3)), num("ignition", engine('"ON"', '"OFF"')),
-            num("engineRpm", rpm), num("faultCodes", codes), num("event", evt), num("sequence", seq),
-        ),
-        "B": obj(
-            "vin", num("ts", ts("'\"' || " + d.iso("ts_ms") + " || '\"'"), True),
-            "',\"gps\":[' || " + lat + " || ',' || " + lon + " || ']'",
-            num("speed_kmh", speed("speed_kmh", 1)), num("odo_km", odo("odo_km")),
-            num("fuel_pct", fuel("fuel_pct", 1)), num("engine_on", engine("true", "false")),
-            num("rpm", rpm), num("dtc", codes), num("evt", evt), num("seq", seq),
-        ),
-        "C": obj(
-            "VIN", num("time", ts("'\"' || " + d.dmy("ts_ms") + " || '\"'"), True),
-            num("lat", lat), num("lng", lon), num("speedMs", speed("speed_kmh/3.6e0", 2)),
-            num("odoKm", odo("odo_km")), num("fuelPercent", fuel("fuel_pct", 1, '"')),
-            num("engine", engine("1", "0")), num("rpm", rpm), num("codes", "'\"' || w_codes || '\"'"),
-            num("evt", "'\"' || coalesce(evt, '') || '\"'"), num("n", seq),
-        ),
-        "D": obj(
-            "v", num("t", ts("CAST(CAST(FLOOR(ts_ms/1000.0) AS BIGINT) AS STRING)"), True),
-            num("la", lat), num("lo", lon), num("spd_mph", speed(mph, 1)), num("odo_mi", odo(mi)),
-            num("fl", fuel("fuel_pct", 1)), num("eng", engine("true", "false")), num("r", rpm),
-            num("d", codes), num("e", evt), num("s", seq),
-        ),
-        "E": obj(
-            "chassis", num("unixTime", ts(ms), True),
-            "',\"coords\":{\"y\":' || " + lat, "',\"x\":' || " + lon + " || '}'",
-            num("kph", speed("speed_kmh", 1)), num("odometer", odo("odo_km")),
-            num("fuel", fuel("fuel_pct/100e0", 3)), num("running", engine('"Y"', '"N"')),
-            num("revs", rpm), num("dtcList", codes), num("event", evt), num("counter", seq),
-        ),
-    }
-    body = " ".join(f"WHEN '{o}' THEN {text}" for o, text in wires.items())
+    body = " ".join(f"WHEN '{oem}' THEN {_wire_document(d, mapping)}" for oem, mapping in VENDOR_MAPPINGS.items())
     return f"""
     SELECT event_id, copy, arrival, received_ms, received_at, vehicle_id, vin AS true_vin,
            CASE WHEN defect = 53 THEN 'Z' ELSE oem END AS oem,
