@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The same rows, with every column computed once at this point of the plan.
+def settle(df: DataFrame, column: str) -> DataFrame:
+    """The same rows; filters on ``column`` and on what is selected with it stay above this point of the plan.
 
     Catalyst pushes a filter on a computed column below the projection that computes it, copying the
-    expression; for columns read out of parsed JSON that repeats the parsing per copy and makes
-    plans that grow with each step. A one-element generator is the boundary it does not cross.
+    expression; for columns read out of parsed JSON that repeats the parsing per copy and makes plans that
+    grow with each step. It does not do so past an expression it takes for non-deterministic, and the
+    number of the partition counts as one. Columns that nobody reads are still left out, down to the scan.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+    return df.withColumn(column, F.when(F.spark_partition_id() >= 0, F.col(column)))
 
 
 def join_back(rows: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from convoy.operators.numbering import numbered
 from convoy.schemas import (
@@ -31,18 +33,12 @@ def vendor_registry(
     rows = []
     for oem, fields in VENDOR_MAPPINGS.items():
         specs = {
-            name: (
-                spec.get("path"),
-                spec.get("unit"),
-                spec.get("scale"),
-                spec.get("format"),
-                [as_text(v) for v in spec["truthy"]] if "truthy" in spec else None,
-                spec.get("split"),
-            )
+            name: {**spec, "truthy": [as_text(v) for v in spec["truthy"]]} if "truthy" in spec else spec
             for name, spec in fields.items()
         }
-        rows.append((oem, version, oem in active, specs))
-    return spark.createDataFrame(rows, MAPPING_SCHEMA)
+        rows.append({"oem": oem, "version": version, "active": oem in active, "fields": list(specs.items())})
+    # a small Arrow table becomes a local relation: collecting or joining it runs no Python and no job
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(MAPPING_SCHEMA)), MAPPING_SCHEMA)
 
 
 def validate_mappings(m: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def normalise(raw: DataFrame, mappings) -> DataFrame:
         (F.when(usable, F.col("seq").cast("bigint")) if c == "seq" else F.col(c)).alias(c)
         for c in CANONICAL_COLUMNS
     ]
-    return settle(judged.select(*carried, "payload", *shown, "reason"))
+    return settle(judged.select(*carried, "payload", *shown, "reason"), "reason")
 
 
 def first_failure(canonical: DataFrame) -> DataFrame:

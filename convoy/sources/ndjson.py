@@ -61,7 +61,7 @@ def classify_lines(df: DataFrame, line_col: str = "line") -> DataFrame:
         .withColumn("reason", reason)
         .withColumn("payload", F.when(F.col("reason").isNull(), item))
     )
-    return settle(out.drop("_doc"))
+    return settle(out.drop("_doc"), "reason")
 
 
 def decode_envelope(df: DataFrame, value_col: str = "value") -> DataFrame:
@@ -76,7 +76,7 @@ def decode_envelope(df: DataFrame, value_col: str = "value") -> DataFrame:
         .withColumn("received_at", F.timestamp_millis(millis.try_cast("bigint")))
         .withColumn("payload", F.try_variant_get(F.col("_doc"), "$[0].p", "variant"))
     )
-    return settle(out.drop("_doc"))
+    return settle(out.drop("_doc"), "reason")
 
 
 def with_partition_key(
