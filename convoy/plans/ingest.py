@@ -188,6 +188,39 @@ def expired_days(spark, sf):
     return deleted.unionByName(left.select("day", F.lit("kept").alias("fate"), "n", F.lit(True).alias("has_bytes")))
 
 
+@query(
+    "tier_moves",
+    duck(
+        "telemetry",
+        then="""+ days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seq_sum FROM telemetry GROUP BY ALL)
+        SELECT day, n, seq_sum, true AS has_bytes, tier, CASE tier WHEN 'expired' THEN 'hot' ELSE tier END AS place,
+            CASE WHEN tier IN ('warm', 'cold') THEN n ELSE 0 END AS first_moved, CAST(0 AS BIGINT) AS then_moved
+        FROM (SELECT *, CASE WHEN day >= '2024-01-24' THEN 'hot' WHEN day >= '2024-01-17' THEN 'warm'
+            WHEN day >= '2024-01-10' THEN 'cold' ELSE 'expired' END AS tier FROM days)""",
+    ),
+)
+def tier_moves(spark, sf):
+    """Days moved between tier folders twice, what lies where after it, and the rows read back through the manifest."""
+    path = shared_dir(spark, "tiered")
+    roots = {tier: f"{path}/{tier}" for tier in ("warm", "cold")}
+    ages = {"hot": 7, "warm": 14, "cold": 21}
+    rows = view(spark, sf, "telemetry")
+    for batch in (0, 1):
+        sinks.write_telemetry_batch(rows.filter(F.col("event_id") % 2 == batch), batch, path)
+    first, then = (sinks.move_tiers(spark, path, roots, AS_OF, ages).groupBy("day").agg(F.sum("rows").alias("n")) for _ in range(2))
+    lies = sinks.tier_storage(spark, path, roots, AS_OF, ages)
+    read = batches.read_batches(spark, path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return (
+        lies.join(read.agg(F.count("*").alias("n"), F.sum("seq").alias("seq_sum")), "day")
+        .join(first.withColumnRenamed("n", "first_moved"), "day", "left")
+        .join(then.withColumnRenamed("n", "then_moved"), "day", "left")
+        .select(
+            "day", "n", "seq_sum", (F.col("bytes") > 0).alias("has_bytes"), "tier", "place",
+            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("first_moved", "then_moved")],
+        )
+    )
+
+
 @query(
     "retained_raw",
     duck(

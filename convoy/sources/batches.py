@@ -120,11 +120,42 @@ def read_batches(
         if schema is None:
             raise ValueError(f"{path} has no finished batch, and no schema is given")
         return spark.createDataFrame([], schema).withColumns({"run": F.lit(""), "batch_id": F.lit(0).cast("bigint")})
-    reader = spark.read.option("basePath", f"{path}/data")
+    full = None
     if schema is not None:
         full = StructType([f for f in schema if f.name not in ("run", "batch_id")]).add("run", "string").add("batch_id", "long")
-        reader = reader.schema(full)
-    return reader.parquet(*folders)
+    return read_folders(spark, folders, full)
+
+
+def read_folders(spark: SparkSession, folders: list[str], schema: StructType | None = None) -> DataFrame:
+    """Rows of a table's folders with what their names say (run, batch_id, part); they may lie below several roots, as tiers do."""
+    roots: dict[str, list[str]] = {}
+    for folder in folders:
+        roots.setdefault(folder.rpartition("/run=")[0], []).append(folder)
+    out = None
+    for root, below in sorted(roots.items()):
+        reader = spark.read.option("basePath", root)
+        rows = (reader if schema is None else reader.schema(schema)).parquet(*below)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def relocate(spark: SparkSession, path: str, picked: list[Row], root: str, run: str, by: str, order: list[str]) -> None:
+    """Rewrites live folders into one below ``root``, a folder per value of ``by``; one commit exchanges them.
+
+    Ended before the commit it leaves the table as it was (and a folder that nothing names), ended after it only the old files.
+    """
+    folders = [e.folder for e in picked]
+    rows = read_folders(spark, folders).drop("run", "batch_id")
+    number = time.time_ns()
+    folder = f"{root}/run={run}/batch_id={number}"
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(by).parquet(folder)
+    counted = spark.read.parquet(folder).groupBy(F.col(by).cast("string").alias("part")).agg(F.count("*").alias("n")).collect()
+    if sum(r.n for r in counted) != sum(e.rows for e in picked):
+        raise RuntimeError(f"{folder} does not hold the rows that the manifest names")
+    entries = [(r.part, f"{folder}/{by}={r.part}", r.n, size(spark, f"{folder}/{by}={r.part}")) for r in counted]
+    commit(spark, path, run, number, entries, folders)
+    for e in picked:
+        delete(spark, e.folder)
 
 
 def take_out(spark: SparkSession, path: str, gone: Callable[[Row], bool], run: str) -> DataFrame:

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convoy.sources.batches import take_out, write_batch
+from convoy.sources.batches import live, relocate, take_out, write_batch
 
 
 def to_storage_rows(df: DataFrame) -> DataFrame:
@@ -111,3 +111,46 @@ def tier_report(df: DataFrame, ts_col: str, as_of: dt.datetime, **tiers) -> Data
             F.count("*").alias("n"), F.min(ts_col).alias("oldest"), F.max(ts_col).alias("newest")
         )
     )
+
+
+# Days until a row leaves a tier.
+TIER_DAYS = {"hot": 7, "warm": 90, "cold": 365}
+
+
+def day_tier(day: str, as_of: dt.datetime, days: dict[str, int] | None = None) -> str:
+    """Tier of a whole day (ISO text): that of its youngest moment."""
+    for tier, age in (days or TIER_DAYS).items():
+        if day >= (as_of - dt.timedelta(days=age)).date().isoformat():
+            return tier
+    return "expired"
+
+
+def tier_storage(spark: SparkSession, path: str, roots: dict[str, str], as_of: dt.datetime, days: dict[str, int] | None = None) -> DataFrame:
+    """What the manifest of a table written by day holds: day, tier (by age), place (by folder; hot is the stream's own), rows, bytes.
+
+    No data file is read. ``roots`` names the folder of each tier that has one.
+    """
+    rows = [
+        (e.part, day_tier(e.part, as_of, days), next((t for t, r in roots.items() if e.folder.startswith(f"{r}/run=")), "hot"), e.rows, e.bytes)
+        for e in live(spark, path)
+        if e.part is not None
+    ]
+    listed = spark.createDataFrame(rows, "day string, tier string, place string, rows bigint, bytes bigint")
+    return listed.groupBy("day", "tier", "place").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
+def move_tiers(spark: SparkSession, path: str, roots: dict[str, str], as_of: dt.datetime, days: dict[str, int] | None = None) -> DataFrame:
+    """Moves whole days into the folder of their tier: one job and one commit a tier, all files of a day put together.
+
+    Days in place and tiers without a root stay where they are, so a second run moves nothing. Late rows of a day that
+    has moved are moved by the next run. Returns what moved: day, tier, rows, bytes (as they were before).
+    """
+    moved = []
+    for tier, root in roots.items():
+        picked = [
+            e for e in live(spark, path) if e.part is not None and day_tier(e.part, as_of, days) == tier and not e.folder.startswith(f"{root}/run=")
+        ]
+        if picked:
+            relocate(spark, path, picked, root, f"tier-{tier}", "day", ["day", "fleet_id", "vin", "ts"])
+            moved += [(e.part, tier, e.rows, e.bytes) for e in picked]
+    return spark.createDataFrame(moved, "day string, tier string, rows bigint, bytes bigint")
