@@ -6,11 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from convoy.operators import alerts, insights, risk, rollup
+from convoy.operators import alerts, insights, risk, risk_tables, rollup
 from convoy.operators.numbering import exact_quantiles
 from convoy.operators.state import latest_state
 from convoy.plans.fixtures import BASE_MS, duck, view
 from convoy.plans.registry import AS_OF, ms, query
+from convoy.session import staged
 
 HOUR_MS = 3_600_000
 DAYS = 30
@@ -273,6 +274,18 @@ def risk_model_scores(spark, sf):
     return risk.score(rows.filter("is_test").drop("risk"), model).select("vin", "label", F.round("risk", 6).alias("risk"))
 
 
+@query("risk_model_tables", duck_risk(" SELECT vin, label, true AS same, true AS in_range FROM labelled"))
+def risk_model_tables(spark, sf):
+    """Every vehicle scored from the exported trees, against the model itself."""
+    rows = staged(_split(spark, sf))
+    model = risk.train_risk_model(rows.filter("NOT is_test"))
+    features = rows.drop("risk")
+    own = risk.score(features, model).select("vin", F.col("risk").alias("own"))
+    by_table = risk_tables.score_by_table(features, risk_tables.export_trees(spark, model))
+    same, in_range = F.abs(F.col("risk") - F.col("own")) < 1e-9, F.col("risk").between(0, 1)
+    return by_table.join(own, "vin").select("vin", "label", same.alias("same"), in_range.alias("in_range"))
+
+
 @query("risk_model_report")
 def risk_model_report(spark, sf):
     out = risk.evaluate_model(labelled(spark, sf))
