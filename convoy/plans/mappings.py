@@ -11,6 +11,8 @@ from convoy.plans.fixtures import duck, view
 from convoy.plans.ingest import LINE_REASON, by_oem, payloads
 from convoy.plans.registry import ms, query
 from convoy.schemas import VENDOR_MAPPINGS
+from convoy.session import shared_dir
+from convoy.sources import batches, rejects
 
 REGISTRY = {o: {"version": 1, "fields": f} for o, f in VENDOR_MAPPINGS.items()}
 
@@ -522,3 +524,26 @@ def dead_letter_replay(spark, sf):
     return again.groupBy("oem", F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(
         F.count("*").alias("n")
     )
+
+
+@query(
+    "rejects_replayed",
+    duck(
+        "wire_defects", "vehicle", "fleet",
+        then=ROUTED + """ SELECT oem, coalesce(reason, 'accepted') AS outcome, count(*) AS n, oem = 'E' AS read_again FROM routed
+            WHERE reason IS NOT NULL OR oem = 'E' GROUP BY ALL""",
+    ),
+)
+def rejects_replayed(spark, sf):
+    """Vendor E is onboarded after its rows were rejected: what its letters became, and the letters left, after two replays."""
+    first = {o: m for o, m in REGISTRY.items() if o != "E"}
+    path, accepted = shared_dir(spark, "rejects"), shared_dir(spark, "replay-accepted")
+    raw = ("oem", "line", "arrival", "received_at")
+    routes = routed(spark, sf, first).select(*raw, "reason").filter(F.col("reason").isNotNull())
+    rejects.store_rejects(routes, 0, path, first, raw)
+    read = [rejects.replay_changed(spark, path, accepted, REGISTRY, *directory(spark, sf)) for _ in range(2)]
+    passed = batches.read_batches(spark, accepted).select("oem", F.lit("accepted").alias("outcome"))
+    left = batches.read_batches(spark, path).select("oem", F.col("reason").alias("outcome"))
+    seen = read[0].unionByName(read[1]).select(F.substring_index("part", "~", 1).alias("_oem")).distinct()
+    counted = passed.unionByName(left).groupBy("oem", "outcome").agg(F.count("*").alias("n"))
+    return counted.join(seen, F.col("oem") == F.col("_oem"), "left").withColumn("read_again", F.col("_oem").isNotNull()).drop("_oem")

@@ -88,10 +88,13 @@ def is_committed(spark: SparkSession, path: str, run: str, batch_id: int) -> boo
     return len(files.globStatus(at) or ()) > 0
 
 
-def write_batch(df: DataFrame, batch_id: int, path: str, by: str | None = None, run: str | None = None) -> DataFrame:
+def write_batch(
+    df: DataFrame, batch_id: int, path: str, by: str | None = None, run: str | None = None, replaces: tuple[str, ...] = ()
+) -> DataFrame:
     """Stores a batch's rows once, and returns them as stored; ``by`` names a column of which every value gets a folder.
 
-    Up to its commit a replay writes the batch anew; after it, the batch stays as it is.
+    Up to its commit a replay writes the batch anew; after it, the batch stays as it is. The same commit takes the
+    folders in ``replaces`` out of the table.
     """
     spark = df.sparkSession
     run = run or current_run(spark)
@@ -104,7 +107,9 @@ def write_batch(df: DataFrame, batch_id: int, path: str, by: str | None = None,
         part = (F.col(by) if by else F.lit(None)).cast("string").alias("part")
         parts = stored().groupBy(part).agg(F.count("*").alias("n")).collect()
         of = lambda part: folder if by is None else f"{folder}/{by}={part if part is not None else '__HIVE_DEFAULT_PARTITION__'}"
-        commit(spark, path, run, batch_id, [(r.part, of(r.part), r.n, size(spark, of(r.part))) for r in parts])
+        commit(spark, path, run, batch_id, [(r.part, of(r.part), r.n, size(spark, of(r.part))) for r in parts], list(replaces))
+        for gone in replaces:
+            delete(spark, gone)
     return stored()
 
 
