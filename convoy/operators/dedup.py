@@ -1,13 +1,12 @@
-"""Exact duplicates, duplicate accounting and the seen-key prefilter."""
+"""Exact duplicates, duplicate accounting and keys seen before."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 EVENT_KEYS = ("vin", "seq", "ts")
-BLOCK_BITS = 32768  # bits per bitmap bucket in Spark's bitmap functions
 
 
 def dedup_exact(
@@ -36,77 +35,22 @@ def duplicate_report(
     )
 
 
-def _bloom_slot(key: Column, blocks: int, k: int) -> tuple[Column, Column]:
-    """Block number and the key's k bit positions inside it."""
-    block = F.pmod(F.xxhash64(F.lit(0), key), F.lit(blocks))
-    bits = F.array(*[F.pmod(F.xxhash64(F.lit(i + 1), key), F.lit(BLOCK_BITS)) for i in range(k)])
-    return block, bits
+def seen_key_split(history: DataFrame, probe: DataFrame, keys: tuple[str, ...] = EVENT_KEYS) -> DataFrame:
+    """``probe`` with ``seen``: whether the history holds the row's key, exactly; a key with a null is never seen.
 
-
-def build_seen_filter(
-    history: DataFrame, keys: tuple[str, ...] = EVENT_KEYS, bits: int = 1 << 25, k: int = 4
-) -> DataFrame:
-    """Bloom filter as a table of fixed-size blocks, one 4 KiB bitmap each.
-
-    All bits of a key lie in one block, so a probe is one lookup and the filter may outgrow any
-    single executor. Building merges bitmaps map-side.
+    Copies in the history collapse before the shuffle, and AQE splits a key that holds too many probe rows. Pre-filtering
+    the join by a run-time Bloom filter is Spark's own choice (``spark.sql.optimizer.runtime.bloomFilter.enabled``).
     """
-    blocks = max(1, bits // BLOCK_BITS)
-    block, positions = _bloom_slot(F.concat_ws(":", *keys), blocks, k)
-    return (
-        history.select(block.alias("block"), F.explode(positions).alias("bit"))
-        .groupBy("block")
-        .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-    )
-
-
-def _bit_set(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substr(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    mask = F.element_at(
-        F.array(*[F.lit(1 << i) for i in range(8)]), (F.pmod(position, F.lit(8)) + 1).cast("int")
-    )
-    return byte.cast("int").bitwiseAND(mask) > 0
-
-
-def probe_seen_filter(
-    probe: DataFrame,
-    seen: DataFrame,
-    keys: tuple[str, ...] = EVENT_KEYS,
-    bits: int = 1 << 25,
-    k: int = 4,
-) -> DataFrame:
-    """Add ``maybe_seen``: false means certainly new, true asks for the exact check."""
-    blocks = max(1, bits // BLOCK_BITS)
-    block, positions = _bloom_slot(F.concat_ws(":", *keys), blocks, k)
-    keyed = probe.withColumn("block", block).withColumn("_bits", positions)
-    hit = F.lit(True)
-    for i in range(k):
-        hit = hit & _bit_set(F.col("bitmap"), F.col("_bits")[i])
-    return (
-        keyed.join(seen, "block", "left")
-        .withColumn("maybe_seen", F.coalesce(F.col("bitmap").isNotNull() & hit, F.lit(False)))
-        .drop("block", "bitmap", "_bits")
-    )
+    known = history.select(*keys).distinct().withColumn("_known", F.lit(True))
+    return probe.join(known, list(keys), "left").withColumn("seen", F.col("_known").isNotNull()).drop("_known").select(*probe.columns, "seen")
 
 
-def seen_key_split(
-    history: DataFrame,
-    probe: DataFrame,
-    keys: tuple[str, ...] = EVENT_KEYS,
-    bits: int = 1 << 25,
-    k: int = 4,
-) -> DataFrame:
-    """Add ``maybe_seen`` and the exact ``seen``; only maybe-seen rows meet the history."""
-    flagged = probe_seen_filter(probe, build_seen_filter(history, keys, bits, k), keys, bits, k)
-    known = history.select(*keys).distinct().withColumn("_known", F.lit(True))
-    sure = flagged.filter(~F.col("maybe_seen")).withColumn("seen", F.lit(False))
-    checked = (
-        flagged.filter("maybe_seen")
-        .join(known, list(keys), "left")
-        .withColumn("seen", F.coalesce("_known", F.lit(False)))
-        .drop("_known")
+def seen_report(history: DataFrame, probe: DataFrame, keys: tuple[str, ...] = EVENT_KEYS) -> DataFrame:
+    """Rows of ``probe``, those whose key the history holds, and their share."""
+    marked = seen_key_split(history, probe, keys)
+    return marked.agg(
+        F.count("*").alias("n"), F.count_if("seen").alias("n_seen"), F.avg(F.col("seen").cast("int")).alias("share")
     )
-    return sure.unionByName(checked.select(*sure.columns))
 
 
 def false_positive_rate(n: int, bits: int = 1 << 25, k: int = 4) -> float:

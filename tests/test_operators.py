@@ -19,13 +19,15 @@ def at(seconds):
     return START + dt.timedelta(seconds=seconds)
 
 
-def test_seen_filter_has_no_false_negatives(spark):
-    keys = spark.range(0, 20_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    new = spark.range(20_000, 40_000).select(F.concat(F.lit("k"), "id").alias("key"))
-    seen = dedup.build_seen_filter(keys, ("key",), bits=1 << 20)
-    assert dedup.probe_seen_filter(keys, seen, ("key",), bits=1 << 20).filter("NOT maybe_seen").count() == 0
-    false = dedup.probe_seen_filter(new, seen, ("key",), bits=1 << 20).filter("maybe_seen").count()
-    assert false / 20_000 < 0.01
+def test_seen_keys_are_exact_whatever_repeats(spark):
+    history = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), (None, 2)], "k string, n int")
+    probe = spark.createDataFrame([("a", 1, "x")] * 300 + [("a", 2, "x"), ("b", None, "x"), (None, 2, "x"), ("c", 3, "x")], "k string, n int, seen_by string")
+    out = dedup.seen_key_split(history, probe, ("k", "n"))
+    assert out.columns == ["k", "n", "seen_by", "seen"]
+    assert [r["count"] for r in out.groupBy("seen").count().orderBy("seen").collect()] == [4, 300]
+    report = dedup.seen_report(history, probe, ("k", "n")).first()
+    assert (report.n, report.n_seen) == (304, 300) and report.share == pytest.approx(300 / 304)
+    assert dedup.seen_key_split(history.limit(0), probe, ("k", "n")).filter("seen").count() == 0
     assert dedup.false_positive_rate(20_000, 1 << 20, 4) < 0.01
 
 
