@@ -89,19 +89,20 @@ def is_committed(spark: SparkSession, path: str, run: str, batch_id: int) -> boo
 
 
 def write_batch(
-    df: DataFrame, batch_id: int, path: str, by: str | None = None, run: str | None = None, replaces: tuple[str, ...] = ()
+    df: DataFrame, batch_id: int, path: str, by: str | None = None, run: str | None = None, replaces: tuple[str, ...] = (),
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Stores a batch's rows once, and returns them as stored; ``by`` names a column of which every value gets a folder.
 
     Up to its commit a replay writes the batch anew; after it, the batch stays as it is. The same commit takes the
-    folders in ``replaces`` out of the table.
+    folders in ``replaces`` out of the table. ``options`` are the file writer's.
     """
     spark = df.sparkSession
     run = run or current_run(spark)
     folder = f"{path}/data/run={run}/batch_id={batch_id}"
     stored = lambda: spark.read.schema(df.schema).parquet(folder)
     if not is_committed(spark, path, run, batch_id):
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("overwrite").options(**options or {})
         (writer.partitionBy(by) if by else writer).parquet(folder)
         # one row per part of the batch comes to the driver
         part = (F.col(by) if by else F.lit(None)).cast("string").alias("part")
@@ -144,7 +145,7 @@ def read_folders(spark: SparkSession, folders: list[str], schema: StructType | N
     return out
 
 
-def relocate(spark: SparkSession, path: str, picked: list[Row], root: str, run: str, by: str, order: list[str]) -> None:
+def relocate(spark: SparkSession, path: str, picked: list[Row], root: str, run: str, by: str, order: list[str], options: dict[str, str] | None = None) -> None:
     """Rewrites live folders into one below ``root``, a folder per value of ``by``; one commit exchanges them.
 
     Ended before the commit it leaves the table as it was (and a folder that nothing names), ended after it only the old files.
@@ -153,7 +154,7 @@ def relocate(spark: SparkSession, path: str, picked: list[Row], root: str, run:
     rows = read_folders(spark, folders).drop("run", "batch_id")
     number = time.time_ns()
     folder = f"{root}/run={run}/batch_id={number}"
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(by).parquet(folder)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**options or {}).partitionBy(by).parquet(folder)
     counted = spark.read.parquet(folder).groupBy(F.col(by).cast("string").alias("part")).agg(F.count("*").alias("n")).collect()
     if sum(r.n for r in counted) != sum(e.rows for e in picked):
         raise RuntimeError(f"{folder} does not hold the rows that the manifest names")

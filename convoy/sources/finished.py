@@ -83,9 +83,10 @@ class FinishedBatchReader(DataSourceStreamReader):
             if start["after"] < name <= end["after"]:
                 with files.open_input_stream(_at(f"{self.root}/manifest/{name}")[1]) as f:
                     entries = [json.loads(line) for line in f.read().decode().splitlines()]
-                # merged rows have been read where they came from
+                if any(e.get("replaces") for e in entries):
+                    continue  # rewritten rows (merged, moved, put together) have been read where they came from
                 for e in entries:
-                    if e.get("folder") and e["run"] != "merged":
+                    if e.get("folder"):
                         here = files.get_file_info(fs.FileSelector(_at(e["folder"])[1], allow_not_found=True, recursive=True))
                         out += [File(f.path) for f in here if f.is_file and not f.base_name.startswith(("_", "."))]
         return out

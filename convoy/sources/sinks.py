@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convoy.sources.batches import live, relocate, take_out, write_batch
 
+#: Order of stored rows. A vehicle's rows of a day lie together, so min/max of pages and row groups find them.
+ORDER = ["day", "fleet_id", "vin", "ts"]
+#: Files say which vehicles they hold: by their dictionary while it fits, else by a Bloom filter that grows with their number.
+FILES = {"parquet.bloom.filter.enabled#vin": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 
 def to_storage_rows(df: DataFrame) -> DataFrame:
     """The stored form of accepted events: unknown fuel and rpm as 0, no event as empty text."""
@@ -30,18 +36,18 @@ def to_storage_rows(df: DataFrame) -> DataFrame:
 
 
 def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write storage rows by day, clustered by (fleet, vin, ts).
+    """Write storage rows by day, clustered by (fleet, vin, ts), with Bloom filters on vin.
 
     Range partitioning ends with the time, so a day or vehicle with most of the rows is spread over
     many tasks while each file still covers a narrow key range for min/max pruning.
     """
-    order = ["day", "fleet_id", "vin", "ts"]
     (
         to_storage_rows(df)
         .withColumn("day", F.to_date("ts"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        .repartitionByRange(*ORDER)
+        .sortWithinPartitions(*ORDER)
         .write.mode(mode)
+        .options(**FILES)
         .partitionBy("day")
         .parquet(path)
     )
@@ -49,9 +55,25 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
 
 def write_telemetry_batch(df: DataFrame, batch_id: int, path: str, run: str | None = None) -> DataFrame:
     """A micro-batch's storage rows by day, clustered by (fleet, vin, ts) within it."""
-    order = ["day", "fleet_id", "vin", "ts"]
     rows = to_storage_rows(df).withColumn("day", F.to_date("ts"))
-    return write_batch(rows.repartitionByRange(*order).sortWithinPartitions(*order), batch_id, path, "day", run)
+    return write_batch(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER), batch_id, path, "day", run, options=FILES)
+
+
+def compact_days(spark: SparkSession, path: str, before: dt.date, folders: int = 2) -> DataFrame:
+    """Puts the batches of whole days before ``before`` together, so that a vehicle's day lies in one place again.
+
+    Takes days of which at least ``folders`` batches lie in the stream's own place; one job and one commit for all of them. The
+    newest batch of a run, which may be replayed, stays as it is. A second run finds nothing. Returns day, folders, rows, bytes as they were.
+    """
+    entries = [e for e in live(spark, path) if e.part is not None and e.folder.startswith(f"{path}/data/run=")]
+    newest = {run: max(e.batch_id for e in entries if e.run == run) for run in {e.run for e in entries}}
+    old = [e for e in entries if e.part < before.isoformat() and (e.run == "days" or e.batch_id < newest[e.run])]
+    count = Counter(e.part for e in old)
+    picked = [e for e in old if count[e.part] >= max(folders, 2)]
+    if picked:
+        relocate(spark, path, picked, f"{path}/data", "days", "day", ORDER, FILES)
+    rows = spark.createDataFrame([(e.part, e.rows, e.bytes) for e in picked], "day string, rows bigint, bytes bigint")
+    return rows.groupBy("day").agg(F.count("*").alias("folders"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
 
 
 def since(df: DataFrame, ts_col: str, start: dt.datetime, after: bool = False) -> DataFrame:
@@ -151,6 +173,6 @@ def move_tiers(spark: SparkSession, path: str, roots: dict[str, str], as_of: dt.
             e for e in live(spark, path) if e.part is not None and day_tier(e.part, as_of, days) == tier and not e.folder.startswith(f"{root}/run=")
         ]
         if picked:
-            relocate(spark, path, picked, root, f"tier-{tier}", "day", ["day", "fleet_id", "vin", "ts"])
+            relocate(spark, path, picked, root, f"tier-{tier}", "day", ORDER, FILES)
             moved += [(e.part, tier, e.rows, e.bytes) for e in picked]
     return spark.createDataFrame(moved, "day string, tier string, rows bigint, bytes bigint")

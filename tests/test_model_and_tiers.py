@@ -96,3 +96,63 @@ def test_a_move_ended_before_its_commit_leaves_the_table(spark, monkeypatch):
     assert batches.read_batches(spark, path).count() == 2
     assert sinks.move_tiers(spark, path, {"cold": f"{path}/cold"}, AS_OF, {"hot": 7, "cold": 30}).count() == 1
     assert batches.read_batches(spark, path).count() == 2
+
+
+def _scanned(df):
+    """Rows that the scan of a collected plan gave on."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def _fleet_day(spark, first, vehicles, each):
+    """Rows of many vehicles on one day; seconds run through the vehicles, so arrival order spreads each over the whole day."""
+    rows = spark.range(vehicles * each).select(F.concat(F.lit("VIN"), F.lpad((first + F.col("id") % vehicles).cast("string"), 14, "0")).alias("vin"), "id")
+    at = F.timestamp_seconds(F.lit(int(dt.datetime(2024, 1, 2, tzinfo=dt.timezone.utc).timestamp())) + F.col("id") % 86_000)
+    return rows.select(
+        F.lit(1).alias("fleet_id"), "vin", F.lit("a").alias("oem"), at.alias("ts"), F.col("id").alias("seq"),
+        *[F.lit(1.0).alias(c) for c in ("lat", "lon", "speed_kmh", "odo_km", "fuel_pct", "rpm")],
+        F.lit(True).alias("engine_on"), F.array(F.lit("P0301")).alias("dtc"), F.lit(None).cast("string").alias("evt"),
+    )
+
+
+def test_one_vehicle_is_read_without_its_day(spark):
+    """400 vehicles with 1 000 rows each: a look-up gets a few pages, wherever the vehicle lies."""
+    path = shared_dir(spark, "look-up")
+    sinks.write_telemetry(_fleet_day(spark, 0, 400, 1000), path)
+    day = spark.read.parquet(path).filter("day = '2024-01-02'")
+    for number in (0, 213, 399):
+        one = day.filter(F.col("vin") == f"VIN{number:014d}").select("vin", "ts")
+        assert _scanned(one) <= 400_000 / 8 and one.count() == 1000
+
+
+def test_a_vehicle_that_a_file_lacks_is_seen_by_its_bloom_filter(spark):
+    """150 000 vehicles are too many for a dictionary; even numbers only, so the smallest and largest say nothing of an odd one."""
+    path = shared_dir(spark, "bloom")
+    rows = _fleet_day(spark, 0, 150_000, 1).withColumn("vin", F.concat(F.lit("VIN"), F.lpad((F.col("seq") * 2).cast("string"), 14, "0"))).coalesce(1)
+    plain = f"{path}/plain"
+    with_filter = f"{path}/bloom"
+    stored = sinks.to_storage_rows(rows).withColumn("day", F.to_date("ts")).sortWithinPartitions(*sinks.ORDER)
+    stored.write.options(**sinks.FILES).parquet(with_filter)
+    stored.write.parquet(plain)
+    lacking = [f"VIN{n:014d}" for n in range(1001, 300_000, 50_000)]
+    got = {p: sum(_scanned(spark.read.parquet(p).filter(F.col("vin") == v).select("vin", "ts")) for v in lacking) for p in (plain, with_filter)}
+    assert got[with_filter] < got[plain] / 2
+    assert spark.read.parquet(with_filter).filter(F.col("vin") == "VIN00000000002000").count() == 1
+
+
+def test_batches_of_a_day_are_put_together_but_the_newest(spark):
+    path = shared_dir(spark, "days")
+    for batch in range(4):
+        sinks.write_telemetry_batch(_fleet_day(spark, 0, 20, 50).filter(F.col("seq") % 4 == batch), batch, path)
+    sinks.write_telemetry_batch(_events(spark, [30], 5000), 4, path)
+    before = sorted(r.seq for r in batches.read_batches(spark, path).collect())
+    done = sinks.compact_days(spark, path, dt.date(2024, 1, 20)).collect()
+    assert [(str(r.day), r.folders, r.rows) for r in done] == [("2024-01-02", 4, 1000)]
+    assert sorted(r.seq for r in batches.read_batches(spark, path).collect()) == before
+    assert sinks.compact_days(spark, path, dt.date(2024, 1, 20)).count() == 0
+    # a late batch of that day joins it once it is no longer the newest
+    sinks.write_telemetry_batch(_events(spark, [2], 7000), 5, path)
+    assert sinks.compact_days(spark, path, dt.date(2024, 1, 20)).count() == 0
+    sinks.write_telemetry_batch(_events(spark, [30], 8000), 6, path)
+    assert [(r.folders, r.rows) for r in sinks.compact_days(spark, path, dt.date(2024, 1, 20)).collect()] == [(2, 1001)]
+    assert len([e for e in batches.live(spark, path) if e.part == "2024-01-02"]) == 1
