@@ -1,7 +1,7 @@
 """Surrogates for personal data: keyed stand-ins of the same type, gender, script and format.
 
 Mentions are reduced to entities (a phone number is its digits, however it is written; a person is a
-given name and a surname), so all mentions of one entity get one stand-in. Stand-ins come from a keyed hash
+given name and a surname, and either alone where the person recurs), so all mentions of one entity get one stand-in. Stand-ins come from a keyed hash
 of the entity. Over the whole corpus no two entities of a type may share one, and none may be a real
 entity: the entities that lose such a clash draw again, round by round. Only distinct entities take
 part in that, and only texts with mentions are shuffled to meet their stand-ins.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -26,20 +27,47 @@ GROW = 4
 
 # Titles that announce a name, by the gender they tell.
 TITLES = {
-    "M": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н"),
-    "F": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа"),
+    "M": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "г-н", "Κύριος"),
+    "F": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "г-жа", "Κυρία"),
     "U": ("Dr", "Prof"),
 }
+# Given names that tell a person without a title.
+KNOWN = {
+    "M": ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Jean", "Pierre", "Luis", "Carlos", "José",
+          "William", "Richard", "Joseph", "Daniel", "Matthew", "Andrew", "Wolfgang", "Jürgen", "Stefan", "François", "Antonio", "Giovanni", "Raj", "Mohammed", "Ahmed"),
+    "F": ("Mary", "Anna", "Linda", "Susan", "Sarah", "Laura", "Emma", "Julia", "Greta", "Ursula", "Marie", "Claire", "Carmen", "Lucía", "Elena",
+          "Patricia", "Jennifer", "Elizabeth", "Barbara", "Jessica", "Karen", "Sabine", "Monika", "Ingrid", "Isabelle", "Giulia", "Francesca", "Priya", "Fatima", "Aisha"),
+    "M-CYRILLIC": ("Иван", "Пётр", "Олег", "Борис"),
+    "F-CYRILLIC": ("Анна", "Ольга", "Вера", "Нина"),
+    "M-GREEK": ("Γιώργος", "Νίκος", "Κώστας", "Δημήτρης"),
+    "F-GREEK": ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία"),
+}
+# Given names that stand in for others first. None of them is known above, so few are real entities.
 GIVEN = {
-    "M": ("James", "John", "Robert", "Michael", "David", "Thomas", "Peter", "Paul", "Hans", "Klaus", "Jean", "Pierre", "Luis", "Carlos", "José"),
-    "F": ("Mary", "Anna", "Linda", "Susan", "Sarah", "Laura", "Emma", "Julia", "Greta", "Ursula", "Marie", "Claire", "Carmen", "Lucía", "Elena"),
+    "M": ("Edward", "Henry", "Walter", "Arthur", "Martin", "Oscar", "Hugo", "Victor", "Julian", "Simon", "Marco", "Lorenzo", "Felix", "Adrian", "Bruno"),
+    "F": ("Helen", "Alice", "Clara", "Nora", "Sophie", "Amelia", "Diana", "Louise", "Paula", "Teresa", "Irene", "Sylvia", "Martina", "Beatrice", "Adele"),
+    "U": ("Robin", "Sasha", "Jamie", "Casey", "Morgan", "Riley", "Taylor", "Quinn"),
+}
+GIVEN_CYRILLIC = {"M": ("Павел", "Андрей", "Глеб", "Игорь"), "F": ("Мария", "Ирина", "Тамара", "Полина"), "U": ("Саша", "Женя", "Валя")}
+GIVEN_GREEK = {"M": ("Πέτρος", "Ανδρέας", "Σταύρος", "Λουκάς"), "F": ("Ειρήνη", "Δήμητρα", "Βασιλική", "Άννα"), "U": ("Χάρης", "Μάριον")}
+# Letters of made-up names (consonants, vowels), and how made-up given names end by gender.
+SYLLABLES = {"latin": ("bcdfghklmnprstvw", "aeiou"), "cyrillic": ("бвгдклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστφ", "αειου")}
+ENDINGS = {
+    "latin": {"M": ("bert", "mund", "rick", "son"), "F": ("ina", "ella", "ette", "ia"), "U": ("y", "in")},
+    "cyrillic": {"M": ("слав", "мир", "рий"), "F": ("ина", "лия", "ана"), "U": ("ша", "ня")},
+    "greek": {"M": ("νος", "τος", "ρας"), "F": ("ίνα", "ούλα", "ία"), "U": ("ις", "ιν")},
 }
-GIVEN_CYRILLIC = {"M": ("Иван", "Пётр", "Олег", "Борис"), "F": ("Анна", "Ольга", "Вера", "Нина")}
+# Calling codes of one and of two digits; all others have three.
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54",
+           "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+# How keys of widespread services begin.
+KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk_live_", "sk_test_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza")
 
-_GENDER = {n.lower(): g for names in (TITLES, GIVEN, GIVEN_CYRILLIC) for g, ns in names.items() for n in ns}
+_GENDER = {n.lower(): g[0] for names in (TITLES, KNOWN) for g, ns in names.items() for n in ns}
 _TITLE = "|".join(re.escape(t) for ts in TITLES.values() for t in ts)
-_KNOWN = "|".join(n for names in (GIVEN, GIVEN_CYRILLIC) for ns in names.values() for n in ns)
-_WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)?"
+_KNOWN = "|".join(n for ns in KNOWN.values() for n in ns)
+# a possessive s is no part of a name
+_WORD = r"[^\W\d_]+(?:['’-](?![sS]\b)[^\W\d_]+)?"
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NUMBERS = re.compile(
     rf"(?P<IP>(?<![\d.]){_BYTE}(?:\.{_BYTE}){{3}}(?![\d]|\.\d))"
@@ -54,7 +82,11 @@ NAMES = re.compile(
 )
 #: Words without which NAMES finds nothing.
 _WORDS = re.compile(r"\w+").findall
-_TRIGGERS = frozenset(w for names in (TITLES, GIVEN, GIVEN_CYRILLIC) for ns in names.values() for n in ns for w in _WORDS(n)[:1])
+_TRIGGERS = frozenset(w for names in (TITLES, KNOWN) for ns in names.values() for n in ns for w in _WORDS(n)[:1])
+SECRETS = re.compile(rf"(?<![0-9A-Za-z])(?P<lead>{'|'.join(map(re.escape, KEYS))})[0-9A-Za-z_-]{{10,}}")
+#: Two colons with hexadecimal digits between: without them, no IPv6 address.
+_COLONS = re.compile(":[0-9A-Fa-f]{0,4}:").search
+IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
 LOCAL = re.compile(r"[\w.+%-]").match
 DOMAIN = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})+")
 
@@ -69,6 +101,36 @@ def luhn_ok(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _ip6(mention: str) -> str | None:
+    """The normal form of an address; too short ones are no addresses but times or names of code."""
+    if mention.count(":") < 7 and ("::" not in mention or len(mention.strip(":")) < 6):
+        return None
+    try:
+        return ipaddress.IPv6Address(mention).compressed
+    except ValueError:
+        return None
+
+
+def script_of(name: str) -> str:
+    """latin, cyrillic or greek, by the first letter."""
+    first = name[0].lower()
+    return "cyrillic" if "\u0400" <= first <= "\u04ff" else "greek" if "\u0370" <= first <= "\u03ff" or "\u1f00" <= first <= "\u1fff" else "latin"
+
+
+def _again(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str, str]]:
+    """Whole-word mentions of ``names`` (as written, with their kinds), also in capitals; one pass however many there are."""
+    written = {w: n for n in names for w in (n.upper(), n)}
+    by_first: dict[str, list[str]] = {}
+    for name in sorted(written, key=len, reverse=True):
+        by_first.setdefault(_WORDS(name)[0], []).append(name)
+    for m in re.finditer(r"\w+", text):
+        for name in by_first.get(m[0], ()):
+            stop = m.start() + len(name)
+            if text.startswith(name, m.start()) and not (text[stop : stop + 1].isalnum() or text[stop : stop + 1] == "_"):
+                yield m.start(), stop, names[written[name]], written[name].lower()
+                break
+
+
 def _capital(word: str | None) -> bool:
     return bool(word) and word[0].isupper()
 
@@ -96,6 +158,10 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "IBAN" and not _iban_ok(entity):
                 continue
             found.append((m.start(), m.end(), kind, entity))
+    if any(k in text for k in KEYS):
+        found += [(*m.span(), "SECRET", m[0]) for m in SECRETS.finditer(text)]
+    if _COLONS(text):
+        found += [(*m.span(), "IP6", address) for m in IP6.finditer(text) if (address := _ip6(m[0]))]
     for m in NAMES.finditer(text) if not _TRIGGERS.isdisjoint(_WORDS(text)) else ():
         if m["title"]:
             gender = _GENDER[m["title"].lower()]
@@ -111,11 +177,13 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         elif _capital(m["surname"]):
             found.append((*m.span("given"), f"GIVEN_{_GENDER[m['given'].lower()]}", m["given"].lower()))
             found.append((*m.span("surname"), "SURNAME", m["surname"].lower()))
-    # the same person again, by surname alone
-    people = {text[a:b] for a, b, kind, _ in found if kind == "SURNAME"}
+    # the same person again, by either name alone; a title or known name tells the gender for the whole text
+    told = {e: k for *_, k, e in found if k in ("GIVEN_M", "GIVEN_F")}
+    found = [(a, b, told.get(e, k) if k == "GIVEN_U" else k, e) for a, b, k, e in found]
+    given = {text[a:b]: kind for a, b, kind, _ in found if kind.startswith("GIVEN")}
+    people = given | {text[a:b]: kind for a, b, kind, _ in found if kind == "SURNAME"}
     if people:
-        again = "|".join(re.escape(w) for p in sorted(people) for w in {p, p.upper()})
-        found += [(*m.span(), "SURNAME", m[0].lower()) for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text)]
+        found += _again(text, people)
     out: list[tuple[int, int, str, str]] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -145,6 +213,8 @@ class _Stream:
         """A letter of the old one's script and case."""
         if "a" <= old <= "z":
             return "abcdefghijklmnopqrstuvwxyz"[self.below(26)]
+        if "A" <= old <= "Z":
+            return self.letter(old.lower()).upper()
         near = ord(old) & ~63
         pool = [c for c in map(chr, range(near, near + 64)) if c.isalpha() and c.islower() == old.islower() and c.lower() == c]
         return pool[self.below(len(pool))] if pool else old
@@ -152,8 +222,8 @@ class _Stream:
     def like(self, text: str) -> str:
         return "".join(self.digit(c) if c.isdigit() else self.letter(c) if c.isalpha() else c for c in text)
 
-    def name(self, syllables: int, cyrillic: bool) -> str:
-        one, two = ("бвгдклмнпрст", "аеиоу") if cyrillic else ("bcdfghklmnprstvw", "aeiou")
+    def name(self, syllables: int, script: str = "latin") -> str:
+        one, two = SYLLABLES[script]
         return "".join(one[self.below(len(one))] + two[self.below(len(two))] for _ in range(syllables))
 
 
@@ -164,7 +234,7 @@ def candidate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     if kind == "EMAIL":
         local, _, domain = entity.partition("@")
         hosts = domain.split(".")[:-2]
-        new = s.like(local) + s.name(grown, False)
+        new = s.like(local) + s.name(grown)
         return new + "@" + ".".join([*map(s.like, hosts), "example", ("com", "org", "net")[s.below(3)]])
     if kind == "IP":
         a, b, *_ = entity.split(".")
@@ -179,20 +249,36 @@ def candidate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         body = "".join(s.digit(c) if c.isdigit() else s.letter(c.lower()).upper() for c in entity[4:])
         rest = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00")) % 97
         return f"{entity[:2]}{98 - rest:02d}{body}"
+    if kind == "IP6":
+        # the layout of groups stays, so a short form stays short; groups grow when short ones run out
+        widths = [min(4, len(group) + grown) if group else 0 for group in entity.split(":")]
+        return ":".join("".join("123456789abcdef"[s.below(15)] for _ in range(w)) for w in widths)
+    if kind == "SECRET":
+        lead = SECRETS.match(entity)["lead"]
+        return lead + s.like(entity[len(lead) :])
     if kind == "TOKEN":
         return "".join("0123456789abcdef"[s.below(16)] for _ in entity)
     if kind == "CARD":
         body = entity[0] + "".join(s.digit(c) for c in entity[1:-1])
         fits = next(d for d in "0123456789" if luhn_ok(body + d))
         return body + (fits if luhn_ok(entity) else str((int(fits) + 1 + s.below(9)) % 10))
-    if kind in ("SSN", "PHONE"):
+    if kind == "PHONE":
+        # the calling code stays, unless the numbers behind it run out
+        code = 1 if grown else next((n for n in (1, 2) if entity[:n] in CALLING), 3)
+        return entity[:code] + "".join(s.digit(c) for c in entity[code:])
+    if kind == "SSN":
         return entity[0] + "".join(s.digit(c) for c in entity[1:])
-    cyrillic = "а" <= entity[0] <= "ё"
+    # a double name stays one
+    first, *more = re.split(r"(['’-])", entity)
+    tail = "".join(p if p in "'’-" else s.name(2, script_of(p)) for p in more if p)
+    script = script_of(first)
     if kind == "SURNAME":
-        return s.name(3 + grown, cyrillic)
-    pools = GIVEN_CYRILLIC if cyrillic else GIVEN
-    pool = pools["M"] + pools["F"] if kind == "GIVEN_U" else pools[kind[-1]]
-    return pool[s.below(len(pool))].lower() + (("-" + s.name(1 + grown, cyrillic)) if attempt else "")
+        return s.name(3 + grown, script) + tail
+    if attempt < 2:
+        pool = {"latin": GIVEN, "cyrillic": GIVEN_CYRILLIC, "greek": GIVEN_GREEK}[script][kind[-1]]
+        return pool[s.below(len(pool))].lower() + tail
+    ends = ENDINGS[script][kind[-1]]
+    return s.name(1 + attempt // 3, script) + ends[s.below(len(ends))] + tail
 
 
 def render(mention: str, kind: str, stand_in: str) -> str:
@@ -203,7 +289,8 @@ def render(mention: str, kind: str, stand_in: str) -> str:
     if mention.isupper() and len(mention) > 1:
         return stand_in.upper()
     if kind in ("SURNAME", "GIVEN_M", "GIVEN_F", "GIVEN_U"):
-        return "-".join(p.capitalize() for p in stand_in.split("-")) if mention[0].isupper() else stand_in
+        old, new = re.split(r"(['’-])", mention), re.split(r"(['’-])", stand_in)
+        return "".join(n.capitalize() if o[:1].isupper() else n for o, n in zip(old, new, strict=True))
     return stand_in
 
 
@@ -246,11 +333,12 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with stand-ins for mentions in ``text``, and the added columns n_mentions (long) and kinds
     (array of the kinds mentioned, sorted); all other columns as they were.
 
-    Kinds: EMAIL, IP, IBAN (valid ones), TOKEN (hexadecimal, 24 digits or more), CARD, SSN, PHONE,
-    and GIVEN_M/F/U and SURNAME of people named after a title or by a known given name. Equal keys give equal
+    Kinds: EMAIL, IP, IP6, IBAN (valid ones), TOKEN (hexadecimal, 24 digits or more), SECRET (keys that begin as in
+    ``KEYS``; the beginning stays), CARD, SSN, PHONE (the calling code stays), and GIVEN_M/F/U and SURNAME of people named
+    after a title or by a known given name, also where either name recurs alone in that text. Equal keys give equal
     stand-ins for the same corpus. Null and empty texts stay as they are and mention nothing; repeated
     rows get equal results; input columns named like an added one are replaced. A text without
-    mentions comes back unchanged and is not shuffled.
+    mentions comes back unchanged and is not shuffled. Texts are searched once; the rows are staged with what was found.
     """
 
     @F.arrow_udf(_SPANS)
@@ -275,7 +363,7 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
     added = ("n_mentions", "kinds")
     row = F.struct(*[c for c in docs.columns if c not in added]).alias("_row")
-    seen = docs.select(row, F.col("doc_id").alias("_doc"), text_key().alias("_key"), find("text").alias("_found"))
+    seen = stage(docs.select(row, F.col("doc_id").alias("_doc"), text_key().alias("_key"), find("text").alias("_found")), "searched")
     spoken = stage(seen.where(F.size("_found") > 0).select("_doc", "_key", "_found").distinct(), "mentions")
     each = spoken.select("_doc", "_key", F.explode("_found").alias("m")).select("_doc", "_key", "m.kind", "m.entity").distinct()
     given = stand_ins(stage(each.select("kind", "entity").distinct(), "entities"), key)
