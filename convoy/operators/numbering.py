@@ -8,6 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convoy.session import staged
+
+#: Distinct values a slice holds about; beyond MOST_SLICES of them slices grow, and a slice is sorted with spilling.
+SLICE_ROWS = 65536
+FAN = 32
+MOST_SLICES = FAN * FAN
+
 
 def numbered(
     df: DataFrame, keys: list[str], order: str, name: str = "rn", bucket: int = 65536
@@ -35,25 +42,40 @@ def numbered(
     )
 
 
-def _value_edges(values: DataFrame, column: str, slices: int) -> Column:
-    """Array of cut points that share out the distinct values evenly (a scalar subquery)."""
-    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return values.agg(F.percentile_approx(column, shares, 10000).alias("edges")).scalar()
+def _edges(values: DataFrame, column: str, slices: int) -> Column:
+    """Cut points that share out the distinct values evenly, in rows of FAN (a scalar subquery)."""
+    shares = F.expr(f"array({', '.join(f'{i / slices!r}D' for i in range(1, slices))})")
+    cuts = F.percentile_approx(column, shares, 10 * MOST_SLICES)
+    rows = F.transform(F.sequence(F.lit(0), F.lit((slices - 2) // FAN)), lambda i: F.slice(cuts, i * FAN + 1, FAN))
+    return values.agg(rows.alias("edges")).scalar()
+
+
+def _slice_of(values: DataFrame, column: str, slices: int) -> Column:
+    """Number of cut points at or below the value, found by row first and then within the row."""
+    if slices < 2:
+        return F.lit(0)
+    edges = F.col("_edges")
+    row = F.size(F.filter(edges, lambda e: F.element_at(e, 1) <= F.col(column)))
+    within = F.size(F.filter(F.element_at(edges, F.greatest(row, F.lit(1))), lambda e: e <= F.col(column)))
+    return F.greatest(row - 1, F.lit(0)) * FAN + within
 
 
 def running_by_value(
-    values: DataFrame, column: str, measures: list[str], slices: int = 64
+    values: DataFrame, column: str, measures: list[str], slices: int | None = None
 ) -> DataFrame:
     """For rows unique in ``column``: each measure's total over all smaller values, as ``<m>_before``.
 
-    The cut points come from the data, so a slice holds about 1/slices of the distinct values
-    wherever these lie; any cut points give the same totals.
+    The rows are staged, as they are read several times. The cut points come from the data, so a slice holds about
+    1/slices of the distinct values wherever these lie; any cut points give the same totals. The number of
+    slices follows the number of rows unless it is given.
     """
-    edges = _value_edges(values, column, slices)
-    rows = values.withColumn("_edges", edges)
-    rows = rows.withColumn(
-        "_slice", F.size(F.filter("_edges", lambda e: e <= F.col(column)))
-    ).drop("_edges")
+    return _running(staged(values), column, measures, slices)
+
+
+def _running(values: DataFrame, column: str, measures: list[str], slices: int | None = None) -> DataFrame:
+    slices = min(slices or -(-values.count() // SLICE_ROWS), MOST_SLICES)
+    rows = values if slices < 2 else values.withColumn("_edges", _edges(values, column, slices))
+    rows = rows.withColumn("_slice", _slice_of(values, column, slices)).drop("_edges")
     earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -79,9 +101,9 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFram
 
     Works on one row per distinct value; only the rows at the wanted ranks reach the last step.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    counts = staged(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")).scalar()
-    ranked = running_by_value(counts, column, ["n"]).withColumn("_total", total)
+    ranked = _running(counts, column, ["n"]).withColumn("_total", total)
     wanted = F.explode(
         F.array(
             *[

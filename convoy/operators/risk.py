@@ -183,22 +183,14 @@ def rule_baseline(
     """Best F1 of ``dtc_ratio > a OR harsh_ratio > b`` over a grid of training quantiles.
 
     Each row is counted under the number of cuts it exceeds on either axis; the grid is evaluated
-    on those counts. The first best pair in (a, b) order wins, and F1 must be above zero.
+    on those counts. The first best pair in (a, b) order wins, and F1 must be above zero. The three columns read
+    are staged; the ``grid`` cuts of each axis come to the driver.
     """
     shares = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
-
-    def cuts(column: str) -> Column:
-        table = exact_quantiles(df.select(column), column, shares)
-        items = F.array_sort(F.collect_list(F.struct("i", "value")))  # ``grid`` items
-        return table.agg(items.alias("cuts")).scalar()
-
-    axes = {"dtc": "dtc_ratio", "harsh": "harsh_ratio"}
-    rows = df
-    for name, column in axes.items():
-        rows = rows.withColumn(f"_{name}_table", cuts(column))
-        rows = rows.withColumn(
-            f"_{name}_cuts", F.transform(f"_{name}_table", lambda c: c["value"])
-        )
+    rows = df = staged(df.select("dtc_ratio", "harsh_ratio", "label"))
+    for name, column in {"dtc": "dtc_ratio", "harsh": "harsh_ratio"}.items():
+        cuts = [r.value for r in sorted(exact_quantiles(df.select(column), column, shares).collect(), key=lambda r: r.i)]
+        rows = rows.withColumn(f"_{name}_cuts", F.array(*map(F.lit, cuts)).cast("array<double>"))
         rows = rows.withColumn(
             f"_{name}_over", F.size(F.filter(f"_{name}_cuts", lambda c: c < F.col(column)))
         )

@@ -127,6 +127,31 @@ def test_path_distance_crosses_hours(spark):
     assert tuple(got) == (149, 149.0)
 
 
+
+def test_running_totals_do_not_depend_on_the_slices(spark):
+    """One slice, a few, more than a row of cut points holds, and more than there are values."""
+    rnd = random.Random(8)
+    rows = sorted({round(rnd.expovariate(1), 6): rnd.randrange(9) for _ in range(2000)}.items())
+    values = spark.createDataFrame(rows, "x double, n long")
+    want = {x: sum(n for _, n in rows[:i]) for i, (x, _) in enumerate(rows)}
+    for slices in (None, 2, 33, 34, 500, 5000):
+        assert {r.x: r.n_before for r in numbering.running_by_value(values, "x", ["n"], slices).collect()} == want
+    sliced = numbering.staged(values)
+    part = sliced.withColumn("_edges", numbering._edges(sliced, "x", 500)).groupBy(numbering._slice_of(sliced, "x", 500).alias("s")).count().collect()
+    assert len(part) > 450 and max(r["count"] for r in part) < 40
+    assert numbering.running_by_value(values.limit(0), "x", ["n"], 40).count() == 0
+
+
+def test_the_rule_grid_reads_its_input_once(spark):
+    rows = [(i % 17 / 17, i % 23 / 23, int(i % 17 > 12)) for i in range(400)]
+    df = spark.createDataFrame(rows, "dtc_ratio double, harsh_ratio double, label int")
+    best = risk.rule_baseline(df)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") < 10 and "ExistingRDD" not in plan
+    got = best.first()
+    assert (got.tp, got.fp, got.fn) == (sum(y for *_, y in rows), 0, 0) and got.f1 == 1.0
+    assert risk.rule_baseline(df.limit(0)).first().f1 is None
+
 def test_radius_over_the_date_line(spark):
     points = spark.createDataFrame([(1, 0.0, 179.95), (2, 0.0, -179.95), (3, 0.0, 179.0), (4, 60.0, 10.3)], "id int, lat double, lon double")
     sites = spark.createDataFrame([("s", 0.0, 180.0), ("n", 60.0, 10.0)], "site_id string, lat double, lon double")
