@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 
 MINUTE = 60_000
+#: Below so many samples a plain loop is faster than setting up pandas' moving average.
+SHORT = 256
 
 
 def long_idlings(t: np.ndarray, still: np.ndarray, since: int | None, told: bool, wait: int):
@@ -34,6 +36,19 @@ def window_counts(past: np.ndarray, t: np.ndarray, window: int) -> np.ndarray:
     return len(past) - np.searchsorted(past, edge, "right") + np.arange(1, len(t) + 1) - np.searchsorted(t, edge, "right")
 
 
+def _smoothed(value: float, samples: list[float], alpha: float) -> list[float]:
+    """pandas' ``ewm(alpha, adjust=False).mean()`` over ``value`` and the samples, step by step as it computes it."""
+    new = 1.0 / (1.0 + (1.0 - alpha) / alpha)
+    old = 1.0 - new
+    whole = old + new
+    out = [value]
+    for x in samples:
+        if value != x:
+            value = (old * value + new * x) / whole
+        out.append(value)
+    return out
+
+
 def deviations(x: np.ndarray, n: int, mean: float, var: float, alpha: float, warmup: int):
     """Each sample's deviation from the moving average before it, and the average after all of them."""
     lead = np.zeros(0)
@@ -41,6 +56,8 @@ def deviations(x: np.ndarray, n: int, mean: float, var: float, alpha: float, war
         n, mean, var, x, lead = 1, float(x[0]), 0.0, x[1:], np.zeros(1)
 
     def smoothed(start: float, values: np.ndarray) -> np.ndarray:
+        if len(values) < SHORT and not np.isnan(values).any():
+            return np.array(_smoothed(float(start), values.tolist(), alpha))
         return pd.Series(np.append(start, values)).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
     means = smoothed(mean, x)

@@ -247,3 +247,45 @@ def test_events_are_shuffled_once(spark, tmp_path):
     text = plan.executedPlan().toString()
     final = text.split("== Initial Plan ==")[0]
     assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
+def test_a_call_reads_and_writes_a_vehicles_state_once(spark):
+    """What a call costs whatever its rows is what a stream of many vehicles takes; chunks of rows must not show."""
+
+    class Value:
+        def __init__(self):
+            self.held, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    class Handle:
+        def __init__(self):
+            self.values = []
+
+        def getValueState(self, *_):
+            self.values.append(Value())
+            return self.values[-1]
+
+    rows = mixed(700, 4, vins="V")
+    df = spark.createDataFrame(rows, SCHEMA)
+    columns = ("vin", F.unix_millis("ts").alias("ts_ms"), "seq", "engine_on", "speed_kmh", "evt", "dtc", "fuel_pct")
+    calls = df.select(*columns).sort("ts_ms", "seq").collect()
+    params = dict(idle_ms=120_000, cooldown_ms=900_000, moving_kmh=1.0, brake_n=3, brake_ms=600_000, code_n=3, code_ms=3_600_000, z=4, min_kmh=100, alpha=0.05, warmup=30, low_pct=10)
+    expected = sorted(sequential(rows, idle_ms=120_000))
+    for chunk in (live.CHUNK, 50):
+        live.CHUNK, before = chunk, live.CHUNK
+        try:
+            processor, handle = live.RuleProcessor(params, None), Handle()
+            processor.init(handle)
+            out = [a for k in range(0, len(calls), 300) for a in processor.handleInputRows(("V",), iter(calls[k : k + 300]), None)]
+        finally:
+            live.CHUNK = before
+        assert sum((v.calls for v in handle.values), []) == ["get", "update"] * 3
+        got = spark.createDataFrame(out, live.ALERTS).withColumn("ts", F.timestamp_millis("ts_ms"))
+        assert found(got) == expected
