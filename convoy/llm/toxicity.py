@@ -33,6 +33,8 @@ EPOCHS, MOST_EPOCHS, STEPS, RATE, BATCH = 12, 50, 300, 0.5, 128
 MIN_DOCUMENTS = 8
 #: Share of the epochs in which toxic documents give random windows; random windows of every document.
 WARM_SHARE, RANDOM_WINDOWS = 0.25, 4
+#: Words cut into n-grams at a time: the arrays in between take some ten times what is kept.
+WORDS_AT_ONCE = 10_000
 #: Distinct words whose margins a worker remembers.
 REMEMBERED = 150_000
 
@@ -46,6 +48,10 @@ def words_of(text: str | None) -> list[str]:
 
 def subwords(words: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of ``<word>`` and of the word itself, end to end, and each word's first place."""
+    if len(words) > WORDS_AT_ONCE:
+        parts = [subwords(words[k : k + WORDS_AT_ONCE], bits) for k in range(0, len(words), WORDS_AT_ONCE)]
+        before = np.cumsum([0] + [len(flat) for flat, _ in parts[:-1]])
+        return np.concatenate([flat for flat, _ in parts]), np.concatenate([at + n for (_, at), n in zip(parts, before, strict=True)])
     raw = [b"<" + w.encode() + b">" for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     joined = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)

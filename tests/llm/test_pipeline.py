@@ -56,3 +56,25 @@ def test_line_dedup_stage_follows_n_chars(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     got = {r.doc_id: r for r in pipeline.line_dedup(spark, docs, folder).collect()}
     assert 500 not in got and got[501].text == "intro words\n" and got[501].n_chars == 12 and got[2].n_chars == len(got[2].text)
+
+
+def test_subwords_of_many_words_take_little_room_beside_the_result():
+    """The driver fits the toxicity model: what it holds for a moment counts against its memory."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from convoy.llm import toxicity
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 14))) for _ in range(40_000)]
+    tracemalloc.start()
+    try:
+        flat, starts = toxicity.subwords(words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * (flat.nbytes + starts.nbytes)
+    one = [toxicity.subwords([w])[0] for w in words[9_990:10_010]]
+    assert np.array_equal(np.concatenate(one), flat[starts[9_990] : starts[10_010]])
