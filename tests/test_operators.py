@@ -333,3 +333,15 @@ def test_history_filter_reaches_the_scan(spark):
     page = state.vehicle_history(spark.read.parquet(path), "V", START).select("seq")
     plan = page._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(vin,V)" in plan and "GreaterThanOrEqual(ts" in plan and "unused" not in plan
+
+
+def test_a_landed_table_of_many_rows_is_scanned_in_more_parts_than_slots(spark, tmp_path, monkeypatch):
+    from convoy.plans import fixtures
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(fixtures, "ROWS", 10)
+    slots = spark.sparkContext.defaultParallelism
+    for name in ("telemetry", "wire_defects"):
+        rows = fixtures.view(spark, str(tmp_path), name)
+        assert rows.rdd.getNumPartitions() > 2 * slots
+    assert fixtures.view(spark, str(tmp_path), "telemetry").count() == spark.read.parquet(str(tmp_path / "events.parquet")).count()
