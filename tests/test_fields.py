@@ -5,10 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from convoy.functions import fields as fx, geo
+from convoy.functions import fields as fx, geo, vin
 from convoy.functions.vin import is_valid_vin, vin_problem
 from convoy.operators.mapping import active_mappings, vendor_registry
 from convoy.operators.normalise import normalise, preview_mapping, validate
+from convoy.operators.routing import route
 from convoy.schemas import VENDOR_MAPPINGS
 from convoy.sources.ndjson import classify_lines, decode_envelope, parse_ndjson, shown, with_partition_key
 
@@ -43,6 +44,37 @@ def test_vin_check_digit(spark):
     assert one(spark, is_valid_vin(F.lit(VIN)))[0]
 
 
+def test_packed_check_digit_is_the_check_digit(spark):
+    """Vehicles of every check digit, odd texts of seventeen characters, and texts of other lengths, which must not fail."""
+    made = [f"CVY{i * 7919 % 100000:05d}0{i:08d}" for i in range(60)] + [VIN, VIN.lower().upper(), "ZZZZZZZZ9ZZZZZZZZ", "99999999999999999"]
+    rows = spark.createDataFrame([(v,) for v in made], "v string").select(vin.check_digit("v").alias("a"), vin.packed_check_digit(F.col("v")).alias("b"))
+    got = rows.collect()
+    assert all(r.a == r.b for r in got) and len({r.a for r in got}) == 11
+    odd = spark.createDataFrame([(None,), ("",), ("-1234567-99999999",), ("\u00e9" * 17,), ("I" * 40,)], "v string")
+    assert [r[0] for r in odd.select(vin_problem(F.col("v"), vin.packed_check_digit(F.col("v")))).collect()] == ["length", "length", "charset", "charset", "length"]
+
+
+def test_numbers_keep_their_reading_by_kind(spark):
+    """JSON numbers of every kind, number texts, switches, lists and what is beyond a double."""
+    speeds = [50, 50.25, 5e1, 1e-3, "50", " 7.5 ", "", "1e400", None, True, False, [1], {"a": 1}, "0x10", "NaN", 12345678901234567890123456789012345678901234567890]
+    docs = [json.dumps({**GOOD, "velocityMph": s}) for s in speeds] + [json.dumps(GOOD).replace('"velocityMph": 50', '"velocityMph": 1e400')]
+    mapping = {"A": {"version": 1, "fields": {**VENDOR_MAPPINGS["A"], "speed_kmh": {"path": "velocityMph", "unit": "kmh"}}}}
+    out = normalise(payload_rows(spark, docs), mapping).orderBy("id").collect()
+    bad, gap, far = "bad_number:speed_kmh", "missing:speed_kmh", "invalid:speed_kmh:out_of_range"
+    assert [r.reason for r in out] == [None] * 6 + [gap, bad, gap, None, None, bad, bad, bad, bad, far, bad]
+    assert [r.speed_kmh for r in out[:6]] == [50, 50.25, 50, 0.001, 50, 7.5] and [out[9].speed_kmh, out[10].speed_kmh] == [1, 0]
+
+
+def test_rejects_are_spread_by_raw_columns_only(spark):
+    """The key of a rejected row asks for no canonical column, so the ones nobody reads are not computed."""
+    raw = payload_rows(spark, [GOOD, {}]).drop("line")
+    vehicles = spark.createDataFrame([(VIN, 1, 1)], "vin string, vehicle_id int, fleet_id int")
+    out = route(raw, vendor_registry(spark), vehicles, spark.createDataFrame([(1, 1)], "fleet_id int, tenant_id int"))
+    plan = out.select("id", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(" in plan and "schema_ver" not in plan[plan.index("xxhash64(") : plan.index("\n", plan.index("xxhash64("))]
+    assert [r.reason for r in out.orderBy("id").collect()] == [None, "missing:vin"]
+
+
 @pytest.mark.parametrize(
     "text, fmt, expected",
     [
