@@ -286,6 +286,38 @@ def test_the_horizon_does_not_depend_on_the_cut(spark, parts):
         assert slots[-1] - slots[0] <= 6 and len(slots) > 3
 
 
+@pytest.mark.parametrize("few", [30, 10_000])
+def test_the_horizon_of_crowded_and_of_few_copies(spark, few):
+    """Three batches with one crowded key, one that is null, and a column without an order: in slices and in one group per key."""
+    rnd = random.Random(12)
+    rows = sorted({(rnd.choice((7, 7, 7, None, *range(20, 90))), rnd.randrange(40_000)) for _ in range(600)}, key=lambda x: x[1])
+    path, _ = streams.scratch(spark, "few-test")
+    schema = "vin string, seq long, ts timestamp, received_at timestamp, arrival long, body map<string, long>"
+    for i in range(3):
+        cut = rows[200 * i : 200 * (i + 1)] if i < 2 else rows[400:]
+        batch = spark.createDataFrame([("V", s, START, at(r), r, {"r": r}) for s, r in rnd.sample(cut, len(cut))], schema)
+        kept = live.unseen(batch, f"{path}/seen", i, few=few)
+        assert kept.columns == batch.columns
+        live.remember(batches.write_batch(kept, i, f"{path}/rows"), f"{path}/seen", i)
+    got = batches.read_batches(spark, f"{path}/rows").collect()
+    assert all(r.body == {"r": r.arrival} for r in got)
+    as_key = lambda s: -1 if s is None else s
+    assert sorted((as_key(r.seq), r.arrival) for r in got) == chain([(as_key(s), r) for s, r in rows], 3600)
+
+
+def test_a_long_batch_is_read_and_shuffled_once(spark):
+    """However many rows it has, a batch without crowded keys is scanned once beside the counting of its copies."""
+    path, _ = streams.scratch(spark, "once-test")
+    rows = spark.range(400).select(
+        F.lit("V").alias("vin"), (F.col("id") % 90).alias("seq"), F.lit(START).alias("ts"), F.timestamp_seconds(F.col("id") * 100 + 1704067200).alias("received_at"), F.col("id").alias("arrival")
+    )
+    rows.write.parquet(f"{path}/in")
+    batch = spark.read.parquet(f"{path}/in")
+    live.remember(batch.where("arrival < 20"), f"{path}/seen", 0)
+    plan = live.unseen(batch.where("arrival >= 20"), f"{path}/seen", 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 1  # rows and stored arrivals
+
+
 def test_compaction_while_the_stream_runs(spark):
     path, _ = streams.scratch(spark, "compact-test")
     df = spark.range(60).select(F.concat(F.lit("v"), F.col("id") % 7).alias("vin"), F.timestamp_seconds(F.col("id") * 37 % 50).alias("ts"), F.col("id").alias("arrival"))
